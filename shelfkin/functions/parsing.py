@@ -57,6 +57,13 @@ def parse_rating(rating: Column) -> Column:
     return numeric(F.regexp_extract(rating, r"\S+", 0))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text with a set number of places, ties to even, no thousands separators."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 def money(price: Column) -> Column:
     """``$x.xx`` for a positive price, else ``N/A``."""
-    return F.when(price > 0, F.format_string("$%.2f", price)).otherwise(F.lit("N/A"))
+    return F.when((price > 0) & ~F.isnan(price), F.concat(F.lit("$"), fixed(price, 2))).otherwise(
+        F.lit("N/A")
+    )
