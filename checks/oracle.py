@@ -11,6 +11,7 @@ from shelfkin.functions.text import ENGLISH_STOP_WORDS
 from shelfkin.operators import prompts as P
 
 STOP = "[" + ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS) + "]"
+FIRST_WORD = r"regexp_extract(review_rating, '\S+')"
 NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -116,7 +117,7 @@ CTES: dict[str, str] = {
         review_text, o_orderpriority review_title, ceil(l_quantity / 10)::bigint::varchar || '.0 of 5' review_rating,
         o_custkey::varchar username, l_orderkey * 8 + l_linenumber ord
         from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey""",
-    "retail_rated": rf"""select *, {numeric("regexp_extract(review_rating, '\S+')")} rating,
+    "retail_rated": rf"""select *, {numeric(FIRST_WORD)} rating,
         {clean('review_text')} clean from retail_reviews""",
     "retail": rf"""select id, min_by(name, ord) name, min_by(brand, ord) brand, min_by(categories, ord) categories,
         min_by(manufacturer, ord) manufacturer, min_by(asins, ord) asins,

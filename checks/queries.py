@@ -578,14 +578,14 @@ _METRICS = ", ".join(f"{m}::double {m}" for m in report.METRICS)
 _FACTS = ", ".join(f"{m}::double {m}" for m in report.CHARACTERISTICS)
 
 
-@query("dataset_report", f"""with l as (
+@query("dataset_report", f"""select * from (with l as (
     unpivot (select dataset, {_FACTS} from facts) on columns(* exclude dataset) into name metric value value union all
     unpivot (select 'text' dataset, {_METRICS} from errors join ranking on true join quality on true)
       on columns(* exclude dataset) into name metric value value union all
     unpivot (select 'retail' dataset, {_METRICS} from r_errors join r_ranking on true join r_quality on true)
       on columns(* exclude dataset) into name metric value value)
     select metric, max(value) filter (dataset = 'retail') retail, max(value) filter (dataset = 'text') as text
-    from l group by 1""")
+    from l group by 1)""")
 def dataset_report(spark, sf):
     text_ready, retail_ready = a.prepared_text(spark, sf), a.prepared_retail(spark, sf)
     return report.dataset_report(_together(spark, sf), {
@@ -682,8 +682,8 @@ def dense_cosine(spark, sf):
     return _next_pairs(spark, sf).select("id", r6("score"))
 
 
-@query("clip_similarity", f"""select id, round(greatest(least(score, 1), 0), 6) similar,
-    round(1 - greatest(least(score, 1), 0), 6) dissimilar from ({NEXT})""")
+@query("clip_similarity", f"""select id, round(greatest(least(score, 1), 0), 6) as similar,
+    round(1 - greatest(least(score, 1), 0), 6) as dissimilar from ({NEXT})""")
 def clip_similarity(spark, sf):
     clipped = vectors.clip_similarity(F.col("score"))
     return _next_pairs(spark, sf).select(
