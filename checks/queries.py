@@ -392,28 +392,25 @@ def shap_summary(spark, sf):
     return explain.shap_summary(_shap(spark, sf))
 
 
-def _lime_variants(spark, sf):
-    pairs = lime.with_source(a.text_pairs(spark, sf, k=1), a.prepared_text(spark, sf).vectors)
-    return lime.lime_samples(pairs, a.items(spark, sf))
+def _lime_inputs(spark, sf):
+    ready = a.prepared_text(spark, sf)
+    return a.text_pairs(spark, sf, k=1), a.items(spark, sf), ready.vectors, ready.model
 
 
 @query("lime_samples")
 def lime_samples(spark, sf):
-    return _lime_variants(spark, sf).select(
-        "source_id", "target_id", "sample", F.size("kept").alias("n_words"),
-        F.size(F.filter("kept", lambda k: k)).alias("n_kept"),
-    )
+    out = lime.lime_samples(*_lime_inputs(spark, sf))
+    return out.select("source_id", "target_id", "sample", "n_words", "n_kept")
 
 
 @query("lime_scores")
 def lime_scores(spark, sf):
-    scored = lime.lime_scores(_lime_variants(spark, sf), a.prepared_text(spark, sf).model)
-    return scored.select("source_id", "target_id", "sample", r6("similar"), r6("dissimilar"))
+    out = lime.lime_samples(*_lime_inputs(spark, sf))
+    return out.select("source_id", "target_id", "sample", r6("similar"), r6("dissimilar"))
 
 
 def _lime(spark, sf):
-    scored = lime.lime_scores(_lime_variants(spark, sf), a.prepared_text(spark, sf).model)
-    return lime.lime_pairs(scored, a.items(spark, sf)).withColumn("contribution", F.round("contribution", 6))
+    return lime.lime_pairs(*_lime_inputs(spark, sf)).withColumn("contribution", F.round("contribution", 6))
 
 
 @query("lime_pairs")
