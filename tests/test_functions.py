@@ -1,0 +1,71 @@
+import pytest
+from pyspark.sql import functions as F
+
+from plain import clean, terms
+from shelfkin.functions import parsing, text, vectors
+
+
+def run(spark, values, fn, kind="string"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
+
+
+TEXTS = [
+    None, "", "<b>Été</b>  L'eau", "a <i\nclass='x'>tag</i> over lines", "x² y", "café au lait", "co_op  Store!",
+    "1,399 €", "\t tabs\nand\r\nbreaks ", "über-groß", "a < b > c",
+]
+
+
+def test_clean_text_matches_plain_python(spark):
+    assert run(spark, TEXTS, text.clean_text) == [clean(t) for t in TEXTS]
+
+
+def test_category_text(spark):
+    assert run(spark, ["Home|Kitchen & Dining|Pots", None], text.category_text) == ["home kitchen dining pots", ""]
+
+
+def test_words_and_bigrams_bridge_removed_words(spark):
+    got = run(spark, ["The cat of the old house x sat", "", "one"], lambda c: F.concat(
+        text.words(text.clean_text(c)), text.bigrams(text.words(text.clean_text(c)))
+    ))
+    assert got[0] == ["cat", "old", "house", "sat", "cat old", "old house", "house sat"]
+    assert got == [terms("The cat of the old house x sat"), [], ["one"]]
+
+
+def test_price_json(spark):
+    values = ['[{"amountMax":12.5},{"amountMax":9}]', '{"amountMin":3}', None, '"amountMax":12.', '"amountMax":-1']
+    assert run(spark, values, parsing.extract_price_json) == [12.5, None, None, 12.0, None]
+
+
+def test_price_text_and_fallback(spark):
+    values = ["₹1,399", "$29.99", "1.2.3", "free", None, "", "."]
+    assert run(spark, values, parsing.extract_price_text) == [1399.0, 29.99, None, None, None, None, None]
+    df = spark.createDataFrame([(None, "₹5"), ("₹4", "₹5"), ("x", None)], "a string, b string")
+    assert [r[0] for r in df.select(parsing.price_fallback(F.col("a"), F.col("b"))).collect()] == [5.0, 4.0, None]
+
+
+def test_brand_count(spark):
+    assert run(spark, ["  boAt Wave 2", "", None, " \t"], parsing.brand_from_name) == ["boAt", "unknown", "unknown", "unknown"]
+    assert run(spark, ["24,269", "", None, "abc", "12 reviews"], parsing.parse_count) == [24269, 0, 0, 0, 12]
+
+
+def test_rating_and_numbers(spark):
+    values = ["4", "4.0 out of 5", "abc", "4.0f", "4d", "NaN", "inf", "1e400", None, " 3.5 ", "-1", "1_000", "5."]
+    assert run(spark, values, parsing.parse_rating) == [
+        4.0, 4.0, None, None, None, None, None, None, None, 3.5, -1.0, None, 5.0
+    ]
+    assert run(spark, ["4.1", "|", None, "nan", "4.0 of 5"], parsing.numeric_or_zero) == [4.1, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_display(spark):
+    values = [12.5, 0.0, None, float("nan"), 1234567.891, 0.125, -3.0]
+    assert run(spark, values, parsing.money, "double") == ["$12.50", "N/A", "N/A", "N/A", "$1234567.89", "$0.12", "N/A"]
+    values = [0.25, 0.35, 12.35, 99.95, 0.0, -0.25, 100.0]
+    assert run(spark, values, lambda c: parsing.fixed(c, 1), "double") == [f"{v:.1f}" for v in values]
+
+
+def test_dense_cosine_and_clip(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
+    got = [r[0] for r in df.select(vectors.dense_cosine(F.col("a"), F.col("b"))).collect()]
+    assert got == [pytest.approx(2**-0.5), 0.0]
+    assert run(spark, [-0.2, 0.5, 1.0000001], vectors.clip_similarity, "double") == [0.0, 0.5, 1.0]

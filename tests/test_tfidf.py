@@ -1,0 +1,66 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from plain import fit, vector
+from shelfkin.operators import tfidf
+
+WORDS = "red blue green lamp desk chair the of and wood steel été größe x1 y".split()
+
+
+def make(n, seed=1):
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 30)))) for i in range(n)]
+
+
+def as_dict(item_terms):
+    out = {}
+    for r in item_terms.collect():
+        out.setdefault(r.id, {})[r.term] = r.weight
+    return out
+
+
+def test_weights_match_plain_python(spark):
+    rows = make(60) + [(60, None), (61, "the of and"), (62, "<b>red</b> lamp!")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    for limit in (5000, 7):
+        model = tfidf.fit(df, max_features=limit)
+        idf = fit([t for _, t in rows], max_features=limit)
+        assert model.terms == list(idf)
+        assert model.idf == pytest.approx(list(idf.values()))
+        got = as_dict(model.item_terms(tfidf.item_vectors(df, model)))
+        for i, t in rows:
+            assert got.get(i, {}) == pytest.approx(vector(t, idf))
+
+
+def test_segments_equal_the_joined_text(spark):
+    rows = make(40, seed=3)
+    rng = random.Random(5)
+    segments = []
+    for i, t in rows:
+        parts, w = [], t.split(" ")
+        while w:
+            cut = rng.randint(0, 4)
+            parts.append(" ".join(w[:cut]))
+            w = w[cut:]
+        segments += [(i, n, p) for n, p in enumerate(parts or [""])]
+    rng.shuffle(segments)
+    whole = spark.createDataFrame(rows, "id bigint, text string")
+    counts = tfidf.segment_term_counts(spark.createDataFrame(segments, "id bigint, seq bigint, text string"))
+    vocab = tfidf.segment_vocabulary(counts, whole.select("id"))
+    direct = tfidf.vocabulary(tfidf.with_terms(tfidf.with_words(whole)))
+    assert sorted(vocab.collect()) == sorted(direct.collect())
+    model = tfidf.TfidfModel.of(vocab)
+    a = as_dict(model.item_terms(tfidf.segment_vectors(counts, whole, model)))
+    b = as_dict(model.item_terms(tfidf.item_vectors(whole, model)))
+    assert a.keys() == b.keys()
+    for i in a:
+        assert a[i] == pytest.approx(b[i])
+
+
+def test_no_vocabulary(spark):
+    df = spark.createDataFrame([(1, "alpha"), (2, "beta")], "id bigint, text string")
+    model = tfidf.fit(df)
+    assert model.terms == []
+    assert tfidf.item_vectors(df, model).filter(F.size("idx") > 0).count() == 0
