@@ -83,17 +83,17 @@ def review_parts(reviews: DataFrame, part_rows: int = PART_ROWS, id_col: str = "
 def review_heads(parts: DataFrame, chars: int = HEAD_CHARS) -> DataFrame:
     """``(id, reviews_head)``: the first characters of each product's review text.
 
-    Every part adds at least its joining space, so no more than ``chars`` parts can matter; the
-    limit runs before the shuffle and only opening characters travel.
+    Every part after the first adds at least its joining space, so no more than ``chars + 1``
+    parts can matter; the limit runs before the shuffle and only opening characters travel.
     """
     order = Window.partitionBy("id").orderBy("part")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return (
         parts.select("id", "part", F.substring("text", 1, chars).alias("text"))
         .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= chars)
+        .filter(F.col("n") <= chars + 1)
         .withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
-        .filter(F.col("start") < chars)
+        .filter(F.col("start") <= chars)
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("rows"))
         .select("id", F.substring(F.array_join("rows.text", " "), 1, chars).alias("reviews_head"))

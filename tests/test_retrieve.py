@@ -1,0 +1,111 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfkin.operators import prompts, retrieve
+
+CARD = "id bigint, name string, brand string, price double, avg_rating double, review_count bigint, reviews_head string"
+
+
+def vectors(spark, n, name, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(n)]
+    rows += [(n + i, rows[0][1]) for i in range(n // 2)]
+    return spark.createDataFrame(rows, f"{name} bigint, embedding array<float>"), rows
+
+
+def brute(queries, corpus, k):
+    out = set()
+    for q, v in queries:
+        v = np.array(v)
+        scored = [(-round(float(v @ np.array(w) / np.linalg.norm(v) / np.linalg.norm(w)), 6), i) for i, w in corpus]
+        out |= {(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(scored)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+def test_topk_equals_brute_force(spark, few, monkeypatch):
+    monkeypatch.setattr(retrieve, "CELL_ROWS", 20)
+    monkeypatch.setattr(retrieve, "SLICE_ROWS", 16)
+    queries, q = vectors(spark, 30, "query_id", 1)
+    corpus, c = vectors(spark, 90, "id", 2)
+    got = retrieve.semantic_topk(queries, corpus, 4, few=few)
+    assert {(r.query_id, r.id, r.relevance_score, r["rank"]) for r in got.collect()} == brute(q, c, 4)
+
+
+def test_encoder_gives_unit_rows_and_loads_once_per_task(spark):
+    texts = spark.createDataFrame([(1, "red lamp"), (2, "Red  LAMP"), (3, ""), (4, None)], "id bigint, text string")
+    got = {r.id: r.embedding for r in retrieve.encode_texts(texts).collect()}
+    assert np.linalg.norm(got[1]) == pytest.approx(1.0, abs=1e-6)
+    assert got[1] == got[2] and not any(got[3]) and got[3] == got[4]
+    own = retrieve.encode_texts(texts, lambda: lambda batch: np.array([[len(t), 1.0] for t in batch]))
+    assert {r.id: len(r.embedding) for r in own.collect()} == {1: 2, 2: 2, 3: 2, 4: 2}
+
+
+def cards(spark):
+    rows = [(1, "Echo", "Amazon", 49.99, 4.25, 12, "loud and " * 30), (2, "Plug", None, None, 0.0, 0, None), (3, None, "X", 0.0, 5.0, 1, "ok")]
+    return spark.createDataFrame(rows, CARD)
+
+
+def test_records_and_corpus_text(spark):
+    df = cards(spark).withColumn("content", F.lit("some content"))
+    texts = {r.id: r.text for r in retrieve.embedding_corpus(df).collect()}
+    assert texts[1] == "Echo. Brand: Amazon. some content. " + ("loud and " * 30)[:500]
+    assert texts[2] == "Plug. Brand: . some content. "
+    records = {r.id: r for r in retrieve.search_records(df).collect()}
+    assert records[2].price == 0.0 and records[2].brand == "" and records[2].reviews_snippet == ""
+    assert len(records[1].reviews_snippet) == len("loud and " * 30)
+
+
+def test_context_block(spark):
+    top = spark.createDataFrame([(7, 1, 0.51234, 1), (7, 2, 0.4, 2), (7, 3, 0.1, 3), (7, 1, 0.0, 4)], "query_id bigint, id bigint, relevance_score double, rank int")
+    hits = retrieve.search_hits(top, retrieve.search_records(cards(spark)))
+    asked = spark.createDataFrame([(7,), (8,)], "query_id bigint")
+    got = {r.query_id: r.context for r in prompts.retrieval_context(asked, hits).collect()}
+    assert got[8] == "No matching products found in our catalog."
+    assert got[7] == (
+        "Product 1:\n  Name: Echo\n  Brand: Amazon\n  Price: $49.99\n  Rating: 4.2/5 (12 reviews)\n  Relevance: 51.2%\n"
+        f"  Customer feedback: {('loud and ' * 30)[:150]}...\n\n"
+        "Product 2:\n  Name: Plug\n  Brand: \n  Price: N/A\n  Rating: 0.0/5 (0 reviews)\n  Relevance: 40.0%\n\n"
+        "Product 3:\n  Name: \n  Brand: X\n  Price: N/A\n  Rating: 5.0/5 (1 reviews)\n  Relevance: 10.0%\n"
+        "  Customer feedback: ok...\n"
+    )
+
+
+def test_explanation_prompt(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 99)], "source_id bigint, target_id bigint")
+    explained = spark.createDataFrame(
+        [(1, 2, 0.456, [(1, "lamp", 1.0), (2, "red lamp", 1.0)])],
+        "source_id bigint, target_id bigint, similarity_score double, common_features array<struct<rank:int,feature:string,w:double>>",
+    )
+    got = {r.request_id: r for r in prompts.explanation_prompts(pairs, cards(spark), explained).collect()}
+    assert got["1-99"].prompt == prompts.NO_PRODUCT_PAIR and got["1-99"].status == "not found"
+    assert got["1-2"].prompt == (
+        "Explain why this product was recommended based on the user's interest:\n\nUser was viewing: Echo\n"
+        "- Brand: Amazon\n- Rating: 4.2/5\n\nRecommended product: Plug\n- Brand: Unknown\n- Rating: 0.0/5\n\n"
+        "Key matching features: lamp, red lamp\nSimilarity score: 0.46\n\n"
+        "Provide a brief, friendly explanation (2-3 sentences) of why this recommendation makes sense."
+    )
+
+
+def test_review_prompt(spark):
+    asked = spark.createDataFrame([(1,), (2,), (9,)], "id bigint")
+    got = {r.request_id: r for r in prompts.review_prompts(asked, cards(spark)).collect()}
+    assert (got["2"].prompt, got["9"].prompt) == (prompts.NO_REVIEWS, prompts.NO_PRODUCT)
+    assert got["1"].prompt.startswith('Summarize the following customer reviews for "Echo" in 3-4 bullet points:\n\nReviews:\nloud')
+    assert got["1"].prompt.endswith("loud and \n\nFocus on:\n- Key pros mentioned by customers\n- Any cons or concerns\n- Overall sentiment")
+
+
+def test_chat_prompt(spark):
+    messages = spark.createDataFrame([("a", 7, "hi?", 1), ("b", 8, "and?", None)], "request_id string, query_id bigint, message string, product_id bigint")
+    contexts = spark.createDataFrame([(7, "BLOCK")], "query_id bigint, context string")
+    requests = prompts.chat_requests(messages, cards(spark))
+    got = {r.request_id: r.prompt for r in prompts.chat_prompts(requests, contexts).collect()}
+    assert got["a"].startswith(
+        "Here are the most relevant products from our catalog that match the user's query:\n\nBLOCK\n\n"
+        "The user is currently viewing this product:\n- Product: Echo\n- Brand: Amazon\n- Price: $49.99\n- Rating: 4.2/5\n\n"
+        "User question: hi?\n\nIMPORTANT: You must ONLY"
+    )
+    assert "\n\nNo matching products found in our catalog.\n\nUser question: and?" in got["b"]
+    plain = {r.request_id: r.prompt for r in prompts.chat_prompts(requests).collect()}
+    assert plain["b"].startswith("User question: and?")
