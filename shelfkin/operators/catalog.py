@@ -44,21 +44,33 @@ def content_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def review_aggregates(reviews: DataFrame) -> DataFrame:
-    """Mean rating, number of rated reviews and distinct reviewers per id."""
-    rating = parse_rating(F.col("review_rating"))
+def unique_reviewers(reviews: DataFrame, id_col: str = "id", user: str = "username") -> DataFrame:
+    """Distinct known reviewers per id.
+
+    Counted apart from the other figures: a distinct count groups by id and reviewer first, and
+    wide product columns should not travel with that.
+    """
     return (
-        reviews.filter(F.col("id").isNotNull())
-        .withColumn("_rating", rating)
-        .groupBy("id")
-        .agg(
-            F.avg("_rating").alias("avg_rating"),
-            F.count("_rating").alias("review_count"),
-            F.count_distinct("username").alias("unique_reviewers"),
-        )
+        reviews.filter(F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.count_distinct(user).alias("unique_reviewers"))
     )
 
 
+def rated(reviews: DataFrame) -> DataFrame:
+    return reviews.filter(F.col("id").isNotNull()).withColumn("_rating", parse_rating(F.col("review_rating")))
+
+
+def rating_figures() -> list[Column]:
+    return [F.avg("_rating").alias("avg_rating"), F.count("_rating").alias("review_count")]
+
+
+def review_aggregates(reviews: DataFrame) -> DataFrame:
+    """Mean rating, number of rated reviews and distinct reviewers per id."""
+    figures = rated(reviews).groupBy("id").agg(*rating_figures())
+    return figures.join(unique_reviewers(reviews), "id")
+
+
 def review_parts(reviews: DataFrame, part_rows: int = PART_ROWS, id_col: str = "id",
                  text: str = "review_text") -> DataFrame:
     """``(id, part, text)``: cleaned reviews joined by spaces, at most ``part_rows`` per part.
@@ -70,7 +82,7 @@ def review_parts(reviews: DataFrame, part_rows: int = PART_ROWS, id_col: str = "
         reviews.filter(F.col(id_col).isNotNull())
         .select(
             F.col(id_col).alias("id"),
-            F.floor(F.col("ord") / part_rows).alias("part"),
+            F.expr(f"ord div {part_rows}").alias("part"),
             "ord",
             clean_text(F.col(text)).alias("text"),
         )
@@ -103,22 +115,14 @@ def review_heads(parts: DataFrame, chars: int = HEAD_CHARS) -> DataFrame:
 def catalog_build(reviews: DataFrame) -> DataFrame:
     """Product table of the review layout.
 
-    Product columns and review figures come from the same rows and the same key, so one
-    grouping yields both.
+    Product columns and rating figures come from the same rows and the same key, so one
+    grouping yields both; map-side it leaves one row per product.
     """
-    grouped = (
-        reviews.filter(F.col("id").isNotNull())
-        .withColumn("_rating", parse_rating(F.col("review_rating")))
-        .groupBy("id")
-        .agg(
-            *[first_known(c) for c in ("asins", "brand", "categories", "name", "prices", "manufacturer")],
-            F.avg("_rating").alias("avg_rating"),
-            F.count("_rating").alias("review_count"),
-            F.count_distinct("username").alias("unique_reviewers"),
-        )
-    )
+    firsts = [first_known(c) for c in ("asins", "brand", "categories", "name", "prices", "manufacturer")]
     return (
-        grouped.join(review_heads(review_parts(reviews)), "id", "left")
+        rated(reviews).groupBy("id").agg(*firsts, *rating_figures())
+        .join(unique_reviewers(reviews), "id")
+        .join(review_heads(review_parts(reviews)), "id", "left")
         .withColumns({
             "price": extract_price_json(F.col("prices")),
             "name_clean": clean_text(F.col("name")),
@@ -144,8 +148,9 @@ def standardise_sales(sales: DataFrame) -> DataFrame:
     return (
         sales.filter(F.col("product_id").isNotNull())
         .groupBy("product_id")
-        .agg(*[first_known(c) for c in SALES_FIRST], F.count_distinct("user_name").alias("unique_reviewers"))
+        .agg(*[first_known(c) for c in SALES_FIRST])
         .withColumnsRenamed({"product_id": "id", "product_name": "name", "category": "categories"})
+        .join(unique_reviewers(sales, "product_id", "user_name"), "id")
         .withColumn("brand", brand_from_name(F.col("name")))
         .withColumns({"asins": F.col("id").cast("string"), "manufacturer": F.col("brand")})
     )

@@ -6,9 +6,11 @@ an item is never its own neighbour. Three routes give the same lists:
 * one item: an equi join of its few terms with the long weight table (``recommend_one``);
 * few items: their vectors, a checked number of rows, go to every task and the catalog is
   scanned once where it lies;
-* many items: equal vectors are collapsed, the rest is laid out in blocks of like items, every
-  item first meets its own block, and meets another block only when the largest weights found
-  there could still beat what it has. The bound is an upper bound, so nothing is lost.
+* many items: equal vectors are collapsed and the rest is laid out in blocks of like items.
+  Every item first meets its own block, which sets the score it must beat, and meets another
+  block only when the largest weights found there could still do so. The bound is an upper
+  bound, so nothing is lost. Pairs of items never become rows: a task holds two bounded sets of
+  vectors and passes on the best few per item.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ from shelfkin.operators.tfidf import TfidfModel
 DIGITS = 6
 BLOCK_ROWS = 2048
 FEW_SOURCES = 2048
+GROUP_BLOCKS = 32
 SALTS = 32
 BROADCAST_BYTES = 64 << 20
+# More than half a step of the rounded scores, so that a bound is never a tie too low.
+SLACK = 1e-6
 
 
 # ---------------------------------------------------------------- kernel inside tasks
@@ -45,12 +50,15 @@ def _dense(rows: pa.Table, n_terms: int) -> np.ndarray:
 
 
 def best_targets(source_ids: pa.Array, source: np.ndarray, target_ids: pa.Array,
-                 target: np.ndarray, keep: int) -> pa.Table:
-    """The ``keep`` best positive targets of each source row; ``target_ids`` must be sorted."""
+                 target: np.ndarray, keep: int, floor: np.ndarray | None = None) -> pa.Table:
+    """The ``keep`` best positive targets of each source row; ``target_ids`` must be sorted.
+
+    Targets below a row's ``floor`` are left out.
+    """
     scores = np.round(source @ target.T, DIGITS)
     order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
     best = np.take_along_axis(scores, order, axis=1)
-    row, col = np.nonzero(best > 0)
+    row, col = np.nonzero((best > 0) & (best >= (0.0 if floor is None else floor[:, None])))
     return pa.table({
         "id": source_ids.take(pa.array(row)),
         "rec_id": target_ids.take(pa.array(order[row, col])),
@@ -185,58 +193,62 @@ def _home(blocked: DataFrame, k: int, n_terms: int) -> DataFrame:
     return blocked.select("id", "idx", "weights", "source").mapInArrow(scan, _pair_schema(blocked))
 
 
-def _cells(blocked: DataFrame, floors: DataFrame, n_blocks: int, n_terms: int) -> DataFrame:
-    """``(id, target, floor)``: the foreign blocks that could still improve an item's list.
+def _reach(blocked: DataFrame, floors: DataFrame, n_groups: int, n_terms: int) -> DataFrame:
+    """``(id, target, floor)``: the block groups that could still improve an item's list.
 
-    An item's score to any row of a block is at most the sum of its weights times the block's
-    largest weights. ``floors`` holds the last score of a full list; half a rounding step is
-    allowed for.
+    An item's score to any row is at most the sum of its weights times the largest weights
+    found in that row's group. ``floors`` holds the last score of a full list; half a rounding
+    step is allowed for. The largest weights are sent to all tasks while they are few; past
+    that every item goes to every group and the bound is taken there, block by block.
     """
+    sources = blocked.filter("source").select("id").join(floors, "id", "left").withColumn(
+        "floor", F.coalesce("floor", F.lit(0.0))
+    )
+    if n_groups * n_terms * 24 > BROADCAST_BYTES:
+        every = F.sequence(F.lit(0), F.lit(n_groups - 1))
+        return sources.select("id", F.explode(every).alias("target"), "floor")
     entries = blocked.select(
-        "id", "block", "source", F.explode(F.arrays_zip("idx", "weights")).alias("e")
-    ).select("id", "block", "source", "e.idx", "e.weights")
-    tops = entries.groupBy(F.col("block").alias("target"), "idx").agg(F.max("weights").alias("top"))
-    mine = entries.filter("source").drop("source")
-    if n_blocks * n_terms * 24 <= BROADCAST_BYTES:
-        met = mine.join(F.broadcast(tops), "idx")
-    else:
-        salted = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = mine.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(
-            salted, ["idx", "salt"]
-        )
+        "id", "group", "source", F.explode(F.arrays_zip("idx", "weights")).alias("e")
+    ).select("id", "group", "source", "e.idx", "e.weights")
+    tops = entries.groupBy(F.col("group").alias("target"), "idx").agg(F.max("weights").alias("top"))
     bounds = (
-        met.filter(F.col("block") != F.col("target"))
+        entries.filter("source").select("id", "idx", "weights")
+        .join(F.broadcast(tops), "idx")
         .groupBy("id", "target")
         .agg(F.sum(F.col("weights") * F.col("top")).alias("bound"))
     )
-    reach = bounds.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    return reach.filter(F.col("bound") > F.greatest(F.col("floor") - 1e-6, F.lit(0.0))).select(
-        "id", "target", "floor"
-    )
+    return bounds.join(sources, "id").filter(
+        F.col("bound") > F.greatest(F.col("floor") - SLACK, F.lit(0.0))
+    ).select("id", "target", "floor")
 
 
-def _foreign(blocked: DataFrame, cells: DataFrame, k: int, n_terms: int) -> DataFrame:
-    """Best targets of the surviving (item, foreign block) cells.
+def _foreign(blocked: DataFrame, reach: DataFrame, k: int, n_terms: int) -> DataFrame:
+    """Best targets of the items in the foreign blocks of the groups they reach.
 
-    A task holds one target block and those rows of one home block that reach it.
+    A task holds one group of blocks and those rows of one other group, or the same, that reach
+    it. Inside, an item again skips the blocks whose largest weights cannot lift it.
     """
-    rows = blocked.select("id", "idx", "weights", F.col("block").alias("home"))
-    sources = cells.join(rows, "id").select("home", "target", "id", "idx", "weights", "floor")
+    rows = blocked.select("id", "idx", "weights", F.col("group").alias("home"), "block")
+    sources = reach.join(rows, "id").select("home", "target", "id", "idx", "weights", "floor", "block")
     meetings = sources.select("home", "target").distinct()
     targets = meetings.join(
-        blocked.select(F.col("block").alias("target"), "id", "idx", "weights"), "target"
-    ).select(F.col("home").alias("with_home"), F.col("target").alias("at"), "id", "idx", "weights")
+        blocked.select(F.col("group").alias("target"), "id", "idx", "weights", "block"), "target"
+    ).select(F.col("home").alias("with_home"), F.col("target").alias("at"), "id", "idx", "weights", "block")
     schema = _pair_schema(blocked)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = _by_id(right)
-        ids, matrix = _ids(right), _dense(right, n_terms)
-        found = [
-            best_targets(_ids(part), _dense(part, n_terms), ids, matrix, k + 1)
-            for part in _slices(left, BLOCK_ROWS)
-        ]
-        if not found or not right.num_rows:
-            return pa.table({"id": left["id"][:0], "rec_id": left["id"][:0], "score": pa.array([], pa.float64())})
+        found = [pa.table({"id": left["id"][:0], "rec_id": left["id"][:0], "score": pa.array([], pa.float64())})]
+        for block in pc.unique(right["block"]).to_pylist():
+            there = _by_id(right.filter(pc.equal(right["block"], block)))
+            ids, matrix = _ids(there), _dense(there, n_terms)
+            top = matrix.max(axis=0)
+            for part in _slices(left.filter(pc.not_equal(left["block"], block)), BLOCK_ROWS):
+                source, floor = _dense(part, n_terms), part["floor"].to_numpy()
+                lift = np.flatnonzero(source @ top > np.maximum(floor - SLACK, 0.0))
+                if len(lift):
+                    found.append(best_targets(
+                        _ids(part).take(pa.array(lift)), source[lift], ids, matrix, k + 1, floor[lift]
+                    ))
         return pa.concat_tables(found)
 
     return (
@@ -246,6 +258,11 @@ def _foreign(blocked: DataFrame, cells: DataFrame, k: int, n_terms: int) -> Data
     )
 
 
+def _blocks_per_group(n_blocks: int, cores: int) -> int:
+    """Large groups copy rows to fewer places; small inputs still need a task per core."""
+    return max(1, min(GROUP_BLOCKS, n_blocks // math.ceil(math.sqrt(4 * cores))))
+
+
 def _many(vectors: DataFrame, sources: DataFrame | None, model: TfidfModel, k: int,
           block_rows: int) -> DataFrame:
     n_terms = len(model.terms)
@@ -255,7 +272,10 @@ def _many(vectors: DataFrame, sources: DataFrame | None, model: TfidfModel, k: i
     if sources is not None:
         wanted = wanted.join(sources.select("id"), "id", "left_semi")
         asked = wanted.select("key").distinct()
-    blocked = materialise(_blocked(keyed, asked, model, k, n_blocks))
+    per_group = _blocks_per_group(n_blocks, vectors.sparkSession.sparkContext.defaultParallelism)
+    blocked = materialise(
+        _blocked(keyed, asked, model, k, n_blocks).withColumn("group", F.expr(f"block div {per_group}").cast("int"))
+    )
 
     scored = _home(blocked, k, n_terms)
     if n_blocks > 1:
@@ -263,8 +283,8 @@ def _many(vectors: DataFrame, sources: DataFrame | None, model: TfidfModel, k: i
         floors = home.groupBy("id").agg(
             F.when(F.count("*") > k, F.min("score")).alias("floor")
         ).filter("floor is not null")
-        cells = _cells(blocked, floors, n_blocks, n_terms)
-        scored = home.unionByName(_foreign(blocked, cells, k, n_terms))
+        reach = _reach(blocked, floors, math.ceil(n_blocks / per_group), n_terms)
+        scored = home.unionByName(_foreign(blocked, reach, k, n_terms))
     groups = _lists(scored, k + 1).join(
         blocked.filter("source").select("id", "key", "copied"), "id"
     )

@@ -47,10 +47,17 @@ def test_all_items_equal_brute_force(numbers, block_rows, k):
     assert lists(nb.neighbour_lists(vectors, model, k, block_rows=block_rows)) == top(ids, plain, k)
 
 
-def test_bounds_joined_without_broadcast(numbers, monkeypatch):
+@pytest.mark.parametrize("sent", [0, 64 << 20])
+@pytest.mark.parametrize("per_group", [1, 3, 50])
+def test_groups_of_blocks(numbers, monkeypatch, sent, per_group):
     vectors, model, ids, plain = numbers
-    monkeypatch.setattr(nb, "BROADCAST_BYTES", 0)
-    assert lists(nb.neighbour_lists(vectors, model, 5, block_rows=32)) == top(ids, plain, 5)
+    monkeypatch.setattr(nb, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(nb, "_blocks_per_group", lambda n, cores: per_group)
+    assert lists(nb.neighbour_lists(vectors, model, 5, block_rows=16)) == top(ids, plain, 5)
+
+
+def test_group_size():
+    assert [nb._blocks_per_group(n, 8) for n in (1, 5, 11, 12, 100, 10**6)] == [1, 1, 1, 2, 16, 32]
 
 
 @pytest.mark.parametrize("few", [0, 2048])
