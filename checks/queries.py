@@ -377,8 +377,7 @@ def shared_terms(spark, sf):
 
 def _shap(spark, sf):
     ready = a.prepared_text(spark, sf)
-    background = sampling.background_rows(ready.vectors.select("id"))
-    return explain.shap_explanations(ready.item_terms, a.text_pairs(spark, sf), background)
+    return explain.shap_explanations(ready.item_terms, a.text_pairs(spark, sf), ready.vectors)
 
 
 @query("shap_pairs", "select source_id, target_id, feature, value, rank, base_value, similarity_score from shap")

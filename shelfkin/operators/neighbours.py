@@ -35,34 +35,95 @@ SALTS = 32
 BROADCAST_BYTES = 64 << 20
 # More than half a step of the rounded scores, so that a bound is never a tie too low.
 SLACK = 1e-6
+# Terms with more meetings of rows than this are cheaper as columns of a matrix product.
+COMMON = 30_000
 
 
 # ---------------------------------------------------------------- kernel inside tasks
 
 
-def _dense(rows: pa.Table, n_terms: int) -> np.ndarray:
-    """The sparse rows of a table as one matrix."""
-    idx, weights = rows["idx"].combine_chunks(), rows["weights"].combine_chunks()
-    out = np.zeros((len(idx), n_terms))
-    line = np.repeat(np.arange(len(idx)), pc.list_value_length(idx).to_numpy(zero_copy_only=False))
-    out[line, idx.flatten().to_numpy()] = weights.flatten().to_numpy()
+class Rows:
+    """Sparse rows of a table: entry ``e`` says that row ``line[e]`` holds term ``idx[e]``."""
+
+    def __init__(self, ids: pa.Array, line: np.ndarray, idx: np.ndarray, weights: np.ndarray):
+        self.ids, self.line, self.idx, self.weights = ids, line, idx, weights
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Rows:
+        idx, weights = table["idx"].combine_chunks(), table["weights"].combine_chunks()
+        line = np.repeat(np.arange(len(idx)), pc.list_value_length(idx).to_numpy(zero_copy_only=False))
+        return cls(_ids(table), line, idx.flatten().to_numpy(), weights.flatten().to_numpy())
+
+    def take(self, rows: np.ndarray) -> Rows:
+        """The given rows, an ascending list of positions."""
+        place = np.full(len(self.ids), -1)
+        place[rows] = np.arange(len(rows))
+        at = place[self.line]
+        held = at >= 0
+        return Rows(self.ids.take(pa.array(rows)), at[held], self.idx[held], self.weights[held])
+
+    def top(self, n_terms: int) -> np.ndarray:
+        """The largest weight of every term."""
+        out = np.zeros(n_terms)
+        np.maximum.at(out, self.idx, self.weights)
+        return out
+
+    def bound(self, top: np.ndarray) -> np.ndarray:
+        return np.bincount(self.line, self.weights * top[self.idx], minlength=len(self.ids))
+
+    def columns(self, terms: np.ndarray, n_terms: int) -> np.ndarray:
+        """The given terms' columns as a matrix."""
+        place = np.full(n_terms, -1)
+        place[terms] = np.arange(len(terms))
+        at = place[self.idx]
+        held = at >= 0
+        out = np.zeros((len(self.ids), len(terms)))
+        out[self.line[held], at[held]] = self.weights[held]
+        return out
+
+    def postings(self, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and weights in term order, with each term's first position."""
+        order = np.argsort(self.idx, kind="stable")
+        starts = np.searchsorted(self.idx[order], np.arange(n_terms + 1))
+        return self.line[order], self.weights[order], starts
+
+
+def products(source: Rows, target: Rows, n_terms: int) -> np.ndarray:
+    """Dot products of all rows of two sets.
+
+    Terms that many rows hold go through one matrix product, the others touch only the rows
+    that hold them.
+    """
+    rows, weights, at = source.postings(n_terms)
+    cols, others, to = target.postings(n_terms)
+    meetings = np.diff(at) * np.diff(to)
+    common = np.flatnonzero(meetings > COMMON)
+    out = source.columns(common, n_terms) @ target.columns(common, n_terms).T
+    for t in np.flatnonzero((meetings > 0) & (meetings <= COMMON)):
+        mine, theirs = slice(at[t], at[t + 1]), slice(to[t], to[t + 1])
+        out[rows[mine, None], cols[theirs]] += weights[mine, None] * others[theirs]
     return out
 
 
-def best_targets(source_ids: pa.Array, source: np.ndarray, target_ids: pa.Array,
-                 target: np.ndarray, keep: int, floor: np.ndarray | None = None) -> pa.Table:
-    """The ``keep`` best positive targets of each source row; ``target_ids`` must be sorted.
+def best_targets(source: Rows, target: Rows, n_terms: int, keep: int,
+                 floor: np.ndarray | None = None) -> pa.Table:
+    """The ``keep`` best positive targets of each source row; target rows must be in id order.
 
     Targets below a row's ``floor`` are left out.
     """
-    scores = np.round(source @ target.T, DIGITS)
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-    best = np.take_along_axis(scores, order, axis=1)
-    row, col = np.nonzero((best > 0) & (best >= (0.0 if floor is None else floor[:, None])))
+    scores = np.round(products(source, target, n_terms), DIGITS)
+    least = np.zeros(len(scores)) if floor is None else floor
+    if scores.shape[1] > keep:
+        least = np.maximum(least, np.partition(scores, -keep, axis=1)[:, -keep])
+    row, col = np.nonzero((scores >= least[:, None]) & (scores > 0))
+    value = scores[row, col]
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < keep
     return pa.table({
-        "id": source_ids.take(pa.array(row)),
-        "rec_id": target_ids.take(pa.array(order[row, col])),
-        "score": best[row, col],
+        "id": source.ids.take(pa.array(row[first])),
+        "rec_id": target.ids.take(pa.array(col[first])),
+        "score": value[first],
     })
 
 
@@ -121,12 +182,10 @@ def _few(vectors: DataFrame, sources: DataFrame, k: int, n_terms: int) -> DataFr
     shared = vectors.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches):
-        source = shared.value
-        ids, matrix = _ids(source), _dense(source, n_terms)
+        source = Rows.of(shared.value)
         for batch in batches:
             for part in _slices(pa.Table.from_batches([batch]), BLOCK_ROWS):
-                part = _by_id(part)
-                yield from best_targets(ids, matrix, _ids(part), _dense(part, n_terms), k + 1).to_batches()
+                yield from best_targets(source, Rows.of(_by_id(part)), n_terms, k + 1).to_batches()
 
     scored = vectors.select("id", "idx", "weights").mapInArrow(scan, _pair_schema(vectors))
     return _lists(scored, k + 1).select("id", _without_self(F.col("recs"), k).alias("recs"))
@@ -180,15 +239,11 @@ def _home(blocked: DataFrame, k: int, n_terms: int) -> DataFrame:
         batches = list(batches)
         if not batches:
             return
-        targets = _by_id(pa.Table.from_batches(batches))
-        ids, matrix = _ids(targets), _dense(targets, n_terms)
-        lead = targets["source"].to_numpy()
-        for start in range(0, len(ids), BLOCK_ROWS):
-            here = np.flatnonzero(lead[start:start + BLOCK_ROWS]) + start
-            if len(here):
-                yield from best_targets(
-                    ids.take(pa.array(here)), matrix[here], ids, matrix, k + 1
-                ).to_batches()
+        table = _by_id(pa.Table.from_batches(batches))
+        targets, lead = Rows.of(table), np.flatnonzero(table["source"].to_numpy())
+        for start in range(0, len(lead), BLOCK_ROWS):
+            here = targets.take(lead[start:start + BLOCK_ROWS])
+            yield from best_targets(here, targets, n_terms, k + 1).to_batches()
 
     return blocked.select("id", "idx", "weights", "source").mapInArrow(scan, _pair_schema(blocked))
 
@@ -239,16 +294,13 @@ def _foreign(blocked: DataFrame, reach: DataFrame, k: int, n_terms: int) -> Data
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [pa.table({"id": left["id"][:0], "rec_id": left["id"][:0], "score": pa.array([], pa.float64())})]
         for block in pc.unique(right["block"]).to_pylist():
-            there = _by_id(right.filter(pc.equal(right["block"], block)))
-            ids, matrix = _ids(there), _dense(there, n_terms)
-            top = matrix.max(axis=0)
+            there = Rows.of(_by_id(right.filter(pc.equal(right["block"], block))))
+            top = there.top(n_terms)
             for part in _slices(left.filter(pc.not_equal(left["block"], block)), BLOCK_ROWS):
-                source, floor = _dense(part, n_terms), part["floor"].to_numpy()
-                lift = np.flatnonzero(source @ top > np.maximum(floor - SLACK, 0.0))
+                source, floor = Rows.of(part), part["floor"].to_numpy()
+                lift = np.flatnonzero(source.bound(top) > np.maximum(floor - SLACK, 0.0))
                 if len(lift):
-                    found.append(best_targets(
-                        _ids(part).take(pa.array(lift)), source[lift], ids, matrix, k + 1, floor[lift]
-                    ))
+                    found.append(best_targets(source.take(lift), there, n_terms, k + 1, floor[lift]))
         return pa.concat_tables(found)
 
     return (
@@ -330,7 +382,7 @@ def neighbour_lists(vectors: DataFrame, model: TfidfModel, k: int = 5,
     if sources is None:
         lists = _many(with_terms, None, model, k, block_rows)
     else:
-        sources = sources.select("id").distinct()
+        sources = materialise(sources.select("id").distinct())
         empty = empty.join(sources, "id", "left_semi")
         if sources.limit(few + 1).count() <= few:
             chosen = with_terms.join(F.broadcast(sources), "id", "left_semi")

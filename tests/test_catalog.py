@@ -11,10 +11,10 @@ from shelfkin.sources import artifacts, readers
 HEAD = ["id", "asins", "brand", "categories", "keys", "name", "prices", "manufacturer", "reviews.text",
         "reviews.title", "reviews.rating", "reviews.username"]
 REVIEWS = [
-    ["p1", "A1", "", "Audio, Home", "k", "Echo", '[{"amountMax":99.9,"currency":"USD"}]', "Amazon", "Great <b>sound</b>,\nreally \"good\"", "t", "5", "ann"],
-    ["p1", "A2", "Amazon", "", "k", "Other name", "", "", "", "t", "4.0 stars", "bob"],
+    ["p1", "A1", "", "Audio, Home", "k", "Speaker", '[{"amountMax":99.9,"currency":"USD"}]', "Acme", "Great <b>sound</b>,\nreally \"good\"", "t", "5", "ann"],
+    ["p1", "A2", "Acme", "", "k", "Other name", "", "", "", "t", "4.0 stars", "bob"],
     ["p1", "", "Zzz", "", "k", "", "", "", "works fine", "t", "n/a", "ann"],
-    ["p2", "B1", "NaN", "", "k", "Kindle", "", "", "reads well", "t", "", ""],
+    ["p2", "B1", "NaN", "", "k", "Reader", "", "", "reads well", "t", "", ""],
     ["", "C1", "Lost", "", "k", "No id", "", "", "gone", "t", "1", "eve"],
 ]
 
@@ -39,11 +39,11 @@ def test_catalog_from_reviews(spark, review_csv):
     got = {r.id: r for r in catalog.catalog_build(reviews).collect()}
     assert set(got) == {"p1", "p2"}
     p1, p2 = got["p1"], got["p2"]
-    assert (p1.asins, p1.brand, p1.name, p1.categories, p1.price) == ("A1", "Amazon", "Echo", "Audio, Home", 99.9)
-    assert p1.content == "echo audio home amazon"
+    assert (p1.asins, p1.brand, p1.name, p1.categories, p1.price) == ("A1", "Acme", "Speaker", "Audio, Home", 99.9)
+    assert p1.content == "speaker audio home acme"
     assert (p1.avg_rating, p1.review_count, p1.unique_reviewers) == (4.5, 2, 2)
     assert p1.reviews_head == "great sound really good  works fine"
-    assert (p2.brand, p2.brand_clean, p2.content) == (None, "unknown", "kindle  unknown")
+    assert (p2.brand, p2.brand_clean, p2.content) == (None, "unknown", "reader  unknown")
     assert (p2.avg_rating, p2.review_count, p2.unique_reviewers, p2.price) == (0.0, 0, 0, None)
 
 
@@ -69,7 +69,7 @@ def test_review_text_is_whole_and_in_order_for_a_very_large_product(spark):
 def test_sales_layout(spark, tmp_path):
     columns = list(readers.SALES_COLUMNS)
     path = tmp_path / "sales.csv"
-    base = {"product_id": "B1", "product_name": "boAt Wave", "category": "Watches|Smart", "discounted_price": "",
+    base = {"product_id": "B1", "product_name": "Nova Wave", "category": "Watches|Smart", "discounted_price": "",
             "actual_price": "₹1,999", "rating": "|", "rating_count": "24,269", "about_product": "Nice | <i>thin</i>",
             "review_content": "Good, value", "user_name": "ann,bob", "review_title": "x", "img_link": "",
             "discount_percentage": "5%"}
@@ -79,9 +79,9 @@ def test_sales_layout(spark, tmp_path):
         w.writeheader()
         w.writerows([base, other])
     row = catalog.sales_catalog_build(readers.scan_sales(spark, str(path))).collect()[0]
-    assert (row.id, row.asins, row.brand, row.manufacturer, row.name) == ("B1", "B1", "boAt", "boAt", "boAt Wave")
+    assert (row.id, row.asins, row.brand, row.manufacturer, row.name) == ("B1", "B1", "Nova", "Nova", "Nova Wave")
     assert (row.price, row.avg_rating, row.review_count, row.unique_reviewers) == (1999.0, 0.0, 24269, 2)
-    assert row.content == "boat wave watches smart boat nice thin"
+    assert row.content == "nova wave watches smart nova nice thin"
     assert row.reviews_head == "good value meh"
     tables = process_sales(spark, str(path), str(tmp_path / "out"))
     assert tables["products"].count() == 1
@@ -93,7 +93,7 @@ def test_process_writes_tables_that_load_back(spark, review_csv, tmp_path):
     assert tables["products"].count() == 2 and tables["item_vectors"].count() == 2
     assert tables["product_lookup"].columns == catalog.LOOKUP_COLUMNS
     found = catalog.product_by_id(tables["products"], "p2").collect()
-    assert [r.name for r in found] == ["Kindle"]
+    assert [r.name for r in found] == ["Reader"]
     assert catalog.product_by_id(tables["products"], "nope").count() == 0
 
 

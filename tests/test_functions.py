@@ -45,7 +45,7 @@ def test_price_text_and_fallback(spark):
 
 
 def test_brand_count(spark):
-    assert run(spark, ["  boAt Wave 2", "", None, " \t"], parsing.brand_from_name) == ["boAt", "unknown", "unknown", "unknown"]
+    assert run(spark, ["  Nova Wave 2", "", None, " \t"], parsing.brand_from_name) == ["Nova", "unknown", "unknown", "unknown"]
     assert run(spark, ["24,269", "", None, "abc", "12 reviews"], parsing.parse_count) == [24269, 0, 0, 0, 12]
 
 

@@ -43,14 +43,14 @@ def test_encoder_gives_unit_rows_and_loads_once_per_task(spark):
 
 
 def cards(spark):
-    rows = [(1, "Echo", "Amazon", 49.99, 4.25, 12, "loud and " * 30), (2, "Plug", None, None, 0.0, 0, None), (3, None, "X", 0.0, 5.0, 1, "ok")]
+    rows = [(1, "Speaker", "Acme", 49.99, 4.25, 12, "loud and " * 30), (2, "Plug", None, None, 0.0, 0, None), (3, None, "X", 0.0, 5.0, 1, "ok")]
     return spark.createDataFrame(rows, CARD)
 
 
 def test_records_and_corpus_text(spark):
     df = cards(spark).withColumn("content", F.lit("some content"))
     texts = {r.id: r.text for r in retrieve.embedding_corpus(df).collect()}
-    assert texts[1] == "Echo. Brand: Amazon. some content. " + ("loud and " * 30)[:500]
+    assert texts[1] == "Speaker. Brand: Acme. some content. " + ("loud and " * 30)[:500]
     assert texts[2] == "Plug. Brand: . some content. "
     records = {r.id: r for r in retrieve.search_records(df).collect()}
     assert records[2].price == 0.0 and records[2].brand == "" and records[2].reviews_snippet == ""
@@ -64,7 +64,7 @@ def test_context_block(spark):
     got = {r.query_id: r.context for r in prompts.retrieval_context(asked, hits).collect()}
     assert got[8] == "No matching products found in our catalog."
     assert got[7] == (
-        "Product 1:\n  Name: Echo\n  Brand: Amazon\n  Price: $49.99\n  Rating: 4.2/5 (12 reviews)\n  Relevance: 51.2%\n"
+        "Product 1:\n  Name: Speaker\n  Brand: Acme\n  Price: $49.99\n  Rating: 4.2/5 (12 reviews)\n  Relevance: 51.2%\n"
         f"  Customer feedback: {('loud and ' * 30)[:150]}...\n\n"
         "Product 2:\n  Name: Plug\n  Brand: \n  Price: N/A\n  Rating: 0.0/5 (0 reviews)\n  Relevance: 40.0%\n\n"
         "Product 3:\n  Name: \n  Brand: X\n  Price: N/A\n  Rating: 5.0/5 (1 reviews)\n  Relevance: 10.0%\n"
@@ -81,8 +81,8 @@ def test_explanation_prompt(spark):
     got = {r.request_id: r for r in prompts.explanation_prompts(pairs, cards(spark), explained).collect()}
     assert got["1-99"].prompt == prompts.NO_PRODUCT_PAIR and got["1-99"].status == "not found"
     assert got["1-2"].prompt == (
-        "Explain why this product was recommended based on the user's interest:\n\nUser was viewing: Echo\n"
-        "- Brand: Amazon\n- Rating: 4.2/5\n\nRecommended product: Plug\n- Brand: Unknown\n- Rating: 0.0/5\n\n"
+        "Explain why this product was recommended based on the user's interest:\n\nUser was viewing: Speaker\n"
+        "- Brand: Acme\n- Rating: 4.2/5\n\nRecommended product: Plug\n- Brand: Unknown\n- Rating: 0.0/5\n\n"
         "Key matching features: lamp, red lamp\nSimilarity score: 0.46\n\n"
         "Provide a brief, friendly explanation (2-3 sentences) of why this recommendation makes sense."
     )
@@ -92,7 +92,7 @@ def test_review_prompt(spark):
     asked = spark.createDataFrame([(1,), (2,), (9,)], "id bigint")
     got = {r.request_id: r for r in prompts.review_prompts(asked, cards(spark)).collect()}
     assert (got["2"].prompt, got["9"].prompt) == (prompts.NO_REVIEWS, prompts.NO_PRODUCT)
-    assert got["1"].prompt.startswith('Summarize the following customer reviews for "Echo" in 3-4 bullet points:\n\nReviews:\nloud')
+    assert got["1"].prompt.startswith('Summarize the following customer reviews for "Speaker" in 3-4 bullet points:\n\nReviews:\nloud')
     assert got["1"].prompt.endswith("loud and \n\nFocus on:\n- Key pros mentioned by customers\n- Any cons or concerns\n- Overall sentiment")
 
 
@@ -103,7 +103,7 @@ def test_chat_prompt(spark):
     got = {r.request_id: r.prompt for r in prompts.chat_prompts(requests, contexts).collect()}
     assert got["a"].startswith(
         "Here are the most relevant products from our catalog that match the user's query:\n\nBLOCK\n\n"
-        "The user is currently viewing this product:\n- Product: Echo\n- Brand: Amazon\n- Price: $49.99\n- Rating: 4.2/5\n\n"
+        "The user is currently viewing this product:\n- Product: Speaker\n- Brand: Acme\n- Price: $49.99\n- Rating: 4.2/5\n\n"
         "User question: hi?\n\nIMPORTANT: You must ONLY"
     )
     assert "\n\nNo matching products found in our catalog.\n\nUser question: and?" in got["b"]
