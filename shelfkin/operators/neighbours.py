@@ -28,9 +28,9 @@ from shelfkin.lineage import materialise
 from shelfkin.operators.tfidf import TfidfModel
 
 DIGITS = 6
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 FEW_SOURCES = 2048
-GROUP_BLOCKS = 32
+GROUP_BLOCKS = 64
 SALTS = 32
 BROADCAST_BYTES = 64 << 20
 # More than half a step of the rounded scores, so that a bound is never a tie too low.
@@ -205,12 +205,20 @@ def _blocked(keyed: DataFrame, asked: DataFrame | None, model: TfidfModel, k: in
 
     Of equal vectors the ``k + 1`` smallest ids stand for all: they have the same score to
     every item, so no further copy can enter a list of ``k``. The window limit runs before the
-    shuffle. Rows are ordered by their most common and then their heaviest term; the id at the
-    end splits rows that agree on both. ``asked`` names the vectors wanted as sources.
+    shuffle. Rows are ordered by the term they use most often, common ones first, and then by
+    their heaviest term; the id at the end splits rows that agree on both. ``asked`` names the
+    vectors wanted as sources.
     """
     same = Window.partitionBy("key")
     idf = F.lit(model.idf).cast("array<double>")
-    commonest = F.array_min(F.transform("idx", lambda i: F.struct(F.get(idf, i).alias("idf"), i.alias("i"))))
+    used = F.array_max(F.transform(
+        F.arrays_zip("idx", "weights"),
+        lambda e: F.struct(
+            F.round(e.weights / F.get(idf, e.idx), 9).alias("times"),
+            (-F.get(idf, e.idx)).alias("common"),
+            e.idx.alias("idx"),
+        ),
+    ))
     heaviest = F.element_at("idx", F.array_position("weights", F.array_max("weights")).cast("int"))
     kept = (
         keyed.withColumn("copy", F.row_number().over(same.orderBy("id")))
@@ -224,11 +232,11 @@ def _blocked(keyed: DataFrame, asked: DataFrame | None, model: TfidfModel, k: in
             "source", (F.col("copy") == 1) & F.coalesce("asked", F.lit(False))
         ).drop("asked")
     return (
-        kept.withColumn("common", commonest["i"])
+        kept.withColumn("used", used)
         .withColumn("heavy", heaviest)
-        .repartitionByRange(n_blocks, "common", "heavy", "id")
+        .repartitionByRange(n_blocks, F.desc("used.common"), "used.idx", "heavy", "id")
         .withColumn("block", F.spark_partition_id())
-        .drop("common", "heavy", "copy")
+        .drop("used", "heavy", "copy")
     )
 
 
@@ -248,7 +256,7 @@ def _home(blocked: DataFrame, k: int, n_terms: int) -> DataFrame:
     return blocked.select("id", "idx", "weights", "source").mapInArrow(scan, _pair_schema(blocked))
 
 
-def _reach(blocked: DataFrame, floors: DataFrame, n_groups: int, n_terms: int) -> DataFrame:
+def _reach(blocked: DataFrame, floors: DataFrame, n_groups: int, per_group: int, n_terms: int) -> DataFrame:
     """``(id, target, floor)``: the block groups that could still improve an item's list.
 
     An item's score to any row is at most the sum of its weights times the largest weights
@@ -256,12 +264,14 @@ def _reach(blocked: DataFrame, floors: DataFrame, n_groups: int, n_terms: int) -
     step is allowed for. The largest weights are sent to all tasks while they are few; past
     that every item goes to every group and the bound is taken there, block by block.
     """
-    sources = blocked.filter("source").select("id").join(floors, "id", "left").withColumn(
+    sources = blocked.filter("source").select("id", "group").join(floors, "id", "left").withColumn(
         "floor", F.coalesce("floor", F.lit(0.0))
     )
+    # A group of one block is no more than the home block, which has been met.
+    foreign = F.lit(True) if per_group > 1 else F.col("target") != F.col("group")
     if n_groups * n_terms * 24 > BROADCAST_BYTES:
         every = F.sequence(F.lit(0), F.lit(n_groups - 1))
-        return sources.select("id", F.explode(every).alias("target"), "floor")
+        return sources.withColumn("target", F.explode(every)).filter(foreign).select("id", "target", "floor")
     entries = blocked.select(
         "id", "group", "source", F.explode(F.arrays_zip("idx", "weights")).alias("e")
     ).select("id", "group", "source", "e.idx", "e.weights")
@@ -272,9 +282,8 @@ def _reach(blocked: DataFrame, floors: DataFrame, n_groups: int, n_terms: int) -
         .groupBy("id", "target")
         .agg(F.sum(F.col("weights") * F.col("top")).alias("bound"))
     )
-    return bounds.join(sources, "id").filter(
-        F.col("bound") > F.greatest(F.col("floor") - SLACK, F.lit(0.0))
-    ).select("id", "target", "floor")
+    lifts = F.col("bound") > F.greatest(F.col("floor") - SLACK, F.lit(0.0))
+    return bounds.join(sources, "id").filter(lifts & foreign).select("id", "target", "floor")
 
 
 def _foreign(blocked: DataFrame, reach: DataFrame, k: int, n_terms: int) -> DataFrame:
@@ -335,7 +344,7 @@ def _many(vectors: DataFrame, sources: DataFrame | None, model: TfidfModel, k: i
         floors = home.groupBy("id").agg(
             F.when(F.count("*") > k, F.min("score")).alias("floor")
         ).filter("floor is not null")
-        reach = _reach(blocked, floors, math.ceil(n_blocks / per_group), n_terms)
+        reach = _reach(blocked, floors, math.ceil(n_blocks / per_group), per_group, n_terms)
         scored = home.unionByName(_foreign(blocked, reach, k, n_terms))
     groups = _lists(scored, k + 1).join(
         blocked.filter("source").select("id", "key", "copied"), "id"

@@ -57,7 +57,7 @@ def test_groups_of_blocks(numbers, monkeypatch, sent, per_group):
 
 
 def test_group_size():
-    assert [nb._blocks_per_group(n, 8) for n in (1, 5, 11, 12, 100, 10**6)] == [1, 1, 1, 2, 16, 32]
+    assert [nb._blocks_per_group(n, 8) for n in (1, 5, 11, 12, 100, 10**6)] == [1, 1, 1, 2, 16, 64]
 
 
 @pytest.mark.parametrize("few", [0, 2048])
