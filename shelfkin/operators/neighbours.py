@@ -29,9 +29,11 @@ from shelfkin.operators.tfidf import TfidfModel
 
 DIGITS = 6
 BLOCK_ROWS = 1024
-FEW_SOURCES = 2048
+# Sources are few while their vectors hold no more entries than this: 48 MB on every executor.
+FEW_ENTRIES = 4 << 20
 GROUP_BLOCKS = 64
 SALTS = 32
+MERGE_AFTER = 32
 BROADCAST_BYTES = 64 << 20
 # More than half a step of the rounded scores, so that a bound is never a tie too low.
 SLACK = 1e-6
@@ -176,16 +178,28 @@ def _no_recs(df: DataFrame) -> Column:
 # ---------------------------------------------------------------- few items
 
 
+def _merged(found: list[pa.Table], keep: int) -> pa.Table:
+    """The ``keep`` best rows of every id."""
+    rows = pa.concat_tables(found).sort_by([("id", "ascending"), ("score", "descending"), ("rec_id", "ascending")])
+    code = rows["id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    return rows.filter(pa.array(np.arange(len(code)) - np.searchsorted(code, code) < keep))
+
+
 def _few(vectors: DataFrame, sources: DataFrame, k: int, n_terms: int) -> DataFrame:
-    """Lists of few sources: one pass over the catalog, ``k + 1`` rows per source and batch."""
-    table = sources.select("id", "idx", "weights").toArrow()
-    shared = vectors.sparkSession.sparkContext.broadcast(table)
+    """Lists of few sources: one pass over the catalog, ``k + 1`` rows per source and task."""
+    shared = vectors.sparkSession.sparkContext.broadcast(sources.select("id", "idx", "weights").toArrow())
 
     def scan(batches):
-        source = Rows.of(shared.value)
+        asked = [Rows.of(part.combine_chunks()) for part in _slices(shared.value, BLOCK_ROWS)]
+        found: list[pa.Table] = []
         for batch in batches:
             for part in _slices(pa.Table.from_batches([batch]), BLOCK_ROWS):
-                yield from best_targets(source, Rows.of(_by_id(part)), n_terms, k + 1).to_batches()
+                targets = Rows.of(_by_id(part))
+                found += [best_targets(source, targets, n_terms, k + 1) for source in asked]
+            if len(found) > MERGE_AFTER * len(asked):
+                found = [_merged(found, k + 1)]
+        if found:
+            yield from _merged(found, k + 1).to_batches()
 
     scored = vectors.select("id", "idx", "weights").mapInArrow(scan, _pair_schema(vectors))
     return _lists(scored, k + 1).select("id", _without_self(F.col("recs"), k).alias("recs"))
@@ -378,13 +392,18 @@ def _padded(lists: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _entries(vectors: DataFrame) -> int:
+    return vectors.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()[0]
+
+
 def neighbour_lists(vectors: DataFrame, model: TfidfModel, k: int = 5,
                     sources: DataFrame | None = None, pad: bool = False,
-                    block_rows: int = BLOCK_ROWS, few: int = FEW_SOURCES) -> DataFrame:
+                    block_rows: int = BLOCK_ROWS, few: int = FEW_ENTRIES) -> DataFrame:
     """``(id, recs array<struct<rec_id, score>>)``, one row per source, best first.
 
     ``vectors(id, idx, weights)`` is the catalog; ``sources`` limits whose lists are wanted.
-    Without ``pad`` a list holds positive scores only.
+    Without ``pad`` a list holds positive scores only. ``few`` is the number of vector entries
+    up to which sources are sent to every task.
     """
     with_terms = vectors.filter(F.size("idx") > 0)
     empty = vectors.filter(F.size("idx") == 0).select("id", _no_recs(vectors).alias("recs"))
@@ -393,8 +412,9 @@ def neighbour_lists(vectors: DataFrame, model: TfidfModel, k: int = 5,
     else:
         sources = materialise(sources.select("id").distinct())
         empty = empty.join(sources, "id", "left_semi")
-        if sources.limit(few + 1).count() <= few:
-            chosen = with_terms.join(F.broadcast(sources), "id", "left_semi")
+        chosen = with_terms.join(sources, "id", "left_semi")
+        # Count ids before looking at vectors: every vector has an entry at least.
+        if sources.count() <= few and _entries(chosen) <= few:
             lists = _few(with_terms, chosen, k, len(model.terms))
         else:
             lists = _many(with_terms, sources, model, k, block_rows)
