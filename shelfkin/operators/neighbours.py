@@ -4,7 +4,7 @@ Scores are rounded to six digits, lists are ordered by score descending and id a
 an item is never its own neighbour. Three routes give the same lists:
 
 * one item: an equi join of its few terms with the long weight table (``recommend_one``);
-* few items: their vectors, a checked number of rows, go to every task and the catalog is
+* few items: their vectors, a checked number of entries, go to every task and the catalog is
   scanned once where it lies;
 * many items: equal vectors are collapsed and the rest is laid out in blocks of like items.
   Every item first meets its own block, which sets the score it must beat, and meets another
@@ -16,7 +16,6 @@ an item is never its own neighbour. Three routes give the same lists:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfkin.lineage import materialise
+from shelfkin.operators.sparse import DIGITS, Rows, best_targets, by_id, merged, slices
 from shelfkin.operators.tfidf import TfidfModel
+from shelfkin.shipping import ship
 
-DIGITS = 6
 BLOCK_ROWS = 1024
 # Sources are few while their vectors hold no more entries than this: 48 MB on every executor.
 FEW_ENTRIES = 4 << 20
@@ -37,109 +37,6 @@ MERGE_AFTER = 32
 BROADCAST_BYTES = 64 << 20
 # More than half a step of the rounded scores, so that a bound is never a tie too low.
 SLACK = 1e-6
-# Terms with more meetings of rows than this are cheaper as columns of a matrix product.
-COMMON = 30_000
-
-
-# ---------------------------------------------------------------- kernel inside tasks
-
-
-class Rows:
-    """Sparse rows of a table: entry ``e`` says that row ``line[e]`` holds term ``idx[e]``."""
-
-    def __init__(self, ids: pa.Array, line: np.ndarray, idx: np.ndarray, weights: np.ndarray):
-        self.ids, self.line, self.idx, self.weights = ids, line, idx, weights
-
-    @classmethod
-    def of(cls, table: pa.Table) -> Rows:
-        idx, weights = table["idx"].combine_chunks(), table["weights"].combine_chunks()
-        line = np.repeat(np.arange(len(idx)), pc.list_value_length(idx).to_numpy(zero_copy_only=False))
-        return cls(_ids(table), line, idx.flatten().to_numpy(), weights.flatten().to_numpy())
-
-    def take(self, rows: np.ndarray) -> Rows:
-        """The given rows, an ascending list of positions."""
-        place = np.full(len(self.ids), -1)
-        place[rows] = np.arange(len(rows))
-        at = place[self.line]
-        held = at >= 0
-        return Rows(self.ids.take(pa.array(rows)), at[held], self.idx[held], self.weights[held])
-
-    def top(self, n_terms: int) -> np.ndarray:
-        """The largest weight of every term."""
-        out = np.zeros(n_terms)
-        np.maximum.at(out, self.idx, self.weights)
-        return out
-
-    def bound(self, top: np.ndarray) -> np.ndarray:
-        return np.bincount(self.line, self.weights * top[self.idx], minlength=len(self.ids))
-
-    def columns(self, terms: np.ndarray, n_terms: int) -> np.ndarray:
-        """The given terms' columns as a matrix."""
-        place = np.full(n_terms, -1)
-        place[terms] = np.arange(len(terms))
-        at = place[self.idx]
-        held = at >= 0
-        out = np.zeros((len(self.ids), len(terms)))
-        out[self.line[held], at[held]] = self.weights[held]
-        return out
-
-    def postings(self, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows and weights in term order, with each term's first position."""
-        order = np.argsort(self.idx, kind="stable")
-        starts = np.searchsorted(self.idx[order], np.arange(n_terms + 1))
-        return self.line[order], self.weights[order], starts
-
-
-def products(source: Rows, target: Rows, n_terms: int) -> np.ndarray:
-    """Dot products of all rows of two sets.
-
-    Terms that many rows hold go through one matrix product, the others touch only the rows
-    that hold them.
-    """
-    rows, weights, at = source.postings(n_terms)
-    cols, others, to = target.postings(n_terms)
-    meetings = np.diff(at) * np.diff(to)
-    common = np.flatnonzero(meetings > COMMON)
-    out = source.columns(common, n_terms) @ target.columns(common, n_terms).T
-    for t in np.flatnonzero((meetings > 0) & (meetings <= COMMON)):
-        mine, theirs = slice(at[t], at[t + 1]), slice(to[t], to[t + 1])
-        out[rows[mine, None], cols[theirs]] += weights[mine, None] * others[theirs]
-    return out
-
-
-def best_targets(source: Rows, target: Rows, n_terms: int, keep: int,
-                 floor: np.ndarray | None = None) -> pa.Table:
-    """The ``keep`` best positive targets of each source row; target rows must be in id order.
-
-    Targets below a row's ``floor`` are left out.
-    """
-    scores = np.round(products(source, target, n_terms), DIGITS)
-    least = np.zeros(len(scores)) if floor is None else floor
-    if scores.shape[1] > keep:
-        least = np.maximum(least, np.partition(scores, -keep, axis=1)[:, -keep])
-    row, col = np.nonzero((scores >= least[:, None]) & (scores > 0))
-    value = scores[row, col]
-    order = np.lexsort((col, -value, row))
-    row, col, value = row[order], col[order], value[order]
-    first = np.arange(len(row)) - np.searchsorted(row, row) < keep
-    return pa.table({
-        "id": source.ids.take(pa.array(row[first])),
-        "rec_id": target.ids.take(pa.array(col[first])),
-        "score": value[first],
-    })
-
-
-def _by_id(rows: pa.Table) -> pa.Table:
-    return rows.take(pc.sort_indices(rows["id"])).combine_chunks()
-
-
-def _slices(rows: pa.Table, size: int) -> Iterator[pa.Table]:
-    for start in range(0, rows.num_rows, size):
-        yield rows.slice(start, size)
-
-
-def _ids(rows: pa.Table) -> pa.Array:
-    return rows["id"].combine_chunks()
 
 
 # ---------------------------------------------------------------- shared pieces
@@ -178,28 +75,21 @@ def _no_recs(df: DataFrame) -> Column:
 # ---------------------------------------------------------------- few items
 
 
-def _merged(found: list[pa.Table], keep: int) -> pa.Table:
-    """The ``keep`` best rows of every id."""
-    rows = pa.concat_tables(found).sort_by([("id", "ascending"), ("score", "descending"), ("rec_id", "ascending")])
-    code = rows["id"].combine_chunks().dictionary_encode().indices.to_numpy()
-    return rows.filter(pa.array(np.arange(len(code)) - np.searchsorted(code, code) < keep))
-
-
 def _few(vectors: DataFrame, sources: DataFrame, k: int, n_terms: int) -> DataFrame:
     """Lists of few sources: one pass over the catalog, ``k + 1`` rows per source and task."""
     shared = vectors.sparkSession.sparkContext.broadcast(sources.select("id", "idx", "weights").toArrow())
 
     def scan(batches):
-        asked = [Rows.of(part.combine_chunks()) for part in _slices(shared.value, BLOCK_ROWS)]
+        asked = [Rows.of(part.combine_chunks()) for part in slices(shared.value, BLOCK_ROWS)]
         found: list[pa.Table] = []
         for batch in batches:
-            for part in _slices(pa.Table.from_batches([batch]), BLOCK_ROWS):
-                targets = Rows.of(_by_id(part))
+            for part in slices(pa.Table.from_batches([batch]), BLOCK_ROWS):
+                targets = Rows.of(by_id(part))
                 found += [best_targets(source, targets, n_terms, k + 1) for source in asked]
             if len(found) > MERGE_AFTER * len(asked):
-                found = [_merged(found, k + 1)]
+                found = [merged(found, k + 1)]
         if found:
-            yield from _merged(found, k + 1).to_batches()
+            yield from merged(found, k + 1).to_batches()
 
     scored = vectors.select("id", "idx", "weights").mapInArrow(scan, _pair_schema(vectors))
     return _lists(scored, k + 1).select("id", _without_self(F.col("recs"), k).alias("recs"))
@@ -261,7 +151,7 @@ def _home(blocked: DataFrame, k: int, n_terms: int) -> DataFrame:
         batches = list(batches)
         if not batches:
             return
-        table = _by_id(pa.Table.from_batches(batches))
+        table = by_id(pa.Table.from_batches(batches))
         targets, lead = Rows.of(table), np.flatnonzero(table["source"].to_numpy())
         for start in range(0, len(lead), BLOCK_ROWS):
             here = targets.take(lead[start:start + BLOCK_ROWS])
@@ -317,9 +207,9 @@ def _foreign(blocked: DataFrame, reach: DataFrame, k: int, n_terms: int) -> Data
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [pa.table({"id": left["id"][:0], "rec_id": left["id"][:0], "score": pa.array([], pa.float64())})]
         for block in pc.unique(right["block"]).to_pylist():
-            there = Rows.of(_by_id(right.filter(pc.equal(right["block"], block))))
+            there = Rows.of(by_id(right.filter(pc.equal(right["block"], block))))
             top = there.top(n_terms)
-            for part in _slices(left.filter(pc.not_equal(left["block"], block)), BLOCK_ROWS):
+            for part in slices(left.filter(pc.not_equal(left["block"], block)), BLOCK_ROWS):
                 source, floor = Rows.of(part), part["floor"].to_numpy()
                 lift = np.flatnonzero(source.bound(top) > np.maximum(floor - SLACK, 0.0))
                 if len(lift):
@@ -405,6 +295,7 @@ def neighbour_lists(vectors: DataFrame, model: TfidfModel, k: int = 5,
     Without ``pad`` a list holds positive scores only. ``few`` is the number of vector entries
     up to which sources are sent to every task.
     """
+    ship(vectors.sparkSession)
     with_terms = vectors.filter(F.size("idx") > 0)
     empty = vectors.filter(F.size("idx") == 0).select("id", _no_recs(vectors).alias("recs"))
     if sources is None:
