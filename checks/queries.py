@@ -324,6 +324,11 @@ def tfidf_segments(spark, sf):
 # ---------------------------------------------------------------- recommendations
 
 
+def _explained(job, spark, sf, *rest):
+    ready = a.prepared_text(spark, sf)
+    return job(ready.vectors, ready.model, *rest)
+
+
 @query("neighbours", "select id, rec_id, score, rank from nb")
 def neighbour_table(spark, sf):
     ready = a.prepared_text(spark, sf)
@@ -352,7 +357,7 @@ def recommend_hydrated(spark, sf):
     (partition by id order by weight desc, term)::int rank from (select id, term, round(weight, 6) weight from weights))
     where rank <= 10 and weight > 0""")
 def top_features(spark, sf):
-    return explain.top_features(a.prepared_text(spark, sf).item_terms)
+    return _explained(explain.top_features, spark, sf)
 
 
 @query("recommendation_summary", """select *, case when a > 0.4 then 'excellent' when a > 0.25 then 'good' else 'low' end tier
@@ -372,12 +377,11 @@ ORACLE["recommendation_summary"] = sql("select * exclude (a) from (" + """select
 
 @query("shared_terms", "select source_id, target_id, feature, source_weight, target_weight, combined, rank from shared")
 def shared_terms(spark, sf):
-    return explain.shared_terms(a.prepared_text(spark, sf).item_terms, a.text_pairs(spark, sf))
+    return _explained(explain.shared_terms, spark, sf, a.text_pairs(spark, sf))
 
 
 def _shap(spark, sf):
-    ready = a.prepared_text(spark, sf)
-    return explain.shap_explanations(ready.item_terms, a.text_pairs(spark, sf), ready.vectors)
+    return _explained(explain.shap_explanations, spark, sf, a.text_pairs(spark, sf))
 
 
 @query("shap_pairs", "select source_id, target_id, feature, value, rank, base_value, similarity_score from shap")
@@ -465,7 +469,7 @@ def retrieval_context(spark, sf):
       group by 1, 2) f on f.source_id = p.source_id and f.target_id = p.target_id""")
 def explanation_prompts(spark, sf):
     pairs = a.text_pairs(spark, sf)
-    explained = explain.similarity_explanation(a.prepared_text(spark, sf).item_terms, pairs)
+    explained = _explained(explain.similarity_explanation, spark, sf, pairs)
     return prompts.explanation_prompts(pairs, a.text_facts(spark, sf), explained)
 
 

@@ -1,4 +1,4 @@
-"""Cutting lineage where a table is read more than once."""
+"""Cutting lineage where a table is read more than once, and numbers of tasks."""
 
 from __future__ import annotations
 
@@ -29,3 +29,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once; later reads start from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def task_count(spark: SparkSession) -> int:
+    """A set number of tasks for stages with little data and much work per row, which the
+    optimiser would otherwise merge by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

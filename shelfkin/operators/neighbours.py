@@ -114,7 +114,7 @@ def _blocked(keyed: DataFrame, asked: DataFrame | None, model: TfidfModel, k: in
     vectors wanted as sources.
     """
     same = Window.partitionBy("key")
-    idf = F.lit(model.idf).cast("array<double>")
+    idf = model.idf_array()
     used = F.array_max(F.transform(
         F.arrays_zip("idx", "weights"),
         lambda e: F.struct(
@@ -315,7 +315,8 @@ def neighbour_lists(vectors: DataFrame, model: TfidfModel, k: int = 5,
 
 def ranked(lists: DataFrame) -> DataFrame:
     """``(id, rec_id, score, rank)`` rows of neighbour lists."""
-    return lists.select("id", F.posexplode("recs").alias("pos", "rec")).select(
+    rows = lists.select("id", F.posexplode_outer("recs").alias("pos", "rec"))
+    return rows.filter("pos is not null").select(
         "id", "rec.rec_id", "rec.score", (F.col("pos") + 1).alias("rank")
     )
 

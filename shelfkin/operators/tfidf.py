@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfkin.functions.text import ENGLISH_STOP_WORDS, bigrams, clean_text, words
@@ -78,6 +78,13 @@ class TfidfModel:
         rows = sorted(vocab.select("term", "idf").collect())
         return cls([r.term for r in rows], [r.idf for r in rows])
 
+    def term_array(self) -> Column:
+        """The terms as one array literal, for looking up an index inside a row."""
+        return F.split(F.lit("\n".join(self.terms)), "\n")
+
+    def idf_array(self) -> Column:
+        return F.split(F.lit("\n".join(map(repr, self.idf))), "\n").cast("array<double>")
+
     def lookup(self, spark) -> DataFrame:
         """``(index, term, idf)``, one row per vocabulary term."""
         rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.idf))]

@@ -72,8 +72,10 @@ def test_split_has_no_global_sort(spark):
 def test_explanations_have_no_python_and_no_cross_join(ready):
     pairs = ready.vectors.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
     for df in (
-        explain.shared_terms(ready.item_terms, pairs),
-        explain.shap_explanations(ready.item_terms, pairs, ready.vectors),
+        explain.shared_terms(ready.vectors, ready.model, pairs),
+        explain.shap_explanations(ready.vectors, ready.model, pairs),
     ):
         text = plan(df)
         assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+        assert "Generate explode(met" not in text and "Generate explode(held" not in text
+    assert "Exchange" not in plan(explain.top_features(ready.vectors, ready.model))
