@@ -21,11 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The test tables are single unsplittable files: deal their rows out to the cores before
+    work on text. Tables of many files are read in parallel as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; one unsplittable file is dealt out to the cores before the text work."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +40,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retail_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select(
+    line = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
-    )
+    ))
     part = table(spark, sf_dir, "part")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     amount = F.col("p_retailprice").cast("decimal(10,2)").cast("string")

@@ -1,4 +1,4 @@
-"""Sparse rows inside a task: their dot products and the best few of them.
+"""Inside a task: dot products of sparse rows, and the best few of a score matrix.
 
 Tables hold ``id``, ``idx array<int>`` and ``weights array<double>``.
 """
@@ -79,6 +79,19 @@ def products(source: Rows, target: Rows, n_terms: int) -> np.ndarray:
     return out
 
 
+def best_cells(scores: np.ndarray, keep: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of each row's ``keep`` largest values that reach its ``least``;
+    equal values go by column."""
+    if scores.shape[1] > keep:
+        least = np.maximum(least, np.partition(scores, -keep, axis=1)[:, -keep])
+    row, col = np.nonzero(scores >= least[:, None])
+    value = scores[row, col]
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < keep
+    return row[first], col[first], value[first]
+
+
 def best_targets(source: Rows, target: Rows, n_terms: int, keep: int,
                  floor: np.ndarray | None = None) -> pa.Table:
     """The ``keep`` best positive targets of each source row; target rows must be in id order.
@@ -86,18 +99,10 @@ def best_targets(source: Rows, target: Rows, n_terms: int, keep: int,
     Targets below a row's ``floor`` are left out.
     """
     scores = np.round(products(source, target, n_terms), DIGITS)
-    least = np.zeros(len(scores)) if floor is None else floor
-    if scores.shape[1] > keep:
-        least = np.maximum(least, np.partition(scores, -keep, axis=1)[:, -keep])
-    row, col = np.nonzero((scores >= least[:, None]) & (scores > 0))
-    value = scores[row, col]
-    order = np.lexsort((col, -value, row))
-    row, col, value = row[order], col[order], value[order]
-    first = np.arange(len(row)) - np.searchsorted(row, row) < keep
+    least = np.full(len(scores), 10.0**-DIGITS / 2) if floor is None else np.maximum(floor, 10.0**-DIGITS / 2)
+    row, col, value = best_cells(scores, keep, least)
     return pa.table({
-        "id": source.ids.take(pa.array(row[first])),
-        "rec_id": target.ids.take(pa.array(col[first])),
-        "score": value[first],
+        "id": source.ids.take(pa.array(row)), "rec_id": target.ids.take(pa.array(col)), "score": value,
     })
 
 
@@ -114,8 +119,9 @@ def ids_of(rows: pa.Table) -> pa.Array:
     return rows["id"].combine_chunks()
 
 
-def merged(found: list[pa.Table], keep: int) -> pa.Table:
-    """The ``keep`` best rows of every id."""
-    rows = pa.concat_tables(found).sort_by([("id", "ascending"), ("score", "descending"), ("rec_id", "ascending")])
-    code = rows["id"].combine_chunks().dictionary_encode().indices.to_numpy()
+def merged(found: list[pa.Table], keep: int, key: str = "id", score: str = "score",
+           item: str = "rec_id") -> pa.Table:
+    """The ``keep`` best rows of every key."""
+    rows = pa.concat_tables(found).sort_by([(key, "ascending"), (score, "descending"), (item, "ascending")])
+    code = rows[key].combine_chunks().dictionary_encode().indices.to_numpy()
     return rows.filter(pa.array(np.arange(len(code)) - np.searchsorted(code, code) < keep))

@@ -25,14 +25,30 @@ def brute(queries, corpus, k):
 
 @pytest.mark.parametrize("few", [0, 4096])
 def test_topk_equals_brute_force(spark, few, monkeypatch):
-    monkeypatch.setattr(retrieve, "CELL_ROWS", 20)
-    monkeypatch.setattr(retrieve, "SLICE_ROWS", 16)
+    monkeypatch.setattr(retrieve, "QUERY_CELL", 20)
+    monkeypatch.setattr(retrieve, "CORPUS_CELL", 30)
     queries, q = vectors(spark, 30, "query_id", 1)
     corpus, c = vectors(spark, 90, "id", 2)
     got = retrieve.semantic_topk(queries, corpus, 4, few=few)
     assert {(r.query_id, r.id, r.relevance_score, r["rank"]) for r in got.collect()} == brute(q, c, 4)
 
 
+def test_search_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "SLICE_ROWS", 16)
+    monkeypatch.setattr(retrieve, "MERGE_AFTER", 2)
+    queries, q = vectors(spark, 30, "query_id", 3)
+    corpus, c = vectors(spark, 90, "id", 4)
+    search = retrieve.Search(queries.toArrow(), 4)
+    for part in corpus.toArrow().to_batches(max_chunksize=50):
+        search.look(retrieve.pa.Table.from_batches([part]))
+    got = search.best().to_pylist()
+    ranks, out = {}, set()
+    for r in got:
+        ranks[r["query_id"]] = ranks.get(r["query_id"], 0) + 1
+        out.add((r["query_id"], r["id"], r["relevance_score"], ranks[r["query_id"]]))
+    assert out == brute(q, c, 4)
+
+
 def test_encoder_gives_unit_rows_and_loads_once_per_task(spark):
     texts = spark.createDataFrame([(1, "red lamp"), (2, "Red  LAMP"), (3, ""), (4, None)], "id bigint, text string")
     got = {r.id: r.embedding for r in retrieve.encode_texts(texts).collect()}
