@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.lineage import materialise
+from shelfkin.lineage import materialise, task_count
 from shelfkin.operators import catalog as c
 from shelfkin.operators import neighbours, tfidf
 from shelfkin.plans.prepare import catalog_vectors
@@ -40,9 +40,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retail_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spread(table(spark, sf_dir, "lineitem").select(
+    line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
-    ))
+    )
     part = table(spark, sf_dir, "part")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     amount = F.col("p_retailprice").cast("decimal(10,2)").cast("string")
@@ -162,7 +162,8 @@ def prepared_retail(spark: SparkSession, sf_dir: str) -> Prepared:
     if key not in _prepared:
         reviews = retail_reviews(spark, sf_dir)
         model, _, vectors = catalog_vectors(c.catalog_build(reviews), c.review_parts(reviews))
-        _prepared[key] = Prepared(model, materialise(vectors))
+        # A few megabytes that every scan then works on hard: one part per core.
+        _prepared[key] = Prepared(model, materialise(vectors.repartition(task_count(spark), "id")))
     return _prepared[key]
 
 
