@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import adapters as a
-from checks.oracle import STOP, clean, lit, money, numeric, price_text, sql, words
+from checks.oracle import clean, lit, money, numeric, price_text, sql
 from shelfkin.functions import parsing, text, vectors
 from shelfkin.lineage import checkpoint_dir
 from shelfkin.operators import analytics, catalog, evaluate, explain, lime, neighbours, prompts, retrieve, sampling, tfidf
@@ -261,22 +261,18 @@ def top_brands(spark, sf):
 
 
 def _histogram_sql(values: str, bins: int) -> str:
-    return f"""with v as materialized ({values}), m as materialized (select min(v) low, (max(v) - min(v)) / {bins} width from v)
+    return f"""select * from (with v as materialized ({values}),
+        m as materialized (select min(v) low, (max(v) - min(v)) / {bins} width from v)
         select bin::int bin, round(low + bin * width, 6) low, round(low + (bin + 1) * width, 6) high, count(*) n from
         (select low, width, least(case when width > 0 then floor((v - low) / width) else 0 end, {bins - 1}) bin
-        from v, m) group by bin, low, width"""
+        from v, m) group by bin, low, width)"""
 
 
-@query("price_histogram")
+@query("price_histogram", _histogram_sql("select price v from retail where price is not null", 30))
 def price_histogram(spark, sf):
     return analytics.price_histogram(a.retail_catalog(spark, sf))
 
 
-ORACLE["price_histogram"] = sql(
-    f"select * from ({_histogram_sql('select price v from retail where price is not null', 30)})"
-)
-
-
 @query("most_reviewed", """select id, substr(name, 1, 40) || '...' as name, review_count, avg_rating from retail
     order by review_count desc, id limit 10""")
 def most_reviewed(spark, sf):
@@ -360,16 +356,11 @@ def top_features(spark, sf):
     return _explained(explain.top_features, spark, sf)
 
 
-@query("recommendation_summary", """select *, case when a > 0.4 then 'excellent' when a > 0.25 then 'good' else 'low' end tier
-    from (select id, round(avg(score), 6) avg_score, max(score) max_score, min(score) min_score,
-    count(*) filter (score > 0.3) strong, count(*) recommended, avg(score) a from nb group by 1)""")
-def recommendation_summary(spark, sf):
-    return evaluate.recommendation_summary(a.text_neighbours(spark, sf))
-
-
-ORACLE["recommendation_summary"] = sql("select * exclude (a) from (" + """select *, case when a > 0.4 then 'excellent'
+@query("recommendation_summary", """select * exclude (a) from (select *, case when a > 0.4 then 'excellent'
     when a > 0.25 then 'good' else 'low' end tier from (select id, round(avg(score), 6) avg_score, max(score) max_score,
     min(score) min_score, count(*) filter (score > 0.3) strong, count(*) recommended, avg(score) a from nb group by 1))""")
+def recommendation_summary(spark, sf):
+    return evaluate.recommendation_summary(a.text_neighbours(spark, sf))
 
 
 # ---------------------------------------------------------------- explanations
@@ -533,16 +524,11 @@ def prediction_coverage(spark, sf):
     return evaluate.prediction_coverage(_prediction(spark, sf)[0])
 
 
-@query("error_histogram")
+@query("error_histogram", _histogram_sql("select round(actual - predicted, 6) v from pred where predicted is not null", 20))
 def error_histogram(spark, sf):
     return evaluate.error_histogram(_prediction(spark, sf)[0])
 
 
-ORACLE["error_histogram"] = sql(
-    f"select * from ({_histogram_sql('select round(actual - predicted, 6) v from pred where predicted is not null', 20)})"
-)
-
-
 def _relevance(spark, sf, n):
     ready = a.prepared_text(spark, sf)
     return report.sampled_relevance(a.text_facts(spark, sf), ready.vectors, ready.model, n, 5)
@@ -564,16 +550,13 @@ def similarity_quality(spark, sf):
     return evaluate.similarity_quality(_relevance(spark, sf, 50))
 
 
-@query("evaluation_report", """select e.*, k.* exclude (n_samples), k.n_samples ranking_samples,
-    q.* exclude (n_samples), q.n_samples similarity_samples from errors e, ranking k, quality q""")
+@query("evaluation_report", """select e.*, k.* exclude (n_samples), k.n_samples ranking_samples, q.* exclude (n_samples),
+    q.n_samples similarity_samples from errors e join ranking k on true join quality q on true""")
 def evaluation_report(spark, sf):
     ready = a.prepared_text(spark, sf)
     return report.evaluation_report(a.text_facts(spark, sf), ready.vectors, ready.model)
 
 
-ORACLE["evaluation_report"] = sql("""select e.*, k.* exclude (n_samples), k.n_samples ranking_samples,
-    q.* exclude (n_samples), q.n_samples similarity_samples from errors e join ranking k on true join quality q on true""")
-
 _METRICS = ", ".join(f"{m}::double {m}" for m in report.METRICS)
 _FACTS = ", ".join(f"{m}::double {m}" for m in report.CHARACTERISTICS)
 
