@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import adapters as a
 from checks.oracle import clean, lit, money, numeric, price_text, sql
 from shelfkin.functions import parsing, text, vectors
-from shelfkin.lineage import checkpoint_dir
+from shelfkin.lineage import shared_folder
 from shelfkin.operators import analytics, catalog, evaluate, explain, lime, neighbours, prompts, retrieve, sampling, tfidf
 from shelfkin.plans import report
 from shelfkin.sources import artifacts, readers
@@ -36,7 +36,7 @@ def r6(name: str) -> F.Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- sources and sinks

@@ -3,32 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder checkpoints go to.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder intermediate tables go to, as ``spark.checkpoint.dir`` names it.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
-    session, where driver and executors share one disk, gets a folder of its own.
+    Where the setting is missing, a local session, whose driver and executors share one disk,
+    gets a folder of its own; a cluster is refused.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="shelfkin-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        folder = tempfile.mkdtemp(prefix="shelfkin-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once; later reads start from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet to the shared folder once; later reads start from there and
+    prune and filter at the scan."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/shelfkin-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def task_count(spark: SparkSession) -> int:

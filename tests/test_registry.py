@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from checks.queries import ORACLE, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
 NO_SQL = {"lime_samples", "lime_scores", "lime_pairs", "lime_term_weights", "encode_texts"}
 
 
