@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.llm import language
+from shelfkin.llm import bpe, language
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,15 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "language.*")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded from its ids."""
+    source = bpe.read_source(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(_table(spark, sf_dir, "documents"), source)
+
+
 QUERIES = {
     "op3_language": op3_language,
+    "op5_bpe": op5_bpe,
 }
 
 ORACLE: dict[str, str] = {}
