@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.llm import bpe, decontaminate, language
+from shelfkin.llm import bpe, decontaminate, language, sql, templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), source)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template an earlier document holds."""
+    done = templates.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "lines.n_lines", "lines.n_dropped", "text")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_language": op3_language,
     "op5_bpe": op5_bpe,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_line_dedup": sql.LINE_DEDUP,
+}
