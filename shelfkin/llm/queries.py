@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.llm import bpe, decontaminate, language, sql, templates
+from shelfkin.llm import bpe, decontaminate, jaccard, language, sql, templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "language.*")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded from its ids."""
     source = bpe.read_source(public_tokenizers.path("word_bpe_49k.json"))
@@ -42,6 +47,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_language": op3_language,
+    "op4_jaccard": op4_jaccard,
     "op5_bpe": op5_bpe,
     "op7_line_dedup": op7_line_dedup,
 }
