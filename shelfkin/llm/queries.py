@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.llm import bpe, decontaminate, jaccard, language, sql, templates
+from shelfkin.llm import bpe, decontaminate, jaccard, language, secrets, sql, templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "lines.n_lines", "lines.n_dropped", "text")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_language": op3_language,
     "op4_jaccard": op4_jaccard,
     "op5_bpe": op5_bpe,
     "op7_line_dedup": op7_line_dedup,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLE = {
