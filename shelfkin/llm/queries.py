@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.llm import bpe, decontaminate, jaccard, language, secrets, sql, templates
+from shelfkin.llm import bpe, decontaminate, jaccard, language, secrets, sql, templates, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,22 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+# The rules of the contract.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_language": op3_language,
@@ -56,8 +72,10 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
+    "op10_urls": op10_urls,
 }
 
 ORACLE = {
     "op7_line_dedup": sql.LINE_DEDUP,
+    "op10_urls": sql.URLS,
 }
