@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.llm import bpe, decontaminate, jaccard, language, secrets, sql, templates, urls
+from shelfkin.llm import bpe, decontaminate, jaccard, language, licenses, secrets, sql, templates, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licences."""
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 # The rules of the contract.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -72,6 +77,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_urls": op10_urls,
 }
 

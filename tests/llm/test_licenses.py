@@ -1,0 +1,89 @@
+import random
+import re
+
+import numpy as np
+
+from shelfkin.llm import licenses, queries
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SMALL = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def cut(text):
+    return WORD.findall((text or "").translate(SMALL))
+
+
+def plain(text):
+    """Every template tried at every offset."""
+    w = cut(text)
+    places, base = [], set()
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        for i in range(len(w) - len(p) + 1):
+            if w[i : i + len(p)] == p:
+                places.append(i)
+                base.add(label)
+    labels, best = set(base), 0.0
+    index = licenses.build(licenses.TEMPLATES)
+    rare = [{i for postings in index.postings for t, i in postings if t == k} for k in range(len(licenses.TEMPLATES))]
+    for k, (label, key, notice) in enumerate(licenses.TEMPLATES):
+        t, key = notice.split(), key.split()
+        for first in range(-len(t) + 1, len(w)):
+            same = [i for i in range(len(t)) if 0 <= first + i < len(w) and w[first + i] == t[i]]
+            here = w[max(0, first) : first + len(t)]
+            keyed = any(here[i : i + len(key)] == key for i in range(len(here)))
+            if keyed and len(same) >= licenses.ALIKE * len(t) and len(rare[k] & set(same)) >= index.needed[k]:
+                labels.add(label)
+                best = max(best, round(len(same) / len(t), 6))
+    return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
+            ",".join(sorted(labels)), 1.0 if places else best)
+
+
+def check(spark, texts):
+    docs = spark.createDataFrame([(i, t, 3) for i, t in texts.items()], "doc_id long, text string, places int")
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.report(docs).collect()}
+    assert got == {i: plain(t) for i, t in texts.items()}
+    return got
+
+
+def test_literal_cases(spark):
+    got = check(spark, dict(enumerate([
+        None, "", "...", "Released under the MIT License.", "UNDER the\n mit-license, under the mit license",
+        "This work is licensed under the GNU General Public License, version 3.", "cc by nc cc by nc", "cc by",
+        "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0", "under the mit", "license apache",
+        "Permission is hereby granted, free of charge, to any man obtaining a copy of this software and all associated",
+        "Redistribution and use in source and binary forms, with or without changes, are permitted provided that the following conditions are met:",
+        "é under the mit license é", "under the mitlicense",
+    ])))
+    assert got[5][4:] == ("", "gpl-3", 1.0) and got[4][1:4] == (2, 0, 4)
+
+
+def test_random_mixtures(spark):
+    rng = random.Random(9)
+    pool = [*licenses.PHRASES, *(t[2] for t in licenses.TEMPLATES)]
+    texts = {}
+    for i in range(150):
+        w = []
+        for _ in range(rng.randint(0, 5)):
+            piece = rng.choice(pool).split()
+            for _ in range(rng.randint(0, 2)):
+                piece[rng.randrange(len(piece))] = rng.choice(["foo", "license", "the", "under"])
+            a, b = sorted((rng.randint(0, len(piece)), rng.randint(0, len(piece)))) if rng.random() < 0.3 else (0, len(piece))
+            w += piece[a:b] + rng.choices(["and", "é", "42"], k=rng.randint(0, 3))
+        texts[i] = rng.choice([" ", "-", ". "]).join(w)
+    check(spark, texts)
+
+
+def test_long_and_repeated_rows(spark):
+    long = "the under license " * 60_000 + "released under the mit license"
+    docs = spark.createDataFrame([(1, long), (1, long), (None, "cc by nc")], "doc_id long, text string")
+    got = licenses.report(docs).collect()
+    assert sorted(r.labels for r in got) == ["cc-by-nc", "mit", "mit"] and max(r.first_word for r in got) == 180_001
+    assert licenses.report(docs.limit(0)).count() == 0
+
+
+def test_query(spark, data_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op9_licenses(spark, data_dir).collect()}
+    assert np.all([got[i] == plain(texts[i]) for i in sorted(texts)[:60]]) and len(got) == len(texts)
+    assert all(("mit" in g[4].split(",")) == ("under the mit license" in " ".join(cut(texts[i]))) for i, g in got.items())
