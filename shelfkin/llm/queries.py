@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.llm import bpe, decontaminate, jaccard, language, licenses, secrets, sql, templates, urls
+from shelfkin.lineage import shared_folder
+from shelfkin.llm import bpe, decontaminate, jaccard, language, licenses, secrets, sql, templates, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), source)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to archives in the shared folder and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template an earlier document holds."""
     done = templates.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,6 +83,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_jaccard": op4_jaccard,
     "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
@@ -82,6 +91,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_warc": sql.WARC,
     "op7_line_dedup": sql.LINE_DEDUP,
     "op10_urls": sql.URLS,
 }
