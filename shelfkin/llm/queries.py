@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfkin.lineage import shared_folder
-from shelfkin.llm import bpe, decontaminate, jaccard, language, licenses, secrets, sql, templates, urls, warc
+from shelfkin.llm import bpe, decontaminate, jaccard, language, licenses, quality, secrets, sql, templates, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics and whether it is kept."""
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language by the model that the documents themselves train."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -80,6 +85,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_jaccard": op4_jaccard,
     "op5_bpe": op5_bpe,
