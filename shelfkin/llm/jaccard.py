@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfkin.lineage import materialise
@@ -147,7 +147,7 @@ def _prefix_rows(counts: np.ndarray, share: int):
         seen: set[int] = set()
         for batch in batches:
             for a, b in slices(batch.column("text")):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[] for _ in range(8)]
                 for _, h, c in sets(batch.column("text").slice(a, b - a), counts):
                     if c in seen:
                         continue
@@ -159,14 +159,16 @@ def _prefix_rows(counts: np.ndarray, share: int):
                     length = n - least + asked
                     partners = partners[:length]
                     heat = int(min(partners.sum() / length * 1000, 2**31 - 1))
-                    for at, x in zip(out, (h[:length].view(np.int64), c, n, asked, heat, partners > hot_from), strict=True):
+                    hot = partners > hot_from
+                    row = h[:length].view(np.int64), c, n, np.arange(length), asked, int(hot.sum()), heat, hot
+                    for at, x in zip(out, row, strict=True):
                         at.append(x if isinstance(x, np.ndarray) else np.full(length, x, np.int64))
                 if out[0]:
                     cols = [np.concatenate(x) for x in out]
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+                    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)],
-                        names=["token", "class", "n", "asked", "heat", "hot"])
+                        names=["token", "class", "n", "pos", "asked", "hots", "heat", "hot"])
 
     return run
 
@@ -185,8 +187,19 @@ def _alike(share: int):
     return F.arrow_udf(verdict, "boolean").asNondeterministic()
 
 
-def _sizes_fit(share: int):
-    return 100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")
+def _common(share: int, x: str = "a", y: str = "b") -> Column:
+    """Shingles that two sets of sizes ``n_x`` and ``n_y`` have in common when they are alike."""
+    return F.ceil(share * (F.col(f"n_{x}") + F.col(f"n_{y}")) / (100 + share))
+
+
+def _in_reach(share: int, later: Column | int, x: str = "a", y: str = "b") -> Column:
+    """Sizes that allow a link, and a shared shingle early enough in both orders: of alike sets,
+    the ``l``-th common shingle has at most ``n - common + l - 1`` before it on either side.
+    ``later`` is ``l - 1``."""
+    fits = 100 * F.least(f"n_{x}", f"n_{y}") >= share * F.greatest(f"n_{x}", f"n_{y}")
+    for z in (x, y):
+        fits &= F.col(f"pos_{z}") <= F.col(f"n_{z}") - _common(share, x, y) + later
+    return fits
 
 
 class _Corpus:
@@ -208,60 +221,47 @@ class _Corpus:
 
 
 def _ends(rows: DataFrame, x: str, *more: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"{'' if c == 'class' else c + '_'}{x}") for c in ("class", "n", "asked", *more)])
+    columns = ("class", "n", "pos", *more)
+    return rows.select("token", *[F.col(c).alias(x if c == "class" else f"{c}_{x}") for c in columns])
 
 
 def _hot_links(hot: DataFrame, corpus: _Corpus, share: int) -> tuple[DataFrame | None, DataFrame | None]:
     """``(links, pairs)``: links of the hot shingles' typical members, and the pairs that share
-    a hot shingle and are still in different components."""
+    a hot shingle early enough and are still in different components."""
     if hot.isEmpty():
         return None, None
-    links, rows = None, hot.withColumn("root", F.col("class"))
-    for turn in range(2):
-        open_ = rows if turn == 0 else rows.join(lead, "token").filter("root != lead_root").drop("lead", "n_lead", "lead_root")
-        best = F.max_by(F.struct("class", "n"), F.struct("heat", "class"))
-        head = open_.groupBy("token").agg(best.alias("best"), F.count("*").alias("size")).filter("size > 1")
-        head = head.select("token", F.col("best.class").alias("lead"), F.col("best.n").alias("n_lead"))
-        pairs = (
-            open_.join(head, "token")
-            .filter((F.col("class") != F.col("lead")))
-            .filter(100 * F.least("n", "n_lead") >= share * F.greatest("n", "n_lead"))
-            .select(F.col("lead").alias("a"), F.col("class").alias("b"))
-            .distinct()
-        )
-        new = corpus.verified(pairs)
+    links, rows, lead = None, hot.withColumn("root", F.col("class")), None
+    for _ in range(2):
+        left = rows if lead is None else rows.join(lead.select("token", "lead_root"), "token").filter("root != lead_root")
+        best = F.max_by(F.struct("class", "n", "pos"), F.struct("heat", "class")).alias("best")
+        head = left.groupBy("token").agg(best, F.count("*").alias("size")).filter("size > 1")
+        head = head.select("token", F.col("best.class").alias("a"), F.col("best.n").alias("n_a"), F.col("best.pos").alias("pos_a"))
+        met = _ends(left, "b").join(head, "token").filter(F.col("a") != F.col("b")).filter(_in_reach(share, 0))
+        new = corpus.verified(met.select("a", "b").distinct())
         links = new if links is None else links.unionByName(new)
-        root = materialise(components(links))
-        known = root.select(F.col("node").alias("class"), F.col("root").alias("found"))
-        rows = materialise(
-            hot.join(known, "class", "left").withColumn("root", F.coalesce("found", "class")).drop("found")
-        )
-        if turn == 0:
-            lead_root = root.select(F.col("node").alias("lead"), F.col("root").alias("found"))
-            lead = materialise(
-                head.join(lead_root, "lead", "left").select("token", "lead", "n_lead", F.coalesce("found", "lead").alias("lead_root"))
-            )
+        root = components(links).select(F.col("node").alias("class"), F.col("root").alias("found"))
+        rows = materialise(hot.join(root, "class", "left").withColumn("root", F.coalesce("found", "class")).drop("found"))
+        if lead is None:
+            first = head.select("token", F.col("a").alias("class")).join(root, "class", "left")
+            lead = materialise(first.select("token", F.coalesce("found", "class").alias("lead_root")))
     split = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    rows = rows.join(split, "token").join(lead.select("token", "lead_root"), "token")
-    left = _ends(rows.filter("root != lead_root"), "a", "root")
-    pairs = left.join(_ends(rows, "b", "root", "lead_root"), "token").filter(
+    rows = rows.join(split, "token").join(lead, "token")
+    open_ = _ends(rows.filter("root != lead_root"), "a", "root")
+    pairs = open_.join(_ends(rows, "b", "root", "lead_root"), "token").filter(
         "root_a != root_b and (root_b = lead_root_b or a < b)"
     )
-    return links, pairs.drop("root_a", "root_b", "lead_root_b")
+    return links, pairs.filter(_in_reach(share, 0)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _candidates(pairs: DataFrame, share: int) -> DataFrame:
-    """Pairs whose prefixes share as many shingles as their lengths demand."""
-    rest = F.greatest(*[F.floor((share * F.col(f"n_{x}") + 99) / 100) - F.col(f"asked_{x}") for x in "ab"])
-    common = F.ceil(share * (F.col("n_a") + F.col("n_b")) / (100 + share))
-    one = pairs.filter(_sizes_fit(share)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "token", (common - rest).alias("least"),
-        F.least("asked_a", "asked_b").alias("asked"),
-    )
-    shared = one.groupBy("a", "b").agg(
-        F.count_distinct("token").alias("shared"), F.min("least").alias("least"), F.min("asked").alias("asked")
-    )
-    return shared.filter("shared >= least and shared >= asked").select("a", "b")
+def _candidates(cold: DataFrame, share: int) -> DataFrame:
+    """Pairs whose prefixes share as many shingles as both ask for; hot shingles, which are not
+    looked at here, may be as many of them as the two prefixes hold."""
+    asked = F.least("asked_a", "asked_b")
+    a, b = (_ends(cold, x, "asked", "hots") for x in "ab")
+    met = a.join(b, "token").filter("a < b").filter(_in_reach(share, asked - 1))
+    one = met.select("a", "b", "token", (asked - F.least("hots_a", "hots_b")).alias("least"))
+    shared = one.groupBy("a", "b").agg(F.count_distinct("token").alias("shared"), F.min("least").alias("least"))
+    return shared.filter("shared >= least").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -277,13 +277,13 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     reps = materialise(each.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")))
     corpus = _Corpus(docs, reps, share)
     prefix = materialise(texts.mapInArrow(
-        _prefix_rows(counts, share), "token long, class long, n int, asked int, heat int, hot boolean"))
-    links, hot_pairs = _hot_links(prefix.filter("hot").drop("hot").distinct(), corpus, share)
-    cold = prefix.filter("not hot")
-    pairs = _ends(cold, "a").join(_ends(cold, "b"), "token").filter("a < b")
+        _prefix_rows(counts, share), "token long, class long, n int, pos int, asked int, hots int, heat int, hot boolean"))
+    hot = prefix.filter("hot").filter(F.col("pos") <= F.col("n") - F.floor((share * F.col("n") + 99) / 100))
+    links, hot_pairs = _hot_links(hot.select("token", "class", "n", "pos", "heat").distinct(), corpus, share)
+    pairs = _candidates(prefix.filter("not hot"), share)
     if hot_pairs is not None:
-        pairs = pairs.unionByName(hot_pairs)
-    edges = corpus.verified(_candidates(pairs, share))
+        pairs = pairs.unionByName(hot_pairs).distinct()
+    edges = corpus.verified(pairs)
     if links is not None:
         edges = edges.unionByName(links)
     root = components(edges).withColumnRenamed("node", "class")
