@@ -22,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The test tables are single unsplittable files: deal their rows out to the cores before
-    work on text. Tables of many files are read in parallel as they are."""
+    """The test tables are single small files of one row group: deal their rows out to the cores
+    before work on text. A table whose scan has a split for every core is read as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

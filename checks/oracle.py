@@ -11,7 +11,9 @@ from shelfkin.functions.text import ENGLISH_STOP_WORDS
 from shelfkin.operators import prompts as P
 
 STOP = "[" + ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS) + "]"
-FIRST_WORD = r"regexp_extract(review_rating, '\S+')"
+# Python's white space, listed by property and control characters.
+NO_SPACE = r"[^\pZ\x09-\x0d\x1c-\x1f\x{85}]+"
+FIRST_WORD = f"regexp_extract(review_rating, '{NO_SPACE}')"
 NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -139,11 +141,11 @@ CTES: dict[str, str] = {
     "sales_products": r"""select product_id id, min(product_name) as name, min(category) categories,
         min(discounted_price) discounted_price, min(actual_price) actual_price, min(rating) rating,
         min(rating_count) rating_count, min(about_product) about_product,
-        min(regexp_extract(product_name, '\S+')) brand, min(product_id) asins,
-        min(regexp_extract(product_name, '\S+')) manufacturer, count(distinct user_name) unique_reviewers,
+        min(regexp_extract(product_name, 'NO_SPACE')) brand, min(product_id) asins,
+        min(regexp_extract(product_name, 'NO_SPACE')) manufacturer, count(distinct user_name) unique_reviewers,
         string_agg(CLEAN, ' ' order by ord, CLEAN) all_reviews from sales group by 1""".replace(
         "CLEAN", clean("review_content")
-    ),
+    ).replace("NO_SPACE", NO_SPACE),
     "sales_catalog": f"""select id, name, brand, categories, manufacturer, asins,
         coalesce({price_text('discounted_price')}, {price_text('actual_price')}) price,
         {clean('name')} name_clean, {clean("replace(categories, '|', ' ')")} categories_clean,

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import adapters as a
-from checks.oracle import clean, lit, money, numeric, price_text, sql
+from checks.oracle import NO_SPACE, clean, lit, money, numeric, price_text, sql
 from shelfkin.functions import parsing, text, vectors
 from shelfkin.lineage import shared_folder
 from shelfkin.operators import analytics, catalog, evaluate, explain, lime, neighbours, prompts, retrieve, sampling, tfidf
-from shelfkin.plans import report
+from shelfkin.plans import prepare, report
 from shelfkin.sources import artifacts, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,23 +41,43 @@ def scratch(spark: SparkSession) -> str:
 
 # ---------------------------------------------------------------- sources and sinks
 
-REVIEW_FIELDS = list(readers.REVIEW_COLUMNS.values())
 SALES_FIELDS = list(readers.SALES_COLUMNS.values())
 
 
+def _csv(spark, df, columns, *ties):
+    """Several files of unlike size whose names follow ``ord``."""
+    path = scratch(spark)
+    lean = F.sqrt(F.col("ord")).cast("int")
+    readers.write_csv(df.repartitionByRange(5, lean).sortWithinPartitions("ord", *ties), path, columns)
+    return path
+
+
+def _review_csv(spark, sf):
+    ties = "id", text.clean_text(F.col("review_text")), "username", "review_rating"
+    return _csv(spark, a.retail_reviews(spark, sf), readers.REVIEW_COLUMNS, *ties)
+
+
 @query("scan_reviews", """select id::varchar id, asins, brand, categories, name, prices, manufacturer, review_text,
-    review_title, review_rating, username from retail_reviews""")
+    review_title, review_rating, username,
+    row_number() over (order by ord, id, clean, username, review_rating) - 1 as ord from retail_rated""")
 def scan_reviews(spark, sf):
-    path = scratch(spark)
-    readers.write_csv(a.retail_reviews(spark, sf), path, readers.REVIEW_COLUMNS)
-    return readers.scan_reviews(spark, path).select(*REVIEW_FIELDS)
+    return readers.scan_reviews(spark, _review_csv(spark, sf))
 
 
-@query("scan_sales", f"select {', '.join(SALES_FIELDS)} from sales")
+@query("scan_sales", f"select {', '.join(SALES_FIELDS)}, row_number() over (order by ord) - 1 as ord from sales")
 def scan_sales(spark, sf):
-    path = scratch(spark)
-    readers.write_csv(a.sales(spark, sf), path, readers.SALES_COLUMNS)
-    return readers.scan_sales(spark, path).select(*SALES_FIELDS)
+    return readers.scan_sales(spark, _csv(spark, a.sales(spark, sf), readers.SALES_COLUMNS))
+
+
+@query("process_reviews", f"""select id::varchar id, {', '.join(catalog.CATALOG_COLUMNS[1:])} from retail""")
+def process_reviews(spark, sf):
+    return prepare.process_reviews(spark, _review_csv(spark, sf), scratch(spark))["products"]
+
+
+@query("process_sales", f"select {', '.join(catalog.CATALOG_COLUMNS)} from sales_catalog")
+def process_sales(spark, sf):
+    path = _csv(spark, a.sales(spark, sf), readers.SALES_COLUMNS)
+    return prepare.process_sales(spark, path, scratch(spark))["products"]
 
 
 def _written(spark, sf):
@@ -71,21 +91,55 @@ def _written(spark, sf):
     return artifacts.load_artifacts(spark, path)
 
 
-@query("write_artifacts", """select 'products' as tbl, count(*) n from documents union all
-    select 'product_lookup', count(*) from documents union all select 'review_parts', count(*) from documents
-    union all select 'vocabulary', count(*) from vocab union all select 'item_vectors', count(*) from documents
-    union all select 'item_terms', count(*) from weights""")
+# A figure over the content of each written table.
+FIGURES = {
+    "products": "sum(length(reviews_head) + length(name))",
+    "product_lookup": "sum(review_count)",
+    "review_parts": "sum(length(text))",
+    "vocabulary": "round(sum(idf) * 100)",
+    "item_vectors": "sum(size(idx))",
+    "item_terms": "round(sum(weight) * 100)",
+}
+
+
+@query("write_artifacts", f"""select 'products' as tbl, count(*) n, sum(length(reviews_head) + length(name))::double figure
+    from cat union all select 'product_lookup', count(*), sum(review_count)::double from cat
+    union all select 'review_parts', count(*), sum(length({clean('text')}))::double from documents
+    union all select 'vocabulary', count(*), round(sum(idf) * 100) from vocab
+    union all select 'item_vectors', (select count(*) from documents), (select count(*)::double from weights)
+    union all select 'item_terms', count(*), round(sum(weight) * 100) from weights""")
 def write_artifacts(spark, sf):
     out = None
     for name, df in _written(spark, sf).items():
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
+        row = df.agg(F.count("*").alias("n"), F.expr(FIGURES[name]).cast("double").alias("figure"))
+        row = row.select(F.lit(name).alias("tbl"), "n", "figure")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-@query("load_artifacts", "select id, name, brand, price, avg_rating, review_count from cat")
+@query("load_artifacts", f"""select 'products' as tbl, id::varchar as key, avg_rating as v1, review_count::double v2, reviews_head as
+    txt from cat union all select 'product_lookup', id::varchar, avg_rating, review_count::double, name from cat
+    union all select 'review_parts', doc_id::varchar, 0, 0, {clean('text')} from documents
+    union all select 'vocabulary', term, round(idf, 6), null, null from vocab
+    union all select 'item_terms', id::varchar, round(weight, 6), null, term from weights""")
 def load_artifacts(spark, sf):
-    return _written(spark, sf)["product_lookup"]
+    tables = _written(spark, sf)
+    columns = {
+        "products": ("id", "avg_rating", "review_count", "reviews_head"),
+        "product_lookup": ("id", "avg_rating", "review_count", "name"),
+        "review_parts": ("id", "part", "part", "text"),
+        "vocabulary": ("term", "idf", None, None),
+        "item_terms": ("id", "weight", None, "term"),
+    }
+    out = None
+    for name, picked in columns.items():
+        key, one, two, txt = (F.col(c) if c else F.lit(None) for c in picked)
+        rows = tables[name].select(
+            F.lit(name).alias("tbl"), key.cast("string").alias("key"), F.round(one.cast("double"), 6).alias("v1"),
+            two.cast("double").alias("v2"), txt.cast("string").alias("txt"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("embedding_refresh", """select doc_id id, sha256(text) text_hash, vec_id is not null and lang <> 'fr' reused
@@ -263,9 +317,10 @@ def top_brands(spark, sf):
 def _histogram_sql(values: str, bins: int) -> str:
     return f"""select * from (with v as materialized ({values}),
         m as materialized (select min(v) low, (max(v) - min(v)) / {bins} width from v)
-        select bin::int bin, round(low + bin * width, 6) low, round(low + (bin + 1) * width, 6) high, count(*) n from
-        (select low, width, least(case when width > 0 then floor((v - low) / width) else 0 end, {bins - 1}) bin
-        from v, m) group by bin, low, width)"""
+        select b.bin::int bin, round(low + b.bin * width, 6) low, round(low + (b.bin + 1) * width, 6) high, count(f.bin) n
+        from range({bins}) b(bin) join m on low is not null left join
+        (select least(case when width > 0 then floor((v - low) / width) else 0 end, {bins - 1}) bin from v, m) f
+        on f.bin = b.bin group by b.bin, low, width)"""
 
 
 @query("price_histogram", _histogram_sql("select price v from retail where price is not null", 30))
@@ -343,6 +398,15 @@ def recommend_one(spark, sf):
     return neighbours.recommend_one(ready.item_terms, 3, 5, catalog=ready.vectors)
 
 
+@query("recommend_one_hydrated", """select n.id, n.rec_id, rank, score, name, brand, price, avg_rating, review_count
+    from padded n join cat c on c.id = n.rec_id where n.id = 3""")
+def recommend_one_hydrated(spark, sf):
+    ready = a.prepared_text(spark, sf)
+    one = neighbours.recommend_one(ready.item_terms, 3, 5, catalog=ready.vectors)
+    pairs = one.select(F.lit(3).cast("bigint").alias("id"), F.col("id").alias("rec_id"), "score", "rank")
+    return evaluate.recommend_hydrated(pairs, a.text_facts(spark, sf))
+
+
 @query("recommend_hydrated", """select n.id, n.rec_id, rank, score, name, brand, price, avg_rating, review_count
     from nb n join cat c on c.id = n.rec_id""")
 def recommend_hydrated(spark, sf):
@@ -614,8 +678,8 @@ def price_fallback(spark, sf):
     )
 
 
-@query("brand_from_name", r"""select product_id id, coalesce(nullif(regexp_extract(product_name, '\S+'), ''), 'unknown') brand
-    from sales""")
+@query("brand_from_name", f"""select product_id id,
+    coalesce(nullif(regexp_extract(product_name, '{NO_SPACE}'), ''), 'unknown') brand from sales""")
 def brand_from_name(spark, sf):
     return a.sales(spark, sf).select(
         F.col("product_id").alias("id"), parsing.brand_from_name(F.col("product_name")).alias("brand")

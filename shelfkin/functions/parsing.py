@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The price field in the raw price text, and what counts as a number.
+# The price field in the raw price text, a run without any Unicode white space, and
+# what counts as a number.
 AMOUNT_MAX = r'"amountMax":(\d+\.?\d*)'
+WORD = r"[^\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -32,7 +34,7 @@ def price_fallback(discounted: Column, actual: Column) -> Column:
 def brand_from_name(name: Column) -> Column:
     """First word of the product name."""
     return F.coalesce(
-        F.nullif(F.regexp_extract(name, r"\S+", 0), F.lit("")), F.lit("unknown")
+        F.nullif(F.regexp_extract(name, WORD, 0), F.lit("")), F.lit("unknown")
     )
 
 
@@ -54,7 +56,7 @@ def numeric_or_zero(text: Column) -> Column:
 
 def parse_rating(rating: Column) -> Column:
     """A number, or a text that starts with one (``4.0 out of 5 stars``)."""
-    return numeric(F.regexp_extract(rating, r"\S+", 0))
+    return numeric(F.regexp_extract(rating, WORD, 0))
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -95,17 +95,23 @@ def review_parts(reviews: DataFrame, part_rows: int = PART_ROWS, id_col: str = "
 def review_heads(parts: DataFrame, chars: int = HEAD_CHARS) -> DataFrame:
     """``(id, reviews_head)``: the first characters of each product's review text.
 
-    Every part after the first adds at least its joining space, so no more than ``chars + 1``
-    parts can matter; the limit runs before the shuffle and only opening characters travel.
+    Which parts matter is decided on ``(id, part, length)`` alone: every part after the first
+    adds at least its joining space, so no more than ``chars + 1`` of them can. Then the opening
+    characters of those parts are fetched, ``chars`` per product or little more.
     """
     order = Window.partitionBy("id").orderBy("part")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        parts.select("id", "part", F.substring("text", 1, chars).alias("text"))
+    wanted = (
+        parts.select("id", "part", F.least(F.length("text"), F.lit(chars)).alias("length"))
         .withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= chars + 1)
-        .withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+        .withColumn("start", F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)))
         .filter(F.col("start") <= chars)
+        .select("id", "part")
+    )
+    return (
+        parts.join(wanted, ["id", "part"])
+        .select("id", "part", F.substring("text", 1, chars).alias("text"))
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("rows"))
         .select("id", F.substring(F.array_join("rows.text", " "), 1, chars).alias("reviews_head"))

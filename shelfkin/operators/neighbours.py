@@ -165,24 +165,21 @@ def _reach(blocked: DataFrame, floors: DataFrame, n_groups: int, per_group: int,
 
     An item's score to any row is at most the sum of its weights times the largest weights
     found in that row's group. ``floors`` holds the last score of a full list; half a rounding
-    step is allowed for. The largest weights are sent to all tasks while they are few; past
-    that every item goes to every group and the bound is taken there, block by block.
+    step is allowed for. The largest weights are sent to all tasks while they are few and joined
+    by a shuffle beyond that; the bound is taken either way.
     """
     sources = blocked.filter("source").select("id", "group").join(floors, "id", "left").withColumn(
         "floor", F.coalesce("floor", F.lit(0.0))
     )
     # A group of one block is no more than the home block, which has been met.
     foreign = F.lit(True) if per_group > 1 else F.col("target") != F.col("group")
-    if n_groups * n_terms * 24 > BROADCAST_BYTES:
-        every = F.sequence(F.lit(0), F.lit(n_groups - 1))
-        return sources.withColumn("target", F.explode(every)).filter(foreign).select("id", "target", "floor")
     entries = blocked.select(
         "id", "group", "source", F.explode(F.arrays_zip("idx", "weights")).alias("e")
     ).select("id", "group", "source", "e.idx", "e.weights")
     tops = entries.groupBy(F.col("group").alias("target"), "idx").agg(F.max("weights").alias("top"))
     bounds = (
         entries.filter("source").select("id", "idx", "weights")
-        .join(F.broadcast(tops), "idx")
+        .join(F.broadcast(tops) if n_groups * n_terms * 24 <= BROADCAST_BYTES else tops, "idx")
         .groupBy("id", "target")
         .agg(F.sum(F.col("weights") * F.col("top")).alias("bound"))
     )

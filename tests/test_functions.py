@@ -69,3 +69,9 @@ def test_dense_cosine_and_clip(spark):
     got = [r[0] for r in df.select(vectors.dense_cosine(F.col("a"), F.col("b"))).collect()]
     assert got == [pytest.approx(2**-0.5), 0.0]
     assert run(spark, [-0.2, 0.5, 1.0000001], vectors.clip_similarity, "double") == [0.0, 0.5, 1.0]
+
+
+def test_unicode_blanks_end_a_word(spark):
+    blanks = [chr(c) for c in (0x1C, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000)]
+    assert run(spark, [f"Acme{b}Widget" for b in blanks], parsing.brand_from_name) == ["Acme"] * len(blanks)
+    assert run(spark, [f"{b}4.0{b}out of 5" for b in blanks], parsing.parse_rating) == [4.0] * len(blanks)
