@@ -112,6 +112,14 @@ def _evaluation_ctes(p: str, cat: str) -> dict[str, str]:
     }
 
 
+def _unit_vectors(source: str, key: str) -> str:
+    """``(key, place, v)`` of hashed words of ``source(key, text)``."""
+    return f"""select {key}, place::int place, n / sqrt(sum(n * n) over (partition by {key})) v from (
+        select {key}, (code >> 1) % 64 place, sum(2 * (code % 2) - 1) n from (
+          select {key}, ('0x' || substr(md5(w), 1, 8))::bigint code from (
+            select {key}, unnest(regexp_extract_all(lower(text), '{NO_SPACE}')) w from {source})) group by 1, 2)"""
+
+
 CTES: dict[str, str] = {
     "retail_reviews": """select l_partkey id, l_partkey::varchar asins, p_brand brand, p_type categories,
         p_name name, '[{"amountMax":' || p_retailprice::decimal(10,2)::varchar || '}]' prices,
@@ -199,6 +207,11 @@ CTES: dict[str, str] = {
           format('{{:.1f}}', relevance_score * 100) || '%' || chr(10) || case when reviews_snippet <> '' then
           '  Customer feedback: ' || substr(reviews_snippet, 1, 150) || '...' || chr(10) else '' end,
           chr(10) order by rank) context from hits where rank <= 3 group by 1) h on h.query_id = q.vec_id""",
+    "retail_texts": """select id, name || '. Brand: ' || brand || '. ' || content || '. ' || substr(reviews_head, 1, 500) as text
+        from retail""",
+    "unit": _unit_vectors("retail_texts", "id"),
+    "message_texts": "select request_id, message as text from messages",
+    "asked": _unit_vectors("message_texts", "request_id"),
     "messages": """select conv_id || '-' || turn request_id, conv_id % (select count(*) from embeddings) query_id,
         text message, conv_id product_id from conversations where role = 'user'""",
     "requests": """select request_id, query_id, message, product_id, name product_name, brand product_brand,

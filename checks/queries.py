@@ -490,10 +490,21 @@ def semantic_topk(spark, sf):
     return retrieve.semantic_topk(corpus.withColumnRenamed("id", "query_id"), corpus)
 
 
-@query("encode_texts")
+@query("encode_texts", "select id, place, round(v, 4) v from unit where v <> 0")
 def encode_texts(spark, sf):
-    corpus = retrieve.embedding_corpus(a.retail_catalog(spark, sf))
-    return retrieve.encode_texts(corpus).select("id", F.transform("embedding", lambda x: F.round(x, 5)).cast("string").alias("embedding"))
+    vectors_ = retrieve.encode_texts(retrieve.embedding_corpus(a.retail_catalog(spark, sf)))
+    cells = vectors_.select("id", F.posexplode("embedding").alias("place", "v")).filter("v <> 0")
+    return cells.select("id", "place", F.round(F.col("v").cast("double"), 4).alias("v"))
+
+
+@query("text_search", """select query_id, id, relevance_score, rank from (select *, row_number() over (partition by query_id
+    order by relevance_score desc, id)::int rank from (select m.request_id query_id, i.id,
+    round(coalesce(s, 0), 6) relevance_score from messages m cross join retail i left join
+    (select a.request_id, b.id, sum(a.v * b.v) s from asked a join unit b using (place) group by 1, 2) d
+    on d.request_id = m.request_id and d.id = i.id)) where rank <= 5""")
+def text_search(spark, sf):
+    questions = a.message_table(spark, sf).select(F.col("request_id").alias("query_id"), F.col("message").alias("text"))
+    return retrieve.text_search(questions, retrieve.embedding_corpus(a.retail_catalog(spark, sf)))
 
 
 def _hits(spark, sf, queries):
