@@ -452,19 +452,38 @@ def shap_summary(spark, sf):
 
 def _lime_inputs(spark, sf):
     ready = a.prepared_text(spark, sf)
-    return a.text_pairs(spark, sf, k=1), a.items(spark, sf), ready.vectors, ready.model
+    return a.text_pairs(spark, sf), a.items(spark, sf), ready.vectors, ready.model
 
 
-@query("lime_samples")
+_STEP = "* 48271 % 2147483647"
+
+
+@query("lime_samples", f"""select source_id, target_id, n_words, count(*) variants, sum(n_kept)::bigint kept,
+    sum(n_kept * sample)::bigint kept_in_order from (
+      select source_id, target_id, n_words, sample, case when sample = 0 then n_words else n_words - 1 -
+        (((seed + 40503 * sample) % 2147483647 + 1) {_STEP} {_STEP} {_STEP}) % n_words end n_kept from (
+          select source_id, target_id, ('0x' || substr(md5('42:' || source_id || ':' || target_id), 1, 8))::bigint seed,
+            len(list_distinct(string_split({clean('text')}, ' '))) n_words
+          from pairs join items on items.id = target_id where {clean('text')} <> ''), range(1000) r(sample))
+    group by 1, 2, 3""")
 def lime_samples(spark, sf):
     out = lime.lime_samples(*_lime_inputs(spark, sf))
-    return out.select("source_id", "target_id", "sample", "n_words", "n_kept")
+    kept = F.col("n_kept").cast("long")
+    return out.groupBy("source_id", "target_id", "n_words").agg(
+        F.count("*").alias("variants"), F.sum(kept).alias("kept"), F.sum(kept * F.col("sample")).alias("kept_in_order")
+    )
 
 
-@query("lime_scores")
+@query("lime_scores", """select source_id, target_id, 1000 as variants, score as whole, 0 as outside from pairs
+    join nb on nb.id = source_id and rec_id = target_id""")
 def lime_scores(spark, sf):
+    """The whole text scores its pair's cosine, and no variant leaves the scale."""
     out = lime.lime_samples(*_lime_inputs(spark, sf))
-    return out.select("source_id", "target_id", "sample", r6("similar"), r6("dissimilar"))
+    outside = ~F.col("similar").between(0, 1) | (F.round(F.col("similar") + F.col("dissimilar"), 9) != 1)
+    return out.groupBy("source_id", "target_id").agg(
+        F.count("*").alias("variants"), F.round(F.max(F.when(F.col("sample") == 0, F.col("similar"))), 6).alias("whole"),
+        F.sum(outside.cast("int")).alias("outside"),
+    )
 
 
 def _lime(spark, sf):
