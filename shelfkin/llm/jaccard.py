@@ -84,7 +84,7 @@ def _classes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     """One row per document, and the task's counts of its distinct sets' shingles in blocks."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     seen: set[int] = set()
-    names = ["doc_id", "n", "class", "block", "counts"]
+    names = ["doc_id", "text_hash", "n", "class", "block", "counts"]
     kind = pa.int64()
     for batch in batches:
         kind = batch.column("doc_id").type
@@ -99,11 +99,11 @@ def _classes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             if fresh:
                 counts += np.bincount((np.concatenate(fresh) >> _SHIFT).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(size), pa.array(known),
+                [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(size), pa.array(known),
                  pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
     if seen:
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(BLOCKS, kind), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()),
+            [pa.nulls(BLOCKS, kind), *[pa.nulls(BLOCKS, pa.int64())] * 3,
              pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, BLOCKS)], pa.binary())],
             names=names)
 
@@ -206,15 +206,16 @@ class _Corpus:
     """Texts by class, fetched for candidates only."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, share: int):
-        self.docs, self.reps, self.share = docs.select("doc_id", "text"), reps, share
+        self.docs, self.reps, self.share = docs, reps, share
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` whose whole texts are alike."""
         pairs = materialise(pairs.select("a", "b"))
         nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        wanted = materialise(self.reps.join(nodes, "class").select("class", F.col("rep").alias("doc_id")))
+        wanted = materialise(self.reps.join(nodes, "class").select("class", "row.*"))
         send = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
-        text = materialise(self.docs.join(send, "doc_id").select("class", "text").dropDuplicates(["class"]))
+        same = self.docs["doc_id"].eqNullSafe(send["doc_id"]) & (self.docs["text_hash"] == send["text_hash"])
+        text = materialise(self.docs.join(send, same).select("class", "text").dropDuplicates(["class"]))
         a, b = (text.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
         return materialise(both.filter(_alike(self.share)("text_a", "text_b")).select("a", "b"))
@@ -269,14 +270,18 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = materialise(texts.mapInArrow(
-        _classes_and_counts, f"doc_id {kind}, n long, class long, block int, counts binary"))
+        _classes_and_counts, f"doc_id {kind}, text_hash long, n long, class long, block int, counts binary"))
     each = rows.filter("block is null").select("doc_id", "n", "class")
     counts = sketch(rows.filter("block is not null"))
-    reps = materialise(each.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")))
-    corpus = _Corpus(docs, reps, share)
-    prefix = materialise(texts.mapInArrow(
+    # The smallest id names the class; its text is that of the row with the largest.
+    row = F.max(F.struct("doc_id", "text_hash")).alias("row")
+    reps = materialise(
+        rows.filter("block is null and n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), row)
+    )
+    corpus = _Corpus(texts, reps, share)
+    prefix = materialise(texts.select("text").mapInArrow(
         _prefix_rows(counts, share), "token long, class long, n int, pos int, asked int, hots int, heat int, hot boolean"))
     hot = prefix.filter("hot").filter(F.col("pos") <= F.col("n") - F.floor((share * F.col("n") + 99) / 100))
     links, hot_pairs = _hot_links(hot.select("token", "class", "n", "pos", "heat").distinct(), corpus, share)

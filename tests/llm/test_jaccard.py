@@ -126,6 +126,16 @@ def test_odd_rows(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Ids do not name texts: null or repeated ids stand on different ones."""
+    words = [f"w{i}" for i in range(120)]
+    near = [*words[:60], "other", *words[61:]]
+    rows = [(None, " ".join(words)), (None, "x y z q r s"), (3, " ".join(near)), (3, "a b c d e f g"), (2, "a b c d e f g"), (9, " ".join(reversed(words)))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(None, 117, 3), (None, 3, None), (3, 117, 3), (3, 4, 2), (2, 4, 2), (9, 117, 9)], key=repr)
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 500)]
     edges = spark.createDataFrame(pairs, "a long, b long")
