@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfkin.llm.arrow import slices
 from shelfkin.shipping import ship
 
 _NEVER = 1 << 40
 _SHIFT = 20
 #: Words and fragments a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 #: Code points below this one are split by a plain pattern, texts with others by a full one.
@@ -213,41 +215,51 @@ def read_source(path: str) -> bytes:
         return f.read()
 
 
+def _encode(column: pa.Array, table: Vocabulary) -> pa.Array:
+    parts = [table.encode(t.as_py()) for t in column]
+    ends = np.cumsum([0, *map(len, parts)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def _decode(column: pa.Array, table: Vocabulary) -> pa.Array:
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return pa.array([table.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+
+
 def encoded(spark: SparkSession, text: Column, source: bytes) -> Column:
     """``array<int>`` of token ids."""
     ship(spark)
-
-    @F.arrow_udf("array<int>")
-    def ids(column: pa.Array) -> pa.Array:
-        table = vocabulary(source)
-        parts = [table.encode(t.as_py()) for t in column]
-        ends = np.cumsum([0, *map(len, parts)]) // 4
-        values = np.frombuffer(b"".join(parts), np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-
-    return ids.asNondeterministic()(text)
+    return F.arrow_udf(lambda column: _encode(column, vocabulary(source)), "array<int>").asNondeterministic()(text)
 
 
 def decoded(spark: SparkSession, ids: Column, source: bytes) -> Column:
     """The text of token ids: their strings, joined by one space."""
     ship(spark)
+    return F.arrow_udf(lambda column: _decode(column, vocabulary(source)), "string").asNondeterministic()(ids)
+
+
+def round_trip(docs: DataFrame, source: bytes) -> DataFrame:
+    """``(doc_id, ids, decoded)`` of every row: encoded, then decoded from the ids, in one worker
+    and a few megabytes of text at a time."""
+    ship(docs.sparkSession)
 
-    @F.arrow_udf("string")
-    def text(column: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(source)
-        values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        return pa.array([table.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                ids = _encode(batch.column("text").slice(a, b - a), table)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), ids, _decode(ids, table)], names=["doc_id", "ids", "decoded"]
+                )
 
-    return text.asNondeterministic()(ids)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, source: bytes, keep_ids: bool = False) -> DataFrame:
     """``doc_id``, the number of tokens, SHA-256 of the ids and of the decoded text (and the
-    ids): encoded, then decoded from the ids."""
-    spark = docs.sparkSession
-    ids = docs.select("doc_id", encoded(spark, F.coalesce("text", F.lit("")), source).alias("ids"))
-    both = ids.withColumn("decoded", decoded(spark, F.col("ids"), source))
-    return both.select(
+    ids)."""
+    return round_trip(docs, source).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

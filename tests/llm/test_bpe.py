@@ -77,3 +77,11 @@ def test_odd_rows(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 0, 2]
     assert all(r.ids_sha256 == r.decoded_sha256 == empty for r in got if not r.n_tokens)
     assert bpe.digests(docs.limit(0), bpe.read_source(PATH)).count() == 0
+
+
+def test_columns_agree_with_the_round_trip(spark):
+    docs = spark.createDataFrame([(1, "the cat's 3 été"), (2, None)], "doc_id long, text string")
+    source = bpe.read_source(PATH)
+    both = docs.withColumn("ids", bpe.encoded(spark, docs.text, source))
+    both = both.withColumn("decoded", bpe.decoded(spark, both.ids, source)).drop("text")
+    assert sorted(both.collect()) == sorted(bpe.round_trip(docs, source).collect())
