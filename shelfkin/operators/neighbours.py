@@ -51,6 +51,10 @@ def _pair_schema(df: DataFrame) -> str:
     return f"id {t}, rec_id {t}, score double"
 
 
+def _nothing(rows: pa.Table) -> pa.Table:
+    return pa.table({"id": rows["id"][:0], "rec_id": rows["id"][:0], "score": pa.array([], pa.float64())})
+
+
 def _lists(scored: DataFrame, keep: int) -> DataFrame:
     """``(id, recs)`` with the first ``keep`` of each id's scored rows, best first."""
     w = Window.partitionBy("id").orderBy(F.desc("score"), "rec_id")
@@ -105,7 +109,7 @@ def _vector_key() -> Column:
 
 def _blocked(keyed: DataFrame, asked: DataFrame | None, model: TfidfModel, k: int,
              n_blocks: int) -> DataFrame:
-    """Distinct vectors laid out in blocks, like items together; one partition is one block.
+    """Distinct vectors laid out in blocks, like items together; ``block`` numbers them.
 
     Of equal vectors the ``k + 1`` smallest ids stand for all: they have the same score to
     every item, so no further copy can enter a list of ``k``. The window limit runs before the
@@ -145,19 +149,18 @@ def _blocked(keyed: DataFrame, asked: DataFrame | None, model: TfidfModel, k: in
 
 
 def _home(blocked: DataFrame, k: int, n_terms: int) -> DataFrame:
-    """Best targets of every source inside its own block; one partition is one block."""
+    """Best targets of every source inside its own block."""
 
-    def scan(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        table = by_id(pa.Table.from_batches(batches))
+    def scan(block: pa.Table) -> pa.Table:
+        table = by_id(block)
         targets, lead = Rows.of(table), np.flatnonzero(table["source"].to_numpy())
+        found = [_nothing(block)]
         for start in range(0, len(lead), BLOCK_ROWS):
-            here = targets.take(lead[start:start + BLOCK_ROWS])
-            yield from best_targets(here, targets, n_terms, k + 1).to_batches()
+            found.append(best_targets(targets.take(lead[start:start + BLOCK_ROWS]), targets, n_terms, k + 1))
+        return pa.concat_tables(found)
 
-    return blocked.select("id", "idx", "weights", "source").mapInArrow(scan, _pair_schema(blocked))
+    rows = blocked.select("id", "idx", "weights", "source", "block")
+    return rows.groupBy("block").applyInArrow(scan, _pair_schema(blocked))
 
 
 def _reach(blocked: DataFrame, floors: DataFrame, n_groups: int, per_group: int, n_terms: int) -> DataFrame:
@@ -202,7 +205,7 @@ def _foreign(blocked: DataFrame, reach: DataFrame, k: int, n_terms: int) -> Data
     schema = _pair_schema(blocked)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [pa.table({"id": left["id"][:0], "rec_id": left["id"][:0], "score": pa.array([], pa.float64())})]
+        found = [_nothing(left)]
         for block in pc.unique(right["block"]).to_pylist():
             there = Rows.of(by_id(right.filter(pc.equal(right["block"], block))))
             top = there.top(n_terms)
