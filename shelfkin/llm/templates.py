@@ -17,6 +17,9 @@ and keep or lose the same lines. A text that loses every line is empty.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +38,21 @@ def _document(column: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc, text_hash, pos, tokens, n)`` of every line with ``LEAST`` tokens or more."""
+    """``(doc, text_hash, pos, tokens, n)`` of every line. Short lines are left out later, by their
+    hashes: a condition here would cut every line into tokens a second time."""
     lines = docs.select(
         _document(F.col("doc_id")).alias("doc"),
         F.xxhash64("text").alias("text_hash"),
         F.posexplode(F.split("text", "\n")).alias("pos", "line"),
     )
     line = F.col("line")
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
-    tokens = F.split(F.btrim(masked, F.lit("\t\n\x0b\x0c\r ")), SPACE)
-    cut = lines.select("doc", "text_hash", "pos", tokens.alias("tokens"))
-    return cut.withColumn("n", F.size("tokens")).filter(F.col("n") >= LEAST)
+    # Looking for plain strings is quick, and most lines have neither digits nor odd blanks.
+    digits, odd = ((reduce(or_, map(line.contains, found))) for found in ("0123456789", ["  ", *"\t\x0b\x0c\r"]))
+    masked = F.when(digits, F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
+    tokens = F.when(
+        odd | line.startswith(" ") | line.endswith(" "), F.split(F.btrim(masked, F.lit("\t\n\x0b\x0c\r ")), SPACE)
+    ).otherwise(F.split(masked, " "))
+    return lines.select("doc", "text_hash", "pos", tokens.alias("tokens")).withColumn("n", F.size("tokens"))
 
 
 def _leaf() -> Column:
@@ -57,7 +64,8 @@ def _part_start(k: int) -> Column:
 
 
 def _part(k: int) -> Column:
-    return F.hash(F.slice("tokens", _part_start(k) + LEAD + 1, _part_start(k + 1) - _part_start(k)))
+    here = F.slice("tokens", _part_start(k) + LEAD + 1, _part_start(k + 1) - _part_start(k))
+    return F.when(F.col("n") >= WILD_FROM, F.hash(here))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -67,7 +75,8 @@ def line_table(docs: DataFrame) -> DataFrame:
         "doc", _leaf().alias("leaf"), F.xxhash64("tokens").alias("line"), "n",
         *[_part(k).alias(p) for k, p in enumerate(parts)],
     )
-    return keyed.groupBy("leaf", "line", "n", *parts).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    figures = F.max("n").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")
+    return keyed.groupBy("leaf", "line", *parts).agg(*figures).filter(F.col("n") >= LEAST)
 
 
 def recurring(lines: DataFrame) -> DataFrame:
