@@ -2,14 +2,18 @@
 
 Both sides are sequences of lower-cased words. A passage within ``share`` of the item's words
 by edit distance keeps a known number of the item's word triples, so only windows with that many
-benchmark triples are looked at further. Such item-sized windows go through the random walk of
+benchmark triples are looked at further. Such windows go through the random walk of
 Chakraborty, Goldenberg and Koucky, which turns edit distance into Hamming distance; sampled
 places of the walk, repeated until the target recall, are the hash keys that windows and items
-are joined on. Word-level edit distance of the item to the window's surroundings decides.
+are joined on. Word-level edit distance of the item to the windows' surroundings decides.
 
-The sent tables are two bitmaps of a set size (``bits``) and the window sizes, whatever the
-number of items. Windows get one of few sizes (steps of a quarter); an item is looked up by its
-leading words of that number.
+The walk drifts apart as edits add up, so items of ``2 * PIECE`` words or more are cut into
+pieces of ``PIECE`` words and somewhat more, each looked up by itself. One of them has no more
+than its share of the edits, wherever these are, so long items are found as surely as short ones.
+
+The sent tables are two bitmaps of a set size (``bits``), the window sizes and the bounds of item
+lengths (powers of two), whatever the number of items. Windows get one of few sizes (steps of a
+quarter); a piece is looked up by its leading words of that number.
 
 Defined results: null or empty texts match nothing, and so do items of fewer than three words.
 Repeated rows of either side give one result per pair of ids; null ids are ids like others.
@@ -25,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfkin.lineage import materialise
 from shelfkin.llm.arrow import ALNUM, flat, mix, slices, window_hashes, word_hashes, words
 from shelfkin.shipping import ship
 
 SHARE, RECALL, BITS = 0.2, 0.95, 22
 PLACES = 4  # sampled places of the walk in one key
-AGREE = 0.6  # assumed share of equal places at the largest distance looked for
+AGREE = 0.6  # assumed share of equal places at the largest distance of an item that is not cut
+PIECE = 12  # least words of a piece
+LONG = 1 << 10  # words over which passages are joined
 _SLICE = 8 << 20
 
 
@@ -62,6 +69,29 @@ def triples_kept(size: int, share: float) -> int:
     return max(1, size - 2 - 3 * edits(most_words(size), share))
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """Where the pieces of an item of ``n`` words start, and their window sizes."""
+    k = max(1, n // PIECE)
+    cuts = [n * i // k for i in range(k + 1)]
+    return [(a, window_size(b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def bound(n: int) -> int:
+    """The power of two above an item's words: how far from a piece the item may reach."""
+    return 1 << n.bit_length()
+
+
+def slack(n: int, share: float) -> int:
+    """Words that a passage of an item of ``n`` words may lie off the place that a key tells."""
+    return edits(n, share) + 2 * PIECE
+
+
+def _within(keys: np.ndarray, words: int) -> np.ndarray:
+    """The keys of pieces of items of under ``words`` words."""
+    with np.errstate(over="ignore"):
+        return mix(keys + np.uint64(words) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def walk_keys(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int, times: int) -> np.ndarray:
     """``times`` hash keys of every window of ``size`` words (fewer where the text stops)."""
     rng = np.random.default_rng(size)
@@ -94,8 +124,8 @@ def _bit(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _item_rows(share: float, times: int):
-    """Per item: its window size, its keys and its triples' hashes."""
+def _item_rows(times: int):
+    """Per item: its words, the sizes, keys and the keys' places of its pieces, and its triples' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,19 +134,25 @@ def _item_rows(share: float, times: int):
             for r, a, n in zip(has, first, count, strict=True):
                 if n < 3:
                     continue
-                size = window_size(int(n))
-                keys = walk_keys(hashes, np.array([a]), np.array([a + n]), size, times)[:, 0]
+                cut, words = pieces(int(n)), bound(int(n))
+                keys = [walk_keys(hashes, np.array([a + at]), np.array([a + n]), size, times)[:, 0] for at, size in cut]
+                keys = _within(np.concatenate(keys), words)
                 _, triples = window_hashes(hashes[a : a + n], row[a : a + n], 3)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("item_id").slice(r, 1), batch.column("text").slice(r, 1), pa.array([n], pa.int64()),
-                    pa.array([size], pa.int64()), pa.array([keys.view(np.int64)]), pa.array([triples.view(np.int64)]),
-                ], names=["item_id", "item_text", "n_words", "size", "keys", "triples"])
+                    pa.array([words], pa.int64()), pa.array([[size for _, size in cut]], pa.list_(pa.int64())),
+                    pa.array([keys.view(np.int64)]), pa.array([np.repeat([at for at, _ in cut], times)], pa.list_(pa.int64())),
+                    pa.array([triples.view(np.int64)]),
+                ], names=["item_id", "item_text", "n_words", "words", "sizes", "keys", "places", "triples"])
 
     return run
 
 
-def _window_rows(sizes: list[int], triple_map: np.ndarray, key_map: np.ndarray, share: float, times: int, bits: int):
-    """Windows that share enough triples with some item and a key with some item."""
+def _window_rows(sizes: dict[int, list[int]], triple_map: np.ndarray, key_map: np.ndarray, share: float, times: int, bits: int):
+    """Passages around windows that share enough triples with some item and a key with a piece of
+    some item, with these keys and the first and last word at which a window has each. ``sizes``
+    are the window sizes with the bounds of the items; passages that overlap are one, up to
+    ``LONG`` words besides what the items reach."""
 
     def has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
         at = _bit(h, bits)
@@ -146,25 +182,46 @@ def _window_rows(sizes: list[int], triple_map: np.ndarray, key_map: np.ndarray,
                 edge = np.flatnonzero(np.diff(row)) + 1
                 lo = np.concatenate(([0], edge))[np.searchsorted(edge, np.arange(len(row)), "right")]
                 hi = np.append(edge, len(row))[np.searchsorted(edge, np.arange(len(row)), "right")]
-                for size in sizes:
+                hits = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+                for size, bounds in sizes.items():
                     at = starts(place, row, size, len(row), lo, hi)
                     for c in range(0, len(at), 20_000):
                         s = at[c : c + 20_000]
-                        keys = walk_keys(hashes, s, hi[s], size, times)
-                        found = has(key_map, keys.reshape(-1)).reshape(keys.shape)
-                        some = np.flatnonzero(found.any(axis=0))
-                        if not len(some):
-                            continue
-                        slack = edits(most_words(size), share) + 1
-                        left = np.maximum(s[some] - slack, lo[s[some]])
-                        right = np.minimum(s[some] + most_words(size) + slack, hi[s[some]])
-                        texts = [data[start[x] : end[y - 1]].tobytes().decode("utf-8") for x, y in zip(left, right, strict=True)]
-                        yield pa.RecordBatch.from_arrays([
-                            batch.column("doc_id").take(pa.array(a + row[s[some]])),
-                            pa.array(s[some] - lo[s[some]], pa.int64()),
-                            pa.array(texts, pa.string()),
-                            pa.array([keys[found[:, k], k].view(np.int64) for k in some]),
-                        ], names=["doc_id", "first_word", "passage", "keys"])
+                        walked = walk_keys(hashes, s, hi[s], size, times)
+                        for words_ in bounds:
+                            keys = _within(walked, words_)
+                            found = has(key_map, keys.reshape(-1)).reshape(keys.shape)
+                            k, j = np.nonzero(found)
+                            more = slack(words_, share)
+                            left = np.maximum(s[j] - (words_ - size) - more, lo[s[j]])
+                            right = np.minimum(s[j] + words_ + more, hi[s[j]])
+                            hits.append((keys[k, j], s[j], left, right))
+                key, at, left, right = (np.concatenate(x) for x in zip(*hits, strict=True))
+                if not len(key):
+                    continue
+                order = np.argsort(left, kind="stable")
+                key, at, left, right = key[order], at[order], left[order], right[order]
+                apart = left[1:] >= np.maximum.accumulate(right)[:-1]
+                new = np.append(True, apart | (np.diff((left - lo[left]) // LONG) != 0))
+                passage = np.cumsum(new) - 1
+                left, right = left[new], np.maximum.reduceat(right, np.flatnonzero(new))
+                order = np.lexsort((at, key, passage))
+                key, at, passage = key[order], at[order], passage[order]
+                one = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (passage[1:] != passage[:-1])))
+                last = at[np.append(one[1:], len(at)) - 1]
+                key, at, passage = key[one], at[one], passage[one]
+                edge = np.searchsorted(passage, np.arange(len(left) + 1))
+                for c in range(0, len(left), 1_000):
+                    some = range(c, min(c + 1_000, len(left)))
+                    per = [slice(edge[i], edge[i + 1]) for i in some]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("doc_id").take(pa.array(a + row[left[some]])),
+                        pa.array(left[some] - lo[left[some]], pa.int64()),
+                        pa.array([data[start[left[i]] : end[right[i] - 1]].tobytes().decode("utf-8") for i in some], pa.string()),
+                        pa.array([key[x].view(np.int64) for x in per], pa.list_(pa.int64())),
+                        pa.array([at[x] - left[i] for i, x in zip(some, per, strict=True)], pa.list_(pa.int64())),
+                        pa.array([last[x] - left[i] for i, x in zip(some, per, strict=True)], pa.list_(pa.int64())),
+                    ], names=["doc_id", "first_word", "passage", "keys", "from", "to"])
 
     return run
 
@@ -176,16 +233,17 @@ def _word_list(text: str) -> list[bytes]:
     return [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def distance_within(item: list[bytes], passage: list[bytes]) -> int:
-    """The least edit distance between the item and any run of the passage's words: bit-parallel
-    columns, one bit per item word."""
+def _bottom_row(item: list[bytes], passage: list[bytes], anchored: int = 0) -> Iterator[int]:
+    """The edit distances of the item to the runs that end before the first, second ... word of the
+    passage and after its last, least over all starts or, where ``anchored``, from the passage's
+    start: bit-parallel columns, one bit per item word."""
     n = len(item)
     equal: dict[bytes, int] = {}
     for i, w in enumerate(item):
         equal[w] = equal.get(w, 0) | 1 << i
     every, top = (1 << n) - 1, 1 << (n - 1)
     up, down, now = every, 0, n
-    best = n
+    yield now
     for w in passage:
         same = equal.get(w, 0)
         vertical = same | down
@@ -196,23 +254,51 @@ def distance_within(item: list[bytes], passage: list[bytes]) -> int:
             now += 1
         elif fall & top:
             now -= 1
-        rise = rise << 1 & every
+        rise = rise << 1 & every | anchored
         fall = fall << 1 & every
         up = fall | ~(vertical | rise) & every
         down = rise & vertical
-        best = min(best, now)
-    return best
+        yield now
 
 
-def _distances(passage: pa.Array, item: pa.Array) -> pa.Array:
-    known: dict[str, list[bytes]] = {}
-    out = []
-    for p, t in zip(passage.to_pylist(), item.to_pylist(), strict=True):
-        if t not in known:
-            known = known if len(known) < 10_000 else {}
-            known[t] = _word_list(t)
-        out.append(distance_within(known[t], _word_list(p)))
-    return pa.array(out, pa.int64())
+def distance_within(item: list[bytes], passage: list[bytes]) -> int:
+    """The least edit distance between the item and any run of the passage's words."""
+    return min(_bottom_row(item, passage))
+
+
+def best_run(item: list[bytes], passage: list[bytes]) -> tuple[int, int]:
+    """The least distance, and where the first run of that distance starts (the shortest to its end)."""
+    row = list(_bottom_row(item, passage))
+    best = min(row)
+    end = row.index(best)
+    back = _bottom_row(item[::-1], passage[:end][::-1], 1)
+    return best, end - next(j for j, x in enumerate(back) if x == best)
+
+
+def _best_runs(share: float):
+    """The least distance and the first word of that run, looked for around the places that keys tell."""
+
+    def run(passage: pa.Array, item: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        known: dict[str, list[bytes]] = {}
+
+        def listed(text: str) -> list[bytes]:
+            if text not in known:
+                if len(known) >= 1_000:
+                    known.clear()
+                known[text] = _word_list(text)
+            return known[text]
+
+        out = []
+        for p, t, a, b in zip(*(x.to_pylist() for x in (passage, item, lo, hi)), strict=True):
+            words = listed(t)
+            more = slack(len(words), share)
+            a = max(0, a - more)
+            best, at = best_run(words, listed(p)[a : b + len(words) + more])
+            out.append((best, a + at))
+        return pa.StructArray.from_arrays(
+            [pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["distance", "at"])
+
+    return F.arrow_udf(run, "struct<distance: long, at: long>").asNondeterministic()
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -229,32 +315,39 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL, bits: int = BITS) -> DataFrame:
     """``(doc_id, item_id, distance, n_words, first_word)``: for every document and benchmark
-    item found in it the least edit distance in words, the item's words and where a window of
+    item found in it the least edit distance in words, the item's words and where a passage of
     that distance starts."""
     spark = docs.sparkSession
     ship(spark)
     times = repeats(recall)
     kind = dict(benchmark.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
-    items = benchmark.select("item_id", F.lower("text").alias("text")).mapInArrow(
-        _item_rows(share, times),
-        f"item_id {kind[0]}, item_text string, n_words long, size long, keys array<long>, triples array<long>",
-    )
+    items = materialise(benchmark.select("item_id", F.lower("text").alias("text")).mapInArrow(
+        _item_rows(times),
+        f"item_id {kind[0]}, item_text string, n_words long, words long, sizes array<long>, keys array<long>,"
+        " places array<long>, triples array<long>",
+    ).withColumn("item", F.xxhash64("item_id", "item_text")).dropDuplicates(["item"]))
     triple_map = _bitmap(items.select(F.explode("triples").alias("h")), bits)
     key_map = _bitmap(items.select(F.explode("keys").alias("h")), bits)
-    sizes = sorted(r.size for r in items.select("size").distinct().collect())
-    windows = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(
+    sizes: dict[int, list[int]] = {}
+    for size, words_ in sorted(items.select(F.explode("sizes"), "words").distinct().collect()):
+        sizes.setdefault(size, []).append(words_)
+    passages = materialise(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(
         _window_rows(sizes, triple_map, key_map, share, times, bits),
-        f"doc_id {kind[1]}, first_word long, passage string, keys array<long>",
-    )
-    by_key = items.select("item_id", "item_text", "n_words", F.explode("keys").alias("key"))
+        f"doc_id {kind[1]}, first_word long, passage string, keys array<long>, `from` array<long>, `to` array<long>",
+    ).withColumn("id", F.xxhash64("doc_id", "first_word", "passage")))
+    by_key = items.select("item", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
     met = (
-        windows.select("doc_id", "first_word", "passage", F.explode("keys").alias("key"))
+        passages.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), "from", "to")))
         .join(by_key, "key")
-        .dropDuplicates(["doc_id", "first_word", "item_id", "passage"])
+        .groupBy("id", "item")
+        .agg(F.min(F.col("from") - F.col("place")).alias("lo"), F.max(F.col("to") - F.col("place")).alias("hi"))
     )
-    distance = F.arrow_udf(_distances, "long").asNondeterministic()
-    near = met.withColumn("distance", distance("passage", "item_text")).filter(
-        F.col("distance") <= F.floor(F.col("n_words") * share + 1e-9)
+    near = (
+        met.join(passages.select("id", "doc_id", F.col("first_word").alias("start"), "passage"), "id")
+        .join(items.select("item", "item_id", "item_text", "n_words"), "item")
+        .withColumn("run", _best_runs(share)("passage", "item_text", "lo", "hi"))
+        .select("doc_id", "item_id", "n_words", "run.distance", (F.col("start") + F.col("run.at")).alias("first_word"))
+        .filter(F.col("distance") <= F.floor(F.col("n_words") * share + 1e-9))
     )
     best = F.min_by(F.struct("distance", "n_words", "first_word"), F.struct("distance", "first_word")).alias("best")
     return near.groupBy("doc_id", "item_id").agg(best).select(

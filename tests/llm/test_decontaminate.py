@@ -71,6 +71,40 @@ def test_recall_and_precision_against_brute_force(planted):
     assert len(want) > 150 and len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_recall_per_length_at_the_largest_distance(spark, crowded):
+    """Exactly a fifth of the words edited, all over the item or as close together as fits."""
+    rng = random.Random(19 + crowded)
+    lengths, each = [10, 20, 23, 24, 30, 45, 59, 100, 160, 250, 400], 40
+    items = {k: prose(rng, n) for k, n in enumerate(n for n in lengths for _ in range(each))}
+    docs = []
+    for k, item in items.items():
+        most = d.edits(len(item), d.SHARE)
+        part = list(item)
+        first = rng.randint(0, len(item) - 2 * most)
+        places = range(first, first + 2 * most) if crowded else range(len(item))
+        for at in sorted(rng.sample(places, most), reverse=True):
+            kind = rng.randrange(3)
+            part[at : at + (kind > 0)] = [rng.choice(VOCABULARY)] if kind < 2 else []
+        docs.append((k, " ".join(prose(rng, 30) + part + prose(rng, 30)), 0))
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    found = d.leaks(spark.createDataFrame(docs, SCHEMA).repartition(4), bench).collect()
+    assert all(plain_distance(items[r.item_id], docs[r.doc_id][1].split()) == r.distance for r in found[::29])
+    got = {r.doc_id for r in found if r.doc_id == r.item_id}
+    recall = {n: sum(j * each <= k < (j + 1) * each for k in got) / each for j, n in enumerate(lengths)}
+    assert min(recall.values()) >= 0.93 and len(got) >= 0.95 * len(items), recall
+
+
+def test_where_the_passage_starts(spark):
+    rng = random.Random(23)
+    item, body = prose(rng, 150), prose(rng, 700)
+    body[120:120] = edited(rng, item, 12)
+    body[600:600] = item
+    docs = spark.createDataFrame([(1, " ".join(body), 0)], SCHEMA)
+    found = d.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.distance, r.n_words, r.first_word) for r in found] == [(0, 150, 600)]
+
+
 def test_clean_keeps_columns_and_clean_rows(planted):
     _, docs, table, bench = planted
     kept = d.clean(table, bench)
