@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from shelfkin.lineage import materialise
 from shelfkin.llm import bpe, decontaminate, jaccard, language, templates
 
+# Near copies share so many percent of their shingles of so many words; op4's figures are its own.
+SHARE, WORDS = 80, 5
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -33,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every group of near duplicates."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, SHARE, WORDS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Documents whose sets of word 4-grams are alike, by adaptive multi-match prefixes.
+"""Documents whose sets of word n-grams are alike, by adaptive multi-match prefixes.
 
-A document is its set of 4-word shingles (as 64-bit hashes). Texts with equal sets are one class.
+A document is its set of shingles of ``size`` words, 4 unless told otherwise (as 64-bit hashes).
+Texts with equal sets are one class.
 Shingles are put in one order for the whole corpus, rare ones first, by a table of counts of a
 set size (``2^SKETCH_BITS``), which only orders and never decides. Of a set of ``n`` that has to
 share ``need`` with any partner, the first ``n - need + l`` shingles hold at least ``l`` common
@@ -45,16 +46,16 @@ def need(n: int, share: int = SHARE) -> int:
     return (share * n + 99) // 100
 
 
-def shingles(column: pa.Array, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(column: pa.Array, weights: np.ndarray | None = None, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """``(row, hash)`` of the distinct shingles of every row, by row, then by weight and hash."""
     data, at = flat(column)
     data = lower(data)
     start, end, row = words(data, at, WORD)
     hashes = word_hashes(data, start, end)
-    parts = [window_hashes(hashes, row, WORDS)]
+    parts = [window_hashes(hashes, row, size)]
     count = np.bincount(row, minlength=len(column)) if len(row) else np.zeros(len(column), np.int64)
-    short = count[row] < WORDS
-    for n in range(1, WORDS):
+    short = count[row] < size
+    for n in range(1, size):
         first, h = window_hashes(hashes[short], row[short], n)
         whole = count[row[short][first]] == n
         parts.append((np.flatnonzero(short)[first[whole]], mix(h[whole] + np.uint64(n))))
@@ -68,9 +69,9 @@ def shingles(column: pa.Array, weights: np.ndarray | None = None) -> tuple[np.nd
     return row[new], h[new]
 
 
-def sets(column: pa.Array, weights: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, int]]:
+def sets(column: pa.Array, weights: np.ndarray | None = None, size: int = WORDS) -> Iterator[tuple[int, np.ndarray, int]]:
     """``(row, shingles, class)`` of every row that has words; the class is a hash of the set."""
-    row, h = shingles(column, weights)
+    row, h = shingles(column, weights, size)
     if not len(h):
         return
     first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
@@ -80,32 +81,36 @@ def sets(column: pa.Array, weights: np.ndarray | None = None) -> Iterator[tuple[
         yield int(r), h[a:b], c
 
 
-def _classes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _classes_and_counts(size: int):
     """One row per document, and the task's counts of its distinct sets' shingles in blocks."""
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    seen: set[int] = set()
-    names = ["doc_id", "text_hash", "n", "class", "block", "counts"]
-    kind = pa.int64()
-    for batch in batches:
-        kind = batch.column("doc_id").type
-        for a, b in slices(batch.column("text")):
-            size, known = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
-            fresh = []
-            for r, h, c in sets(batch.column("text").slice(a, b - a)):
-                size[r], known[r] = len(h), c
-                if c not in seen:
-                    seen.add(c)
-                    fresh.append(h)
-            if fresh:
-                counts += np.bincount((np.concatenate(fresh) >> _SHIFT).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        seen: set[int] = set()
+        names = ["doc_id", "text_hash", "n", "class", "block", "counts"]
+        kind = pa.int64()
+        for batch in batches:
+            kind = batch.column("doc_id").type
+            for a, b in slices(batch.column("text")):
+                held, known = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+                fresh = []
+                for r, h, c in sets(batch.column("text").slice(a, b - a), size=size):
+                    held[r], known[r] = len(h), c
+                    if c not in seen:
+                        seen.add(c)
+                        fresh.append(h)
+                if fresh:
+                    counts += np.bincount((np.concatenate(fresh) >> _SHIFT).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(held), pa.array(known),
+                     pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
+        if seen:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(size), pa.array(known),
-                 pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
-    if seen:
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(BLOCKS, kind), *[pa.nulls(BLOCKS, pa.int64())] * 3,
-             pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, BLOCKS)], pa.binary())],
-            names=names)
+                [pa.nulls(BLOCKS, kind), *[pa.nulls(BLOCKS, pa.int64())] * 3,
+                 pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, BLOCKS)], pa.binary())],
+                names=names)
+
+    return run
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
@@ -138,7 +143,7 @@ def matches(partners: np.ndarray, n: int, least: int) -> int:
     return int(np.argmin(length + met * (1 + n / 4 / length))) + 1
 
 
-def _prefix_rows(counts: np.ndarray, share: int):
+def _prefix_rows(counts: np.ndarray, share: int, size: int):
     background = counts.mean()
     excess = np.maximum(counts - background - 3 * np.sqrt(background), 0)
     hot_from = max(HOT, 6 * np.sqrt(background))
@@ -148,7 +153,7 @@ def _prefix_rows(counts: np.ndarray, share: int):
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 out: list[list] = [[] for _ in range(8)]
-                for _, h, c in sets(batch.column("text").slice(a, b - a), counts):
+                for _, h, c in sets(batch.column("text").slice(a, b - a), counts, size):
                     if c in seen:
                         continue
                     seen.add(c)
@@ -173,12 +178,12 @@ def _prefix_rows(counts: np.ndarray, share: int):
     return run
 
 
-def _alike(share: int):
+def _alike(share: int, size: int):
     def verdict(left: pa.Array, right: pa.Array) -> pa.Array:
         out = np.zeros(len(left), bool)
         step = 256
         for a in range(0, len(left), step):
-            l, r = ({i: np.sort(h) for i, h, _ in sets(x.slice(a, step))} for x in (left, right))
+            l, r = ({i: np.sort(h) for i, h, _ in sets(x.slice(a, step), size=size)} for x in (left, right))
             for i in l.keys() & r.keys():
                 both = len(np.intersect1d(l[i], r[i], assume_unique=True))
                 out[a + i] = 100 * both >= share * (len(l[i]) + len(r[i]) - both)
@@ -205,8 +210,8 @@ def _in_reach(share: int, later: Column | int, x: str = "a", y: str = "b") -> Co
 class _Corpus:
     """Texts by class, fetched for candidates only."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, share: int):
-        self.docs, self.reps, self.share = docs, reps, share
+    def __init__(self, docs: DataFrame, reps: DataFrame, share: int, size: int):
+        self.docs, self.reps, self.alike = docs, reps, _alike(share, size)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` whose whole texts are alike."""
@@ -218,7 +223,7 @@ class _Corpus:
         text = materialise(self.docs.join(send, same).select("class", "text").dropDuplicates(["class"]))
         a, b = (text.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
-        return materialise(both.filter(_alike(self.share)("text_a", "text_b")).select("a", "b"))
+        return materialise(both.filter(self.alike("text_a", "text_b")).select("a", "b"))
 
 
 def _ends(rows: DataFrame, x: str, *more: str) -> DataFrame:
@@ -265,14 +270,15 @@ def _candidates(cold: DataFrame, share: int) -> DataFrame:
     return shared.filter("shared >= least").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row of ``docs``."""
+def near_duplicates(docs: DataFrame, share: int = SHARE, size: int = WORDS) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row of ``docs``, by shingles of ``size`` words
+    of which ``share`` percent are common."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = materialise(texts.mapInArrow(
-        _classes_and_counts, f"doc_id {kind}, text_hash long, n long, class long, block int, counts binary"))
+        _classes_and_counts(size), f"doc_id {kind}, text_hash long, n long, class long, block int, counts binary"))
     each = rows.filter("block is null").select("doc_id", "n", "class")
     counts = sketch(rows.filter("block is not null"))
     # The smallest id names the class; its text is that of the row with the largest.
@@ -280,9 +286,9 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     reps = materialise(
         rows.filter("block is null and n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), row)
     )
-    corpus = _Corpus(texts, reps, share)
+    corpus = _Corpus(texts, reps, share, size)
     prefix = materialise(texts.select("text").mapInArrow(
-        _prefix_rows(counts, share), "token long, class long, n int, pos int, asked int, hots int, heat int, hot boolean"))
+        _prefix_rows(counts, share, size), "token long, class long, n int, pos int, asked int, hots int, heat int, hot boolean"))
     hot = prefix.filter("hot").filter(F.col("pos") <= F.col("n") - F.floor((share * F.col("n") + 99) / 100))
     links, hot_pairs = _hot_links(hot.select("token", "class", "n", "pos", "heat").distinct(), corpus, share)
     pairs = _candidates(prefix.filter("not hot"), share)
@@ -301,8 +307,8 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
+def keep_one(docs: DataFrame, share: int = SHARE, size: int = WORDS) -> DataFrame:
     """One row of every group: that with the group's smallest id. Rows without words stay."""
-    group = near_duplicates(docs, share).filter("n_shingles > 0 and doc_id != component_id")
+    group = near_duplicates(docs, share, size).filter("n_shingles > 0 and doc_id != component_id")
     gone = group.select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

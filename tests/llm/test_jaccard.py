@@ -81,6 +81,41 @@ def test_components_equal_brute_force(spark, monkeypatch, hot):
     assert {r.doc_id for r in kept.collect()} == {c for n, c in got.values() if n}| {i for i, (n, _) in got.items() if not n}
 
 
+def plain_groups(texts, share, size):
+    """Components of sets of ``size`` words, every pair compared."""
+    held = {}
+    for i, t in texts.items():
+        w = WORDS.findall((t or "").translate(SMALL))
+        held[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    root = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            both = len(held[a] & held[b]) if a < b and root[a] != root[b] else 0
+            if both and 100 * both >= share * len(held[a] | held[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    return {i: (len(held[i]), root[i]) for i in texts}
+
+
+def near_five():
+    """Texts with a fifth added, of which five words at 80 % make one group and four at 85 % none."""
+    rng = random.Random(4)
+    texts = {}
+    for n in range(0, 40, 2):
+        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        texts[n] = " ".join(base)
+        texts[n + 1] = " ".join(base + [f"w{rng.randrange(5000)}" for _ in range(rng.choice([19, 24, 30]))])
+    return texts
+
+
+def test_length_of_shingles_is_an_argument(spark):
+    for texts in (near_five(), corpus(5), {1: "a b c d", 2: "A b c d", 3: "a b c d e", 4: "a b c", 5: ""}):
+        docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA).repartition(5)
+        for share, size in ((80, 5), (85, 4)):
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, share, size).collect()}
+            assert got == plain_groups(texts, share, size)
+
+
 def test_shuffle_route_of_texts(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SENT_IDS", 0)
     texts = corpus(8)

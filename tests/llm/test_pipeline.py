@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from test_jaccard import plain_components
+from test_jaccard import near_five, plain_components, plain_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -48,6 +48,18 @@ def test_one_of_each_group_stays(steps):
     assert set(rows[3]) == {c for _, c in group.values()}
 
 
+def test_one_of_each_group_by_five_words_stays(steps, spark, data_dir):
+    """The stage asks for five words and 80 %, not for the four words and 85 % of op4."""
+    _, rows = steps
+    group = plain_groups({i: r.text for i, r in rows[2].items()}, 80, 5)
+    assert set(rows[3]) == {c for _, c in group.values()}
+    texts = near_five()
+    group = {c for _, c in plain_groups(texts, 80, 5).values()}
+    assert group < {c for _, c in plain_groups(texts, 85, 4).values()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, data_dir).collect()} == group
+
+
 def test_leaks_go(steps, spark, data_dir):
     _, rows = steps
     items = [decontaminate._word_list(r.text.lower()) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]
