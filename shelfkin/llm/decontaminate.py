@@ -37,8 +37,8 @@ SHARE, RECALL, BITS = 0.2, 0.95, 22
 PLACES = 4  # sampled places of the walk in one key
 AGREE = 0.6  # assumed share of equal places at the largest distance of an item that is not cut
 PIECE = 12  # least words of a piece
-LONG = 1 << 10  # words over which passages are joined
-_SLICE = 8 << 20
+LONG = 1 << 8  # words over which passages are joined
+_SLICE = 2 << 20
 
 
 def repeats(recall: float = RECALL) -> int:
@@ -280,20 +280,19 @@ def _best_runs(share: float):
 
     def run(passage: pa.Array, item: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
         known: dict[str, list[bytes]] = {}
-
-        def listed(text: str) -> list[bytes]:
-            if text not in known:
+        out, text, body = [], None, []
+        # One row at a time: a passage stands in the rows of all its items.
+        for p, t, a, b in zip(passage, item, lo.to_pylist(), hi.to_pylist(), strict=True):
+            if (p := p.as_py()) != text:
+                text, body = p, _word_list(p)
+            if (t := t.as_py()) not in known:
                 if len(known) >= 1_000:
                     known.clear()
-                known[text] = _word_list(text)
-            return known[text]
-
-        out = []
-        for p, t, a, b in zip(*(x.to_pylist() for x in (passage, item, lo, hi)), strict=True):
-            words = listed(t)
+                known[t] = _word_list(t)
+            words = known[t]
             more = slack(len(words), share)
             a = max(0, a - more)
-            best, at = best_run(words, listed(p)[a : b + len(words) + more])
+            best, at = best_run(words, body[a : b + len(words) + more])
             out.append((best, a + at))
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["distance", "at"])
