@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfkin.lineage import shared_folder
-from shelfkin.llm import bpe, decontaminate, jaccard, language, licenses, quality, secrets, sql, templates, urls, warc
+from shelfkin.llm import (
+    audit,
+    bpe,
+    decontaminate,
+    importance,
+    jaccard,
+    language,
+    licenses,
+    quality,
+    secrets,
+    sql,
+    templates,
+    urls,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +97,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, its score, and its rank if it is drawn."""
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance.ranked(importance.scored(docs, target)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every source, order of the filters and step."""
+    masks = audit.masks(_table(spark, sf_dir, "documents"))
+    return audit.interactions(audit.mask_counts(masks, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -94,10 +120,14 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_urls": op10_urls,
+    "op11_importance": op11_importance,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE = {
     "op6_warc": sql.WARC,
     "op7_line_dedup": sql.LINE_DEDUP,
     "op10_urls": sql.URLS,
+    "op11_importance": sql.IMPORTANCE,
+    "op12_filter_audit": sql.FILTER_AUDIT,
 }

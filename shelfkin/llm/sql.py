@@ -61,3 +61,86 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+# The table of the cyclic redundancy check comes from its polynomial, bit by bit.
+IMPORTANCE = r"""
+WITH RECURSIVE bits (i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS cell FROM bits WHERE k = 8
+), texts AS (
+  SELECT 's' AS side, doc_id AS id, text FROM documents
+  UNION ALL
+  SELECT 't', row_number() OVER (), text FROM benchmark
+), found AS (
+  SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), counted AS (
+  SELECT side, id, word, count(*) AS n FROM found GROUP BY ALL
+), cells AS (
+  SELECT word, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(strlen(word)), lambda i: ('0x' || hex(encode(word))[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, cell[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM counted), crc
+), sides AS (
+  SELECT b.bucket, coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t
+  FROM range(10000) b(bucket) LEFT JOIN cells USING (bucket) LEFT JOIN counted USING (word) GROUP BY b.bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sides) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sides) + 10000))))::BIGINT AS gain
+  FROM sides
+), weighed AS (
+  SELECT id AS doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM counted JOIN cells USING (word) JOIN gains USING (bucket) WHERE side = 's' GROUP BY id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM placed
+"""
+
+FILTER_AUDIT = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), masks AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END AS mask
+  FROM words
+), counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM masks LEFT JOIN labels USING (doc_id) GROUP BY ALL
+), letters (letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5
+), steps AS (
+  SELECT filter_order, step::INTEGER AS step, bit, coalesce((SELECT sum(x.bit)
+    FROM letters x WHERE instr(filter_order, x.letter) < step), 0)::INTEGER AS before
+  FROM orders, range(1, 6) s(step), letters WHERE filter_order[step] = letter
+), result AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM result
+"""
