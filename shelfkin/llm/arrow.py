@@ -111,3 +111,18 @@ def window_hashes(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarr
         for k in range(n):
             h = mix(h * _BASE + hashes[first + k])
     return first, h
+
+
+class RangeHashes:
+    """64-bit hashes of any byte ranges of one array, as ``word_hashes`` gives them for words."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        with np.errstate(over="ignore"):
+            self.sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_BYTES[data] * _power("up", _BASE, n), out=self.sums[1:])
+        self.down = _power("down", _INVERSE, n + 1)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))

@@ -28,7 +28,6 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,10 +152,10 @@ def _facts(docs: DataFrame, most_cells: int) -> DataFrame:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
                 text, hashes = part.column("text"), part.column("hash").to_numpy()
-                maybe = may_repeat(hashes, held.value) if held.value is not None else np.ones(len(text), bool)
+                alone = ~may_repeat(hashes, held.value) if held.value is not None else np.zeros(len(text), bool)
+                repeat = text.take(pa.array(np.arange(len(text)), mask=alone))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("part"), pa.array(text_masks(text), pa.int32()),
-                     pc.if_else(pa.array(maybe), text, pa.scalar(None, text.type))],
+                    [part.column("doc_id"), part.column("part"), pa.array(text_masks(text), pa.int32()), repeat],
                     names=["doc_id", "part", "mask", "repeat"],
                 )
 

@@ -21,6 +21,7 @@ from shelfkin.llm import (
     secrets,
     sql,
     templates,
+    toxicity,
     urls,
     warc,
 )
@@ -109,6 +110,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(audit.mask_counts(masks, _table(spark, sf_dir, "labels")))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the model that the labels train."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))
+    scored = toxicity.scored(docs, model, "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -122,6 +132,7 @@ QUERIES = {
     "op10_urls": op10_urls,
     "op11_importance": op11_importance,
     "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE = {
