@@ -36,7 +36,7 @@ HEADS, TAILS = (2, 3, 4, 5), (3, 4)
 SENTENCE_WORDS, PASSAGE_WORDS = 64, 96
 SHARPNESS = 2.0
 PER_CLASS, MOST_CHARS = (3000, 1500), 20_000
-_SLICE = 2 << 20
+_SLICE, _SAMPLE_SLICE = 2 << 20, 1 << 20
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 
@@ -143,24 +143,38 @@ class Sample:
 
 
 def _sample(texts: list[str]) -> Sample:
-    """The texts, read together with one sentence for each group term, so that all terms have numbers."""
+    """The texts, a slice at a time, and the group terms, so that all of these have numbers."""
     kinds = [kind.split() for kind in TERMS.values()]
     terms = [t for kind in kinds for t in kind]
-    data, at = flat(pa.array([*texts, *terms], pa.string()))
-    data = lower(data)
-    start, end, row = words(data, at, ALNUM)
-    hashes = RangeHashes(data)
-    _, place, word = np.unique(hashes(start, end), return_index=True, return_inverse=True)
-    features = word_features(data, start[place], end[place], hashes)
-    sentence = sentences(data, start, row)
-    own = len(sentence) - len(terms)
-    number = dict(zip(terms, word[sentence[own:]].tolist(), strict=True))
-    sentence, word = sentence[:own], word[: sentence[own]]
+    column = pa.array([*texts, *terms], pa.string())
+    parts, known, features, base = [], np.zeros(0, np.uint64), [], 0
+    for a, b in slices(column, _SAMPLE_SLICE):
+        data, at = flat(column.slice(a, b - a))
+        data = lower(data)
+        start, end, row = words(data, at, ALNUM)
+        hashes = RangeHashes(data)
+        each = hashes(start, end)
+        own, place = np.unique(each, return_index=True)
+        new = ~np.isin(own, known)
+        known = np.concatenate((known, own[new]))
+        features.append(word_features(data, start[place[new]], end[place[new]], hashes))
+        sentence = sentences(data, start, row)
+        opening = passages(sentence, row)
+        parts.append((each, sentence + base, opening + base, row[opening] + a))
+        base += len(each)
+    hashed, sentence, first, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(known)
+    word = order[np.searchsorted(known, hashed, sorter=order)]
+    features = np.concatenate(features)
+    # Every term is a text of one word, so the last words are the terms.
+    tokens = len(word) - len(terms)
+    number = dict(zip(terms, word[tokens:].tolist(), strict=True))
+    word, sentence, row = word[:tokens], sentence[sentence < tokens], row[first < tokens]
+    first = first[first < tokens]
     counterfactual = swaps(word, sentence, [[number[t] for t in kind] for kind in kinds])
-    first = passages(sentence, row)
     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
     once = np.unique(of * len(features) + word)
-    return Sample(once % len(features), np.searchsorted(once, np.arange(len(first)) * len(features)), row[first], features, *counterfactual)
+    return Sample(once % len(features), np.searchsorted(once, np.arange(len(first)) * len(features)), row, features, *counterfactual)
 
 
 def swaps(word: np.ndarray, sentence: np.ndarray, kinds: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
