@@ -30,6 +30,7 @@ def run(spark: SparkSession, name: str) -> float:
     start = time.perf_counter()
     if name == "prepare_text":
         adapters.text_neighbours(spark, SF_DIR)
+        adapters.text_postings(spark, SF_DIR)
     else:
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
     return round(time.perf_counter() - start, 3)

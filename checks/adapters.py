@@ -6,12 +6,13 @@ as products with ratings from labels.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfkin.lineage import materialise, task_count
+from shelfkin.lineage import materialise, shared_folder, task_count
 from shelfkin.operators import catalog as c
 from shelfkin.operators import neighbours, tfidf
 from shelfkin.plans.prepare import catalog_vectors
@@ -141,6 +142,7 @@ class Prepared:
 
 
 _prepared: dict[tuple, Prepared] = {}
+_postings: dict[tuple, DataFrame] = {}
 _neighbours: dict[tuple, DataFrame] = {}
 
 
@@ -151,17 +153,28 @@ def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
 def prepared_text(spark: SparkSession, sf_dir: str) -> Prepared:
     key = _key(spark, sf_dir, "text")
     if key not in _prepared:
-        docs = items(spark, sf_dir)
-        model = tfidf.fit(docs)
-        _prepared[key] = Prepared(model, materialise(tfidf.item_vectors(docs, model)))
+        model, vectors = tfidf.fit_vectors(items(spark, sf_dir))
+        _prepared[key] = Prepared(model, materialise(vectors))
     return _prepared[key]
 
 
+def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of the text catalog by term, written once."""
+    key = _key(spark, sf_dir, "postings")
+    if key not in _postings:
+        path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+        rows = neighbours.term_postings(prepared_text(spark, sf_dir).item_terms)
+        rows.write.partitionBy("buckets", "bucket").parquet(path)
+        _postings[key] = spark.read.parquet(path)
+    return _postings[key]
+
+
 def prepared_retail(spark: SparkSession, sf_dir: str) -> Prepared:
     key = _key(spark, sf_dir, "retail")
     if key not in _prepared:
-        reviews = retail_reviews(spark, sf_dir)
-        model, _, vectors = catalog_vectors(c.catalog_build(reviews), c.review_parts(reviews))
+        reviews = materialise(retail_reviews(spark, sf_dir))
+        products, parts = materialise(c.catalog_build(reviews)), materialise(c.review_parts(reviews))
+        model, _, vectors = catalog_vectors(products, parts)
         # A few megabytes that every scan then works on hard: one part per core.
         _prepared[key] = Prepared(model, materialise(vectors.repartition(task_count(spark), "id")))
     return _prepared[key]

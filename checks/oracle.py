@@ -138,6 +138,8 @@ CTES: dict[str, str] = {
         content, substr(string_agg(clean, ' ' order by ord, clean), 1, 2000) reviews_head,
         string_agg(clean, ' ' order by ord, clean) all_reviews, coalesce(avg(rating), 0) avg_rating,
         count(rating) review_count, count(distinct username) unique_reviewers from retail_rated group by id""",
+    "retail_parts": """select *, (row_number() over (partition by id order by ord, clean) - 1) // 4096 part
+        from retail_rated""",
     "retail_items": "select id, content || ' ' || all_reviews as text from retail",
     "sales": """select doc_id::varchar product_id, source || ' item ' || doc_id product_name,
         lang || '|' || source category, case when lang <> 'en' then '₹' || format('{:,}', n_chars) end discounted_price,
@@ -210,6 +212,8 @@ CTES: dict[str, str] = {
     "retail_texts": """select id, name || '. Brand: ' || brand || '. ' || content || '. ' || substr(reviews_head, 1, 500) as text
         from retail""",
     "unit": _unit_vectors("retail_texts", "id"),
+    "doc_texts": "select doc_id, text from documents",
+    "doc_unit": _unit_vectors("doc_texts", "doc_id"),
     "message_texts": "select request_id, message as text from messages",
     "asked": _unit_vectors("message_texts", "request_id"),
     "messages": """select conv_id || '-' || turn request_id, conv_id % (select count(*) from embeddings) query_id,

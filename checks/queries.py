@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import adapters as a
 from checks.oracle import NO_SPACE, clean, lit, money, numeric, price_text, sql
 from shelfkin.functions import parsing, text, vectors
-from shelfkin.lineage import shared_folder
+from shelfkin.lineage import materialise, shared_folder
 from shelfkin.operators import analytics, catalog, evaluate, explain, lime, neighbours, prompts, retrieve, sampling, tfidf
 from shelfkin.plans import prepare, report
 from shelfkin.sources import artifacts, readers
@@ -99,6 +99,7 @@ FIGURES = {
     "vocabulary": "round(sum(idf) * 100)",
     "item_vectors": "sum(size(idx))",
     "item_terms": "round(sum(weight) * 100)",
+    "term_postings": "round(sum(weight) * 100)",
 }
 
 
@@ -107,7 +108,8 @@ FIGURES = {
     union all select 'review_parts', count(*), sum(length({clean('text')}))::double from documents
     union all select 'vocabulary', count(*), round(sum(idf) * 100) from vocab
     union all select 'item_vectors', (select count(*) from documents), (select count(*)::double from weights)
-    union all select 'item_terms', count(*), round(sum(weight) * 100) from weights""")
+    union all select 'item_terms', count(*), round(sum(weight) * 100) from weights
+    union all select 'term_postings', count(*), round(sum(weight) * 100) from weights""")
 def write_artifacts(spark, sf):
     out = None
     for name, df in _written(spark, sf).items():
@@ -121,7 +123,9 @@ def write_artifacts(spark, sf):
     txt from cat union all select 'product_lookup', id::varchar, avg_rating, review_count::double, name from cat
     union all select 'review_parts', doc_id::varchar, 0, 0, {clean('text')} from documents
     union all select 'vocabulary', term, round(idf, 6), null, null from vocab
-    union all select 'item_terms', id::varchar, round(weight, 6), null, term from weights""")
+    union all select 'item_terms', id::varchar, round(weight, 6), null, term from weights
+    union all select 'term_postings', id::varchar, round(weight, 6), null, term from weights
+    union all select 'item_vectors', id::varchar, round(weight, 6), null, term from weights""")
 def load_artifacts(spark, sf):
     tables = _written(spark, sf)
     columns = {
@@ -130,7 +134,11 @@ def load_artifacts(spark, sf):
         "review_parts": ("id", "part", "part", "text"),
         "vocabulary": ("term", "idf", None, None),
         "item_terms": ("id", "weight", None, "term"),
+        "term_postings": ("id", "weight", None, "term"),
+        "item_vectors": ("id", "weight", None, "term"),
     }
+    model = tfidf.TfidfModel.of(tables["vocabulary"])
+    tables["item_vectors"] = model.item_terms(tables["item_vectors"])
     out = None
     for name, picked in columns.items():
         key, one, two, txt = (F.col(c) if c else F.lit(None) for c in picked)
@@ -142,8 +150,10 @@ def load_artifacts(spark, sf):
     return out
 
 
-@query("embedding_refresh", """select doc_id id, sha256(text) text_hash, vec_id is not null and lang <> 'fr' reused
-    from documents left join embeddings on vec_id = doc_id""")
+@query("embedding_refresh", """select doc_id id, sha256(text) text_hash, vec_id is not null and lang <> 'fr' reused,
+    place, round(coalesce(case when lang <> 'fr' then embedding[place + 1]::double end, v, 0), 4) v
+    from documents left join embeddings on vec_id = doc_id cross join (select unnest(range(64))::int place)
+    left join doc_unit using (doc_id, place)""")
 def embedding_refresh(spark, sf):
     docs = a.documents(spark, sf)
     corpus = docs.select(F.col("doc_id").alias("id"), "text")
@@ -152,7 +162,10 @@ def embedding_refresh(spark, sf):
     stored = artifacts.with_text_hash(
         a.corpus_vectors(spark, sf).join(docs.select(F.col("doc_id").alias("id"), then.alias("text")), "id")
     )
-    return artifacts.embedding_refresh(corpus, stored, retrieve.encode_texts).select("id", "text_hash", "reused")
+    stored = artifacts.store_embeddings(stored, f"embeddings_{uuid.uuid4().hex}", scratch(spark), 8)
+    out = artifacts.embedding_refresh(corpus, stored, retrieve.encode_texts)
+    cells = out.select("id", "text_hash", "reused", F.posexplode("embedding").alias("place", "v"))
+    return cells.select("id", "text_hash", "reused", "place", F.round(F.col("v").cast("double"), 4).alias("v"))
 
 
 def _together(spark, sf):
@@ -205,7 +218,7 @@ def content_text(spark, sf):
 
 
 @query("full_content", f"""select id, 0::bigint seq, content as text from retail union all
-    select id, ord // 4096 + 1, string_agg(clean, ' ' order by ord, clean) from retail_rated group by 1, 2""")
+    select id, part + 1, string_agg(clean, ' ' order by ord, clean) from retail_parts group by 1, 2""")
 def full_content(spark, sf):
     reviews = a.retail_reviews(spark, sf)
     return catalog.full_content(catalog.catalog_build(reviews), catalog.review_parts(reviews))
@@ -279,8 +292,8 @@ def review_aggregates(spark, sf):
     return catalog.review_aggregates(a.retail_reviews(spark, sf))
 
 
-@query("review_parts", """select id, ord // 4096 part, string_agg(clean, ' ' order by ord, clean) as text
-    from retail_rated group by 1, 2""")
+@query("review_parts", """select id, part, string_agg(clean, ' ' order by ord, clean) as text
+    from retail_parts group by 1, 2""")
 def review_parts(spark, sf):
     return catalog.review_parts(a.retail_reviews(spark, sf))
 
@@ -356,15 +369,14 @@ def ngrams(spark, sf):
 
 @query("vocabulary", "select term, cf, df, round(idf, 6) idf from vocab")
 def vocabulary(spark, sf):
-    terms = tfidf.with_terms(tfidf.with_words(a.items(spark, sf)))
+    terms = tfidf.with_terms(materialise(tfidf.with_words(a.items(spark, sf))))
     return tfidf.vocabulary(terms).withColumn("idf", F.round("idf", 6))
 
 
 @query("tfidf", "select id, term, round(weight, 6) weight from weights")
 def tfidf_weights(spark, sf):
-    docs = a.items(spark, sf)
-    model = tfidf.fit(docs)
-    return model.item_terms(tfidf.item_vectors(docs, model)).withColumn("weight", F.round("weight", 6))
+    model, vectors = tfidf.fit_vectors(a.items(spark, sf))
+    return model.item_terms(vectors).withColumn("weight", F.round("weight", 6))
 
 
 @query("tfidf_segments", "select id, term, round(weight, 6) weight from r_weights")
@@ -395,14 +407,14 @@ def recommend_many(spark, sf):
 @query("recommend_one", "select rec_id id, score, rank from padded where id = 3")
 def recommend_one(spark, sf):
     ready = a.prepared_text(spark, sf)
-    return neighbours.recommend_one(ready.item_terms, 3, 5, catalog=ready.vectors)
+    return neighbours.recommend_one(ready.item_terms, 3, 5, catalog=ready.vectors, postings=a.text_postings(spark, sf))
 
 
 @query("recommend_one_hydrated", """select n.id, n.rec_id, rank, score, name, brand, price, avg_rating, review_count
     from padded n join cat c on c.id = n.rec_id where n.id = 3""")
 def recommend_one_hydrated(spark, sf):
     ready = a.prepared_text(spark, sf)
-    one = neighbours.recommend_one(ready.item_terms, 3, 5, catalog=ready.vectors)
+    one = neighbours.recommend_one(ready.item_terms, 3, 5, catalog=ready.vectors, postings=a.text_postings(spark, sf))
     pairs = one.select(F.lit(3).cast("bigint").alias("id"), F.col("id").alias("rec_id"), "score", "rank")
     return evaluate.recommend_hydrated(pairs, a.text_facts(spark, sf))
 
@@ -462,7 +474,7 @@ _STEP = "* 48271 % 2147483647"
     sum(n_kept * sample)::bigint kept_in_order from (
       select source_id, target_id, n_words, sample, case when sample = 0 then n_words else n_words - 1 -
         (((seed + 40503 * sample) % 2147483647 + 1) {_STEP} {_STEP} {_STEP}) % n_words end n_kept from (
-          select source_id, target_id, ('0x' || substr(md5('42:' || source_id || ':' || target_id), 1, 8))::bigint seed,
+          select source_id, target_id, ('0x' || substr(md5('42:' || target_id), 1, 8))::bigint seed,
             len(list_distinct(string_split({clean('text')}, ' '))) n_words
           from pairs join items on items.id = target_id where {clean('text')} <> ''), range(1000) r(sample))
     group by 1, 2, 3""")
@@ -486,18 +498,32 @@ def lime_scores(spark, sf):
     )
 
 
-def _lime(spark, sf):
-    return lime.lime_pairs(*_lime_inputs(spark, sf)).withColumn("contribution", F.round("contribution", 6))
-
-
 @query("lime_pairs")
 def lime_pairs(spark, sf):
-    return _lime(spark, sf)
+    out = lime.lime_pairs(*_lime_inputs(spark, sf)).drop("residual")
+    return out.withColumn("contribution", F.round("contribution", 6))
+
+
+@query("lime_residuals", f"""select source_id, target_id, least(10, len(list_distinct(string_split({clean('text')}, ' ')))) n_features,
+    0.0::double residual from pairs join items on items.id = target_id where {clean('text')} <> ''""")
+def lime_residuals(spark, sf):
+    """Every pair's coefficients solve their normal equations, worked out anew from the variants."""
+    out = lime.lime_pairs(*_lime_inputs(spark, sf))
+    return out.groupBy("source_id", "target_id").agg(
+        F.count("*").alias("n_features"), (F.round(F.max("residual"), 6) + 0.0).alias("residual")
+    )
 
 
-@query("lime_term_weights")
+@query("lime_term_weights", f"""select source_id, target_id, feature, round(coalesce(s.weight, 0), 6) source_weight,
+    round(coalesce(t.weight, 0), 6) target_weight from (
+      select source_id, target_id, unnest(list_distinct(string_split({clean('text')}, ' '))) feature
+      from pairs join items on items.id = target_id where {clean('text')} <> '') p
+    left join weights s on s.id = source_id and s.term = feature left join weights t on t.id = target_id and t.term = feature""")
 def lime_term_weights(spark, sf):
-    return lime.lime_term_weights(_lime(spark, sf), a.prepared_text(spark, sf).item_terms)
+    """All words of every pair's target with the weights attached to them."""
+    every = lime.lime_pairs(*_lime_inputs(spark, sf), n_features=None)
+    out = lime.lime_term_weights(every, a.prepared_text(spark, sf).item_terms)
+    return out.select("source_id", "target_id", "feature", r6("source_weight"), r6("target_weight"))
 
 
 # ---------------------------------------------------------------- retrieval and prompts

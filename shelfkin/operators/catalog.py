@@ -28,6 +28,8 @@ CATALOG_COLUMNS = [
 ]
 LOOKUP_COLUMNS = ["id", "name", "brand", "price", "avg_rating", "review_count"]
 PART_ROWS = 4096
+# Rows of one product that a task puts in order.
+CHUNK_ROWS = 1 << 16
 HEAD_CHARS = 2000
 
 
@@ -71,21 +73,39 @@ def review_aggregates(reviews: DataFrame) -> DataFrame:
     return figures.join(unique_reviewers(reviews), "id")
 
 
+def _parts_of(rows: DataFrame, part_rows: int, chunk_rows: int) -> DataFrame:
+    """``rows(id, ord, text)`` with ``part``, the row's place among those of its id by ``part_rows``.
+
+    Rows are numbered inside chunks of ``ord``, and the chunks' sizes are summed up per id, so no
+    task orders more than a chunk of one id.
+    """
+    chunk = F.expr(f"ord div {chunk_rows}")
+    sizes = rows.groupBy("id", chunk.alias("chunk")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("id", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("id", "chunk").orderBy("ord", "text"))
+    numbered = rows.withColumn("chunk", chunk).withColumn("number", number).join(before, ["id", "chunk"])
+    part = F.expr(f"(before + number - 1) div {part_rows}")
+    return numbered.select("id", "ord", "text", part.alias("part"))
+
+
 def review_parts(reviews: DataFrame, part_rows: int = PART_ROWS, id_col: str = "id",
-                 text: str = "review_text") -> DataFrame:
-    """``(id, part, text)``: cleaned reviews joined by spaces, at most ``part_rows`` per part.
+                 text: str = "review_text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``(id, part, text)``: cleaned reviews joined by spaces, ``part_rows`` per part.
 
-    ``ord`` numbers the rows, so its quotient bounds a part; read in ``part`` order and joined
-    by spaces the parts are the product's whole review text.
+    A product has as many parts as its reviews fill, the last one less than full; read in ``part``
+    order and joined by spaces they are its whole review text. Only the products with more than one
+    part are numbered by ``ord``: there is one of them for every ``part_rows`` reviews at most.
     """
+    rows = reviews.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), "ord", clean_text(F.col(text)).alias("text")
+    )
+    big = rows.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > part_rows).select("id", F.lit(True).alias("big"))
+    marked = rows.join(big, "id", "left")
+    few = marked.filter("big is null").select("id", "ord", "text", F.lit(0).cast("bigint").alias("part"))
+    many = _parts_of(marked.filter("big").drop("big"), part_rows, chunk_rows)
     return (
-        reviews.filter(F.col(id_col).isNotNull())
-        .select(
-            F.col(id_col).alias("id"),
-            F.expr(f"ord div {part_rows}").alias("part"),
-            "ord",
-            clean_text(F.col(text)).alias("text"),
-        )
+        few.unionByName(many)
         .groupBy("id", "part")
         .agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("rows"))
         .select("id", "part", F.array_join("rows.text", " ").alias("text"))

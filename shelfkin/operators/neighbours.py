@@ -3,19 +3,34 @@
 Scores are rounded to six digits, lists are ordered by score descending and id ascending, and
 an item is never its own neighbour. Three routes give the same lists:
 
-* one item: an equi join of its few terms with the long weight table (``recommend_one``);
+* one item: an equi join of its few terms with the weight table, of which the written postings by
+  term give just these terms (``recommend_one``);
 * few items: their vectors, a checked number of entries, go to every task and the catalog is
   scanned once where it lies;
 * many items: equal vectors are collapsed and the rest is laid out in blocks of like items.
-  Every item first meets its own block, which sets the score it must beat, and meets another
-  block only when the largest weights found there could still do so. The bound is an upper
-  bound, so nothing is lost. Pairs of items never become rows: a task holds two bounded sets of
-  vectors and passes on the best few per item.
+  Every item first meets its own block, which sets the score it must beat, its floor. With the
+  floors known, the cheaper of two exact ways finds what other blocks hold:
+
+  - an inverted index (``_indexed``). An item's terms are ordered rarest first. Two items whose
+    first common term is ``t`` score at most the product of what is left of their norms from
+    ``t`` on, so an item looks only under its leading terms, those from which on the rest of its
+    norm reaches the floor, and meets only postings whose own rest is large enough. A term's
+    sources and postings are dealt to cells of a bounded size, so a term that a third of all
+    items hold is many tasks;
+  - groups of blocks against groups of blocks (``_foreign``), where nearly everything resembles
+    everything and an index would meet the same pair under many terms. Inside, an item skips the
+    blocks whose largest weights cannot lift it over its floor.
+
+  Which one is cheaper follows from counts of the index's pairs. Pairs of items never become rows:
+  a task holds two bounded sets of vectors and passes on the best few per item.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +38,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfkin.lineage import materialise
+from shelfkin.lineage import materialise, task_count
 from shelfkin.operators.sparse import DIGITS, Rows, best_targets, by_id, merged, slices
 from shelfkin.operators.tfidf import TfidfModel
 from shelfkin.shipping import ship
 
+log = logging.getLogger(__name__)
+
 BLOCK_ROWS = 1024
+# Sources and postings of a term that meet in one task.
+CELL_ROWS = 2048
 # Sources are few while their vectors hold no more entries than this: 48 MB on every executor.
 FEW_ENTRIES = 4 << 20
 GROUP_BLOCKS = 64
-SALTS = 32
+# Ids of one vector that take their list in one task, where the vector is hot.
+SALT_ROWS, HOT_KEYS = 4096, 1024
 MERGE_AFTER = 32
-BROADCAST_BYTES = 64 << 20
+# Rows of a bucket of the postings by term.
+POSTINGS = 4 << 20
+# The index is taken while its pairs are fewer than this share of all pairs: a pair may meet under
+# several terms there, and every meeting brings two vectors.
+INDEX_SHARE = 0.25
 # More than half a step of the rounded scores, so that a bound is never a tie too low.
 SLACK = 1e-6
 
@@ -51,6 +75,11 @@ def _pair_schema(df: DataFrame) -> str:
     return f"id {t}, rec_id {t}, score double"
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns, to be told from those of a table that ``df`` comes from too."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _nothing(rows: pa.Table) -> pa.Table:
     return pa.table({"id": rows["id"][:0], "rec_id": rows["id"][:0], "score": pa.array([], pa.float64())})
 
@@ -108,14 +137,15 @@ def _vector_key() -> Column:
 
 
 def _blocked(keyed: DataFrame, asked: DataFrame | None, model: TfidfModel, k: int,
-             n_blocks: int) -> DataFrame:
+             block_rows: int) -> DataFrame:
     """Distinct vectors laid out in blocks, like items together; ``block`` numbers them.
 
     Of equal vectors the ``k + 1`` smallest ids stand for all: they have the same score to
     every item, so no further copy can enter a list of ``k``. The window limit runs before the
     shuffle. Rows are ordered by the term they use most often, common ones first, and then by
-    their heaviest term; the id at the end splits rows that agree on both. ``asked`` names the
-    vectors wanted as sources.
+    their heaviest term; the id at the end splits rows that agree on both. Every range of that
+    order is cut into blocks as it stands, so the number of tasks is the session's and not that of
+    the blocks. ``asked`` names the vectors wanted as sources.
     """
     same = Window.partitionBy("key")
     idf = model.idf_array()
@@ -139,13 +169,15 @@ def _blocked(keyed: DataFrame, asked: DataFrame | None, model: TfidfModel, k: in
         kept = kept.join(asked.withColumn("asked", F.lit(True)), "key", "left").withColumn(
             "source", (F.col("copy") == 1) & F.coalesce("asked", F.lit(False))
         ).drop("asked")
-    return (
-        kept.withColumn("used", used)
-        .withColumn("heavy", heaviest)
-        .repartitionByRange(n_blocks, F.desc("used.common"), "used.idx", "heavy", "id")
-        .withColumn("block", F.spark_partition_id())
-        .drop("used", "heavy", "copy")
-    )
+    order = [F.desc("used.common"), F.col("used.idx"), F.col("heavy"), F.col("id")]
+    ordered = kept.withColumn("used", used).withColumn("heavy", heaviest).repartitionByRange(
+        task_count(keyed.sparkSession), *order
+    ).sortWithinPartitions(*order)
+    # A task's number in the upper bits, the row's in the lower 33: a block never spans two tasks.
+    place = F.monotonically_increasing_id()
+    task, row = F.shiftright(place, 33), place.bitwiseAND((1 << 33) - 1)
+    block = F.shiftleft(task, 33) + F.floor(row / block_rows).cast("long")
+    return ordered.withColumn("block", block).drop("used", "heavy", "copy")
 
 
 def _home(blocked: DataFrame, k: int, n_terms: int) -> DataFrame:
@@ -163,101 +195,179 @@ def _home(blocked: DataFrame, k: int, n_terms: int) -> DataFrame:
     return rows.groupBy("block").applyInArrow(scan, _pair_schema(blocked))
 
 
-def _reach(blocked: DataFrame, floors: DataFrame, n_groups: int, per_group: int, n_terms: int) -> DataFrame:
-    """``(id, target, floor)``: the block groups that could still improve an item's list.
+def _with_rests(rows: DataFrame, counts: Column) -> DataFrame:
+    """``rows(idx, weights, ..)`` with ``e``: their entries rarest term first, each with its place
+    and ``rest``, the norm of the entries from there on. ``counts`` is an array of the items per term."""
+    entries = F.sort_array(F.transform(
+        F.arrays_zip("idx", "weights"), lambda e: F.struct(F.get(counts, e.idx).alias("n"), e.idx.alias("term"), e.weights.alias("w"))
+    ))
+    zero = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("rests"))
+
+    def step(acc: Column, e: Column) -> Column:
+        total = acc["sum"] + e["w"] * e["w"]
+        return F.struct(total.alias("sum"), F.concat(acc["rests"], F.array(F.sqrt(total))).alias("rests"))
+
+    # A vector holds no more entries than its text has words and bigrams in the vocabulary.
+    rows = rows.withColumn("e", entries)
+    rests = F.reverse(F.aggregate(F.reverse("e"), zero, step)["rests"])
+    return rows.withColumn("e", F.zip_with("e", rests, lambda e, r: F.struct(e["term"].alias("term"), r.alias("rest"))))
+
+
+def _index_sides(blocked: DataFrame, floors: DataFrame, n_terms: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, term, rest, floor)`` of the leading terms that each source looks under, and ``(id,
+    term, rest)`` of the postings that some source may need.
 
-    An item's score to any row is at most the sum of its weights times the largest weights
-    found in that row's group. ``floors`` holds the last score of a full list; half a rounding
-    step is allowed for. The largest weights are sent to all tasks while they are few and joined
-    by a shuffle beyond that; the bound is taken either way.
+    A source needs a posting where the product of both rests reaches its floor; a posting below the
+    least that any source asks of its term is left out.
     """
-    sources = blocked.filter("source").select("id", "group").join(floors, "id", "left").withColumn(
-        "floor", F.coalesce("floor", F.lit(0.0))
+    # One number per vocabulary term.
+    held = blocked.select(F.explode("idx").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    number = [0] * n_terms
+    for r in held.collect():
+        number[r.term] = r.n
+    counts = F.split(F.lit(",".join(map(str, number))), ",").cast("array<bigint>")
+    entries = _with_rests(blocked.select("id", "source", "idx", "weights"), counts).drop("idx", "weights")
+    least = F.greatest(F.coalesce("floor", F.lit(0.0)) - SLACK, F.lit(0.0))
+    asked = entries.filter("source").join(floors, "id", "left").withColumn("floor", least)
+    asked = materialise(
+        asked.select("id", "floor", F.inline(F.filter("e", lambda e: e["rest"] >= F.col("floor"))))
     )
-    # A group of one block is no more than the home block, which has been met.
-    foreign = F.lit(True) if per_group > 1 else F.col("target") != F.col("group")
-    entries = blocked.select(
-        "id", "group", "source", F.explode(F.arrays_zip("idx", "weights")).alias("e")
-    ).select("id", "group", "source", "e.idx", "e.weights")
-    tops = entries.groupBy(F.col("group").alias("target"), "idx").agg(F.max("weights").alias("top"))
-    bounds = (
-        entries.filter("source").select("id", "idx", "weights")
-        .join(F.broadcast(tops) if n_groups * n_terms * 24 <= BROADCAST_BYTES else tops, "idx")
-        .groupBy("id", "target")
-        .agg(F.sum(F.col("weights") * F.col("top")).alias("bound"))
-    )
-    lifts = F.col("bound") > F.greatest(F.col("floor") - SLACK, F.lit(0.0))
-    return bounds.join(sources, "id").filter(lifts & foreign).select("id", "target", "floor")
+    need = asked.groupBy("term").agg(F.min(F.col("floor") / F.col("rest")).alias("need"))
+    postings = entries.select("id", F.inline("e")).join(F.broadcast(need), "term")
+    return asked, materialise(postings.filter(F.col("rest") >= F.col("need") - SLACK).select("id", "term", "rest"))
+
+
+def _index_cells(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """``(term, sources, targets)``: how many there are of each; one row per vocabulary term."""
+    s, t = (d.groupBy("term").agg(F.count("*").alias(name)) for d, name in ((asked, "sources"), (postings, "targets")))
+    return s.join(t, "term")
+
+
+def _indexed(blocked: DataFrame, asked: DataFrame, postings: DataFrame, cells: DataFrame, k: int, n_terms: int,
+             cell_rows: int) -> DataFrame:
+    """Best targets of every source among the postings of its leading terms.
+
+    A cell is a term, a part of its sources and a part of its postings; vectors join the rows of
+    their cells.
+    """
+    parts = F.broadcast(cells.select(
+        "term", F.ceil(F.col("sources") / cell_rows).cast("int").alias("of_sources"),
+        F.ceil(F.col("targets") / cell_rows).cast("int").alias("of_targets"),
+    ))
+    vectors = blocked.select("id", "idx", "weights")
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """The part of a row by its id; it goes to all parts of the other side."""
+        mine = F.pmod(F.xxhash64("id"), F.col(f"of_{own}")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"of_{other}") - 1))
+        return rows.join(parts, "term").withColumn(own, mine).withColumn(other, every).drop("of_sources", "of_targets").join(vectors, "id")
+
+    left = side(asked, "sources", "targets")
+    right = side(postings, "targets", "sources")
+    schema = _pair_schema(blocked)
+
+    def meet(sources: pa.Table, targets: pa.Table) -> pa.Table:
+        if not sources.num_rows or not targets.num_rows:
+            return pa.table({"id": sources["id"][:0], "rec_id": targets["id"][:0], "score": pa.array([], pa.float64())})
+        targets = by_id(targets)
+        # No pair of the cell can be worth more than with the largest rest of the other side.
+        lift = pc.greater_equal(pc.multiply(sources["rest"], pc.max(targets["rest"])), pc.subtract(sources["floor"], SLACK))
+        sources = sources.filter(lift).combine_chunks()
+        there, found = Rows.of(targets), [_nothing(sources)]
+        for part in slices(sources, BLOCK_ROWS):
+            found.append(best_targets(Rows.of(part.combine_chunks()), there, n_terms, k + 1, part["floor"].to_numpy()))
+        return pa.concat_tables(found)
 
+    key = ["term", "sources", "targets"]
+    return left.groupBy(*key).cogroup(_renewed(right).groupBy(*key)).applyInArrow(meet, schema)
 
-def _foreign(blocked: DataFrame, reach: DataFrame, k: int, n_terms: int) -> DataFrame:
-    """Best targets of the items in the foreign blocks of the groups they reach.
 
-    A task holds one group of blocks and those rows of one other group, or the same, that reach
-    it. Inside, an item again skips the blocks whose largest weights cannot lift it.
+def _foreign(blocked: DataFrame, floors: DataFrame, n_groups: int, k: int, n_terms: int) -> DataFrame:
+    """Best targets of the sources in all blocks but their own.
+
+    Blocks are dealt to groups; a task holds the sources of one group and the rows of another, or
+    the same. A source skips the blocks whose largest weights cannot lift it over its floor.
     """
-    rows = blocked.select("id", "idx", "weights", F.col("group").alias("home"), "block")
-    sources = reach.join(rows, "id").select("home", "target", "id", "idx", "weights", "floor", "block")
-    meetings = sources.select("home", "target").distinct()
-    targets = meetings.join(
-        blocked.select(F.col("group").alias("target"), "id", "idx", "weights", "block"), "target"
-    ).select(F.col("home").alias("with_home"), F.col("target").alias("at"), "id", "idx", "weights", "block")
+    group = F.pmod(F.xxhash64("block"), F.lit(n_groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))
+    rows = blocked.select("id", "idx", "weights", "block", "source")
+    floor = F.greatest(F.coalesce("floor", F.lit(0.0)) - SLACK, F.lit(0.0)).alias("floor")
+    sources = rows.filter("source").join(floors, "id", "left").select(
+        group.alias("home"), every.alias("target"), "id", "idx", "weights", "block", floor
+    )
+    targets = rows.select(every.alias("home"), group.alias("target"), "id", "idx", "weights", "block")
     schema = _pair_schema(blocked)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _nothing(right)
         found = [_nothing(left)]
         for block in pc.unique(right["block"]).to_pylist():
             there = Rows.of(by_id(right.filter(pc.equal(right["block"], block))))
             top = there.top(n_terms)
             for part in slices(left.filter(pc.not_equal(left["block"], block)), BLOCK_ROWS):
                 source, floor = Rows.of(part), part["floor"].to_numpy()
-                lift = np.flatnonzero(source.bound(top) > np.maximum(floor - SLACK, 0.0))
+                lift = np.flatnonzero(source.bound(top) > floor)
                 if len(lift):
                     found.append(best_targets(source.take(lift), there, n_terms, k + 1, floor[lift]))
         return pa.concat_tables(found)
 
-    return (
-        sources.groupBy("home", "target")
-        .cogroup(targets.groupBy("with_home", "at"))
-        .applyInArrow(meet, schema)
-    )
+    key = ["home", "target"]
+    return sources.groupBy(*key).cogroup(_renewed(targets).groupBy(*key)).applyInArrow(meet, schema)
 
 
-def _blocks_per_group(n_blocks: int, cores: int) -> int:
+def _group_count(rows: int, block_rows: int, cores: int) -> int:
     """Large groups copy rows to fewer places; small inputs still need a task per core."""
-    return max(1, min(GROUP_BLOCKS, n_blocks // math.ceil(math.sqrt(4 * cores))))
+    blocks = math.ceil(rows / block_rows)
+    return max(1, math.ceil(blocks / GROUP_BLOCKS), min(blocks, math.ceil(math.sqrt(4 * cores))))
+
+
+def _elsewhere(blocked: DataFrame, floors: DataFrame, rows: int, k: int, n_terms: int, block_rows: int,
+               cell_rows: int, index_share: float) -> DataFrame:
+    """Best targets of the sources beyond their own blocks, the cheaper way."""
+    asked, postings = _index_sides(blocked, floors, n_terms)
+    cells = materialise(_index_cells(asked, postings))
+    pairs = cells.agg(F.sum(F.col("sources").cast("double") * F.col("targets"))).first()[0] or 0.0
+    every = float(blocked.filter("source").count()) * rows
+    log.info("neighbours: the index compares %.0f pairs, %.3f of all", pairs, pairs / max(every, 1.0))
+    if pairs <= index_share * every:
+        return _indexed(blocked, asked, postings, cells, k, n_terms, cell_rows)
+    groups = _group_count(rows, block_rows, blocked.sparkSession.sparkContext.defaultParallelism)
+    return _foreign(blocked, floors, groups, k, n_terms)
 
 
 def _many(vectors: DataFrame, sources: DataFrame | None, model: TfidfModel, k: int,
-          block_rows: int) -> DataFrame:
+          block_rows: int, cell_rows: int = CELL_ROWS, index_share: float = INDEX_SHARE) -> DataFrame:
     n_terms = len(model.terms)
     keyed = materialise(vectors.withColumn("key", _vector_key()))
-    n_blocks = max(1, math.ceil(keyed.count() / block_rows))
     wanted, asked = keyed.select("id", "key"), None
     if sources is not None:
         wanted = wanted.join(sources.select("id"), "id", "left_semi")
         asked = wanted.select("key").distinct()
-    per_group = _blocks_per_group(n_blocks, vectors.sparkSession.sparkContext.defaultParallelism)
-    blocked = materialise(
-        _blocked(keyed, asked, model, k, n_blocks).withColumn("group", F.expr(f"block div {per_group}").cast("int"))
-    )
+    blocked = materialise(_blocked(keyed, asked, model, k, block_rows))
+    rows = blocked.count()
 
     scored = _home(blocked, k, n_terms)
-    if n_blocks > 1:
+    if rows:
         home = materialise(scored)
         floors = home.groupBy("id").agg(
             F.when(F.count("*") > k, F.min("score")).alias("floor")
         ).filter("floor is not null")
-        reach = _reach(blocked, floors, math.ceil(n_blocks / per_group), per_group, n_terms)
-        scored = home.unionByName(_foreign(blocked, reach, k, n_terms))
+        more = _elsewhere(blocked, floors, rows, k, n_terms, block_rows, cell_rows, index_share)
+        # The index meets an item's own block, and may meet a pair under several terms.
+        scored = home.unionByName(more).groupBy("id", "rec_id").agg(F.max("score").alias("score"))
     groups = _lists(scored, k + 1).join(
         blocked.filter("source").select("id", "key", "copied"), "id"
     )
     alone = groups.filter(~F.col("copied")).select("id", "recs")
-    salted = groups.filter("copied").select(
-        "key", "recs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    # A key of more than a HOT_KEYS-th of all ids is dealt out; there are fewer than HOT_KEYS of them.
+    hot = wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * HOT_KEYS > wanted.count())
+    hot = F.broadcast(materialise(hot.select("key", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = groups.filter("copied").join(hot, "key", "left").select(
+        "key", "recs", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     )
-    members = wanted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    members = wanted.join(hot, "key", "left").select("id", "key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
     copies = members.join(salted, ["key", "salt"]).select("id", "recs")
     return alone.unionByName(copies).select("id", _without_self(F.col("recs"), k).alias("recs"))
 
@@ -288,18 +398,20 @@ def _entries(vectors: DataFrame) -> int:
 
 def neighbour_lists(vectors: DataFrame, model: TfidfModel, k: int = 5,
                     sources: DataFrame | None = None, pad: bool = False,
-                    block_rows: int = BLOCK_ROWS, few: int = FEW_ENTRIES) -> DataFrame:
+                    block_rows: int = BLOCK_ROWS, few: int = FEW_ENTRIES,
+                    index_share: float = INDEX_SHARE) -> DataFrame:
     """``(id, recs array<struct<rec_id, score>>)``, one row per source, best first.
 
     ``vectors(id, idx, weights)`` is the catalog; ``sources`` limits whose lists are wanted.
     Without ``pad`` a list holds positive scores only. ``few`` is the number of vector entries
-    up to which sources are sent to every task.
+    up to which sources are sent to every task, ``index_share`` the share of all pairs up to which
+    the index is taken.
     """
     ship(vectors.sparkSession)
     with_terms = vectors.filter(F.size("idx") > 0)
     empty = vectors.filter(F.size("idx") == 0).select("id", _no_recs(vectors).alias("recs"))
     if sources is None:
-        lists = _many(with_terms, None, model, k, block_rows)
+        lists = _many(with_terms, None, model, k, block_rows, index_share=index_share)
     else:
         sources = materialise(sources.select("id").distinct())
         empty = empty.join(sources, "id", "left_semi")
@@ -308,7 +420,7 @@ def neighbour_lists(vectors: DataFrame, model: TfidfModel, k: int = 5,
         if sources.count() <= few and _entries(chosen) <= few:
             lists = _few(with_terms, chosen, k, len(model.terms))
         else:
-            lists = _many(with_terms, sources, model, k, block_rows)
+            lists = _many(with_terms, sources, model, k, block_rows, index_share=index_share)
     lists = lists.unionByName(empty)
     return _padded(lists, vectors, k) if pad else lists
 
@@ -321,16 +433,58 @@ def ranked(lists: DataFrame) -> DataFrame:
     )
 
 
-def recommend_one(item_terms: DataFrame, item_id, k: int = 5, catalog: DataFrame | None = None) -> DataFrame:
+def term_postings(item_terms: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``item_terms(id, term, weight)`` with ``buckets`` and ``bucket``, in the order to be written in.
+
+    Partitioned by these two and sorted by term and id inside, reading some terms opens their
+    buckets' files only and skips the row groups of the other terms there. ``bucket`` is a hash of
+    the term; there are ``buckets`` of them, of about ``POSTINGS`` rows. Rows are dealt by ranges, so
+    a term that very many items hold makes several files.
+    """
+    if buckets is None:
+        buckets = max(8, min(4096, math.ceil(item_terms.count() / POSTINGS)))
+    rows = item_terms.select("id", "term", "weight", F.lit(buckets).alias("buckets"), _bucket(F.lit(buckets)).alias("bucket"))
+    order = ["bucket", "term", "id"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _bucket(buckets: Column) -> Column:
+    return F.pmod(F.xxhash64("term"), buckets).cast("int")
+
+
+def shared_postings(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows of written ``term_postings`` that hold one of the terms (no more than a vocabulary).
+
+    The scan gets buckets and terms as conditions, ten terms to a list: longer lists are only
+    checked against Parquet's statistics by their least and largest value.
+    """
+    one = postings.select("buckets").limit(1).collect()
+    if not terms or not one:
+        return postings.limit(0)
+    names = postings.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    buckets = sorted({r.b for r in names.select(_bucket(F.lit(one[0].buckets)).alias("b")).collect()})
+    lists = [F.col("term").isin(terms[i : i + 10]) for i in range(0, len(terms), 10)]
+    return postings.filter(F.col("bucket").isin(buckets) & reduce(or_, lists))
+
+
+def recommend_one(item_terms: DataFrame, item_id, k: int = 5, catalog: DataFrame | None = None,
+                  postings: DataFrame | None = None) -> DataFrame:
     """``(id, score, rank)``: the ``k`` items most like one item, from ``item_terms(id, term, weight)``.
 
-    With ``catalog(id)`` a short list is filled with zero-score items in id order.
+    With ``postings``, a written ``term_postings``, only the item's own terms are read of it;
+    without, the whole of ``item_terms``. With ``catalog(id)`` a short list is filled with zero-score
+    items in id order.
     """
     source = item_terms.filter(F.col("id") == F.lit(item_id)).select(
         "term", F.col("weight").alias("source_weight")
     )
+    others = item_terms
+    if postings is not None:
+        own = source.collect()  # an item's terms are a part of the vocabulary
+        source = item_terms.sparkSession.createDataFrame(own, "term string, source_weight double")
+        others = shared_postings(postings, [r.term for r in own])
     scored = (
-        item_terms.filter(F.col("id") != F.lit(item_id))
+        others.filter(F.col("id") != F.lit(item_id))
         .join(F.broadcast(source), "term")
         .groupBy("id")
         .agg(F.round(F.sum(F.col("weight") * F.col("source_weight")), DIGITS).alias("score"))

@@ -8,18 +8,27 @@ by segment and only their counts are brought together.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfkin.functions.text import ENGLISH_STOP_WORDS, bigrams, clean_text, words
+from shelfkin.lineage import materialise
+
+log = logging.getLogger(__name__)
 
 MAX_FEATURES = 5000
+# Cells that term uses are summed by before terms are counted one by one; a multiple of 64.
+CELLS = 1 << 18
 MIN_DF = 2
+# Segments of one item that a task links.
+BORDER_ROWS = 4096
 
 
 def with_words(
@@ -45,10 +54,18 @@ def _vocabulary(totals: DataFrame, n_items: DataFrame, max_features: int, min_df
     )
 
 
-def vocabulary(
-    terms: DataFrame, max_features: int = MAX_FEATURES, min_df: int = MIN_DF
-) -> DataFrame:
-    """Vocabulary of one-row items: ``terms(id, terms)``.
+def _cell() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(CELLS)).cast("int")
+
+
+def cell_totals(terms: DataFrame) -> DataFrame:
+    """``(cell, n)``: the uses of all terms that hash to a cell, so no term of it is used more often.
+    Sums of tasks merge by adding up; a task passes on ``CELLS`` rows of two numbers at most."""
+    return terms.select(F.explode("terms").alias("term")).groupBy(_cell().alias("cell")).agg(F.count("*").alias("n"))
+
+
+def term_totals(terms: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
+    """``(term, cf, df)`` of the terms in the marked cells (of all without).
 
     Each row names its terms once with the number of times it uses them, so one shuffle on the
     term, after map-side sums, yields both the corpus count and the document frequency.
@@ -57,12 +74,39 @@ def vocabulary(
     holds = F.transform(
         F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
     )
-    totals = (
-        terms.select(F.explode(F.concat(uses, holds)).alias("u"))
-        .groupBy("u.term")
-        .agg(F.sum("u.n").alias("cf"), F.sum("u.d").alias("df"))
-    )
-    return _vocabulary(totals, terms.select("id"), max_features, min_df)
+    rows = terms.select(F.explode(F.concat(uses, holds)).alias("u")).select("u.*")
+    if cells is not None:
+        words_ = np.packbits(cells, bitorder="little").view(np.int64).tolist()
+        marks = F.split(F.lit(",".join(map(str, words_))), ",").cast("array<bigint>")
+        rows = rows.filter(F.getbit(F.get(marks, F.shiftright(_cell(), 6)), _cell().bitwiseAND(63)) == 1)
+    return rows.groupBy("term").agg(F.sum("n").alias("cf"), F.sum("d").alias("df"))
+
+
+def vocabulary(
+    terms: DataFrame, max_features: int = MAX_FEATURES, min_df: int = MIN_DF, first: int | None = None
+) -> DataFrame:
+    """Vocabulary of one-row items: ``terms(id, terms)``, which is read twice or three times.
+
+    A first pass adds up uses by cells of hashes. Only terms of the ``first`` heaviest cells (four
+    times ``max_features``) are counted exactly, so most terms of a large corpus, above all its
+    bigrams, are never shuffled. If some other cell weighs as much as the last term taken, all
+    cells of that weight are counted in one more pass; then no term outside can belong.
+    """
+    sums = cell_totals(terms).toArrow()
+    weight = np.zeros(CELLS, np.int64)
+    weight[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    heavy = np.sort(weight)[::-1]
+    least = max(1, int(heavy[min(first or 4 * max_features, CELLS) - 1]))
+    n_items = terms.select("id")
+    while True:
+        best = materialise(_vocabulary(term_totals(terms, weight >= least), n_items, max_features, min_df))
+        taken = best.agg(F.count("*").alias("n"), F.min("cf").alias("cf")).first()
+        enough = taken.cf if taken.n == max_features else 1
+        others = int(weight[weight < least].max(initial=0))
+        log.info("vocabulary: %.4f of all uses counted exactly", weight[weight >= least].sum() / max(1, weight.sum()))
+        if others < enough:
+            return best
+        least = enough
 
 
 @dataclass
@@ -119,9 +163,20 @@ class TfidfModel:
 def fit(items: DataFrame, text: str = "text", max_features: int = MAX_FEATURES,
         min_df: int = MIN_DF, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> TfidfModel:
     """Learn the vocabulary of ``items(id, text)``."""
-    return TfidfModel.of(
-        vocabulary(with_terms(with_words(items.select("id", text), text, stop_words)), max_features, min_df)
-    )
+    return fit_words(materialise(with_words(items.select("id", text), text, stop_words)), max_features, min_df)
+
+
+def fit_words(tokenised: DataFrame, max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> TfidfModel:
+    """Learn the vocabulary of ``tokenised(id, words)``."""
+    return TfidfModel.of(vocabulary(with_terms(tokenised), max_features, min_df))
+
+
+def fit_vectors(items: DataFrame, text: str = "text", max_features: int = MAX_FEATURES, min_df: int = MIN_DF,
+                stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> tuple[TfidfModel, DataFrame]:
+    """The model of ``items(id, text)`` and their vectors; texts are cut into words once."""
+    tokenised = materialise(with_words(items.select("id", text), text, stop_words))
+    model = fit_words(tokenised, max_features, min_df)
+    return model, model.vectors(with_terms(tokenised))
 
 
 def item_vectors(items: DataFrame, model: TfidfModel, text: str = "text",
@@ -130,6 +185,29 @@ def item_vectors(items: DataFrame, model: TfidfModel, text: str = "text",
     return model.vectors(with_terms(with_words(items.select("id", text), text, stop_words)))
 
 
+def _links(ends: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``(id, term)``: the last word of each row before the first one of the next, rows of equal
+    ``by`` in ``order``."""
+    last = F.lag("last").over(Window.partitionBy(*by).orderBy(order))
+    linked = ends.select("id", F.concat_ws(" ", last, "first").alias("term"), last.isNotNull().alias("crosses"))
+    return linked.filter("crosses").select("id", "term")
+
+
+def border_bigrams(tokenised: DataFrame, bucket_rows: int = BORDER_ROWS) -> DataFrame:
+    """``(id, term)``: the bigrams across the borders of ``tokenised(id, seq, words)``, none of them
+    empty.
+
+    Segments are linked inside buckets of ``seq``, then the buckets by their own first and last
+    words: a product with very many segments is as many tasks, and its buckets are a small table.
+    """
+    ends = tokenised.select(
+        "id", "seq", F.expr(f"seq div {bucket_rows}").alias("bucket"),
+        F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"),
+    )
+    edges = ends.groupBy("id", "bucket").agg(F.min_by("first", "seq").alias("first"), F.max_by("last", "seq").alias("last"))
+    return _links(ends, ["id", "bucket"], "seq").unionByName(_links(edges, ["id"], "bucket"))
+
+
 def segment_term_counts(segments: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """``(id, term, n)`` over ``segments(id, seq, text)`` read in ``seq`` order.
 
@@ -139,13 +217,7 @@ def segment_term_counts(segments: DataFrame, stop_words: Sequence[str] = ENGLISH
     """
     tokenised = with_words(segments, "text", stop_words).filter(F.size("words") > 0)
     inside = with_terms(tokenised).select("id", F.explode("terms").alias("term"))
-    order = Window.partitionBy("id").orderBy("seq")
-    borders = tokenised.select(
-        "id", "seq", F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last")
-    ).select("id", F.concat_ws(" ", F.lag("last").over(order), "first").alias("term"),
-             F.lag("last").over(order).isNotNull().alias("crosses"))
-    across = borders.filter("crosses").select("id", "term")
-    return inside.unionByName(across).groupBy("id", "term").agg(F.count("*").alias("n"))
+    return inside.unionByName(border_bigrams(tokenised)).groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
 def segment_vocabulary(counts: DataFrame, ids: DataFrame, max_features: int = MAX_FEATURES,

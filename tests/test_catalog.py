@@ -51,6 +51,17 @@ def test_order_of_files_and_rows(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_text_is_not_shuffled_for_its_number(spark, review_csv):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = readers.scan_reviews(spark, review_csv)
+        text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+        assert df.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_file_with_other_columns_is_refused(spark, tmp_path):
     for name, head in (("a", HEAD), ("b", HEAD[::-1])):
         with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
@@ -76,8 +87,11 @@ def test_review_text_is_whole_and_in_order_for_a_very_large_product(spark):
     """One product holds a third of all rows."""
     rows = [("hot" if i % 3 == 0 else f"p{i % 50}", i, None if i % 7 == 0 else f"Text {i}!") for i in range(3000)]
     reviews = spark.createDataFrame(rows, "id string, ord bigint, review_text string")
-    parts = catalog.review_parts(reviews, part_rows=100)
+    parts = catalog.review_parts(reviews, part_rows=100, chunk_rows=170)
     assert parts.groupBy("id", "part").count().filter("count > 1").count() == 0
+    per = {r.id: r.n for r in reviews.groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert {r.id: r["count"] for r in parts.groupBy("id").count().collect()} == {i: -(-n // 100) for i, n in per.items()}
+    assert all(r.part < -(-per[r.id] // 100) for r in parts.collect())
     got = {}
     for r in parts.orderBy("id", "part").collect():
         got.setdefault(r.id, []).append(r.text)
@@ -112,6 +126,34 @@ def test_sales_layout(spark, tmp_path):
     assert tables["products"].count() == 1
 
 
+def small_set(spark, n):
+    products = spark.range(n).select("id", *[F.lit("1").alias(c) for c in catalog.CATALOG_COLUMNS[1:]])
+    terms = spark.createDataFrame([(i, f"t{i % 3}", 0.5) for i in range(n)], "id bigint, term string, weight double")
+    other = spark.range(n).withColumn("x", F.lit(1))
+    return [products, other, other, other, terms]
+
+
+def test_a_write_that_stops_leaves_readers_on_the_set_before(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "set")
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_artifacts(spark, folder)
+    assert artifacts.write_artifacts(folder, *small_set(spark, 5)) == 1
+    held = artifacts.load_artifacts(spark, folder)
+    products, parts, vocabulary, vectors, terms = small_set(spark, 9)
+    broken = vocabulary.withColumn("x", F.raise_error(F.lit("stopped")))
+    with pytest.raises(Exception, match="stopped"):  # after three of the tables
+        artifacts.write_artifacts(folder, products, parts, broken, vectors, terms)
+    again = artifacts.load_artifacts(spark, folder)
+    assert {n: t.count() for n, t in again.items()} == dict.fromkeys(artifacts.TABLES, 5)
+    assert artifacts.write_artifacts(folder, *small_set(spark, 7)) == 2
+    assert {n: t.count() for n, t in artifacts.load_artifacts(spark, folder).items()} == dict.fromkeys(artifacts.TABLES, 7)
+    assert held["products"].count() == 5  # one older version stays for those who still read it
+    assert artifacts.write_artifacts(folder, *small_set(spark, 8)) == 3
+    with pytest.raises(Exception, match="exist|FILE_NOT"):
+        held["products"].count()
+    assert artifacts.load_artifacts(spark, folder)["products"].count() == 8
+
+
 def test_process_writes_tables_that_load_back(spark, review_csv, tmp_path):
     tables = process_reviews(spark, review_csv, str(tmp_path / "out"))
     assert set(tables) == set(artifacts.TABLES)
@@ -143,6 +185,22 @@ def test_embedding_refresh_reuses_unchanged_text(spark):
     assert got == {1: ([1.0], True), 2: ([0.0], False), 3: ([0.0], False)}
 
 
+def test_stored_vectors_are_not_shuffled_by_a_refresh(spark, tmp_path):
+    rows = [(i, f"text {i}", [float(i)]) for i in range(200)]
+    stored = artifacts.with_text_hash(spark.createDataFrame(rows, "id bigint, text string, embedding array<float>"))
+    table = artifacts.store_embeddings(stored, "stored_vectors_test", str(tmp_path / "stored"), 4)
+    corpus = spark.createDataFrame([(i, f"text {i if i % 3 else -i}") for i in range(100, 300)], "id bigint, text string")
+    matched = artifacts.matched_embeddings(corpus, table)
+    text = matched._sc._jvm.PythonSQLUtils.explainString(matched._jdf.queryExecution(), "simple")
+    assert text.count("Exchange") == 1 and "Bucketed: true" in text
+    after = text.split("Exchange")[1]
+    assert "stored_vectors_test" not in after.split("FileScan")[0]
+    got = {r.id: r for r in artifacts.embedding_refresh(corpus, table, lambda t: t.select("id", F.array(F.lit(-1.0).cast("float")).alias("embedding"))).collect()}
+    assert set(got) == set(range(100, 300))
+    assert all(r.reused == (i % 3 > 0 and i < 200) and r.embedding == [float(i) if r.reused else -1.0] for i, r in got.items())
+    spark.sql("drop table stored_vectors_test")
+
+
 def test_figures(spark):
     df = spark.createDataFrame(
         [(1, "x", 0.0, 3, 1.0), (2, "x", 1.0, 9, 4.0), (3, "y", 1.5, 9, None), (4, None, 5.0, 1, 2.0)],

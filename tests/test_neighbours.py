@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,24 +41,59 @@ def numbers(spark):
     return vectors.persist(), model, ids, plain
 
 
-@pytest.mark.parametrize("block_rows", [16, 64, 4096])
+@pytest.mark.parametrize("index_share", [0, 1e9])
+@pytest.mark.parametrize("block_rows", [16, 4096])
 @pytest.mark.parametrize("k", [1, 5])
-def test_all_items_equal_brute_force(numbers, block_rows, k):
+def test_all_items_equal_brute_force(numbers, block_rows, k, index_share):
+    """By groups of blocks and by the index."""
     vectors, model, ids, plain = numbers
-    assert lists(nb.neighbour_lists(vectors, model, k, block_rows=block_rows)) == top(ids, plain, k)
+    got = lists(nb.neighbour_lists(vectors, model, k, block_rows=block_rows, index_share=index_share))
+    assert got == top(ids, plain, k)
 
 
-@pytest.mark.parametrize("sent", [0, 64 << 20])
-@pytest.mark.parametrize("per_group", [1, 3, 50])
-def test_groups_of_blocks(numbers, monkeypatch, sent, per_group):
+@pytest.mark.parametrize("cell_rows", [3, 50])
+def test_hot_terms_are_dealt_to_cells(numbers, cell_rows):
     vectors, model, ids, plain = numbers
-    monkeypatch.setattr(nb, "BROADCAST_BYTES", sent)
-    monkeypatch.setattr(nb, "_blocks_per_group", lambda n, cores: per_group)
-    assert lists(nb.neighbour_lists(vectors, model, 5, block_rows=16)) == top(ids, plain, 5)
+    with_terms = vectors.filter(F.size("idx") > 0)
+    got = lists(nb._many(with_terms, None, model, 5, 16, cell_rows, 1e9))
+    assert got == {i: v for i, v in top(ids, plain, 5).items() if plain[i]}
 
 
-def test_group_size():
-    assert [nb._blocks_per_group(n, 8) for n in (1, 5, 11, 12, 100, 10**6)] == [1, 1, 1, 2, 16, 64]
+@pytest.mark.parametrize("groups", [1, 3, 50])
+def test_groups_of_blocks(numbers, monkeypatch, groups):
+    vectors, model, ids, plain = numbers
+    monkeypatch.setattr(nb, "_group_count", lambda rows, block_rows, cores: groups)
+    monkeypatch.setattr(nb, "HOT_KEYS", 10**6)
+    monkeypatch.setattr(nb, "SALT_ROWS", 7)
+    assert lists(nb.neighbour_lists(vectors, model, 5, block_rows=16, index_share=0)) == top(ids, plain, 5)
+
+
+def test_group_count():
+    assert [nb._group_count(n, 1024, 8) for n in (1, 5000, 11_000, 10**6, 10**8)] == [1, 5, 6, 16, 1526]
+
+
+def test_index_sides_hold_all_that_can_reach_a_floor(numbers):
+    """A source term that is left out, or a posting, can belong to no pair above the floor."""
+    vectors, model, _, _ = numbers
+    blocked = nb.materialise(nb._blocked(vectors.filter(F.size("idx") > 0).withColumn("key", nb._vector_key()), None, model, 3, 16))
+    floors = blocked.filter("source").select("id", F.lit(0.4).alias("floor"))
+    asked, postings = nb._index_sides(blocked, floors, len(model.terms))
+    looked = {(r.id, r.term) for r in asked.collect()}
+    posted = {(r.id, r.term) for r in postings.collect()}
+    rows = {r.id: (dict(zip(r.idx, r.weights)), r.source) for r in blocked.collect()}
+    assert len(looked) < sum(len(v) for v, source in rows.values() if source)
+    for x, (a, source) in rows.items():
+        for y, (b, _) in rows.items():
+            if source and sum(w * b.get(t, 0.0) for t, w in a.items()) >= 0.4:
+                assert any((x, t) in looked and (y, t) in posted for t in a if t in b)
+
+
+def test_tasks_do_not_grow_with_the_blocks(numbers, spark):
+    vectors, model, _, _ = numbers
+    blocked = nb._blocked(vectors.withColumn("key", nb._vector_key()), None, model, 5, 2)
+    assert blocked.rdd.getNumPartitions() <= nb.task_count(spark)
+    sizes = [r["count"] for r in blocked.groupBy("block").count().collect()]
+    assert max(sizes) <= 2 and len(sizes) > 10 * nb.task_count(spark)
 
 
 @pytest.mark.parametrize("few", [0, 100_000])
@@ -93,6 +129,25 @@ def test_one_item(numbers):
     assert nb.recommend_one(terms, -1, 5, catalog=vectors).count() == 0
 
 
+def test_one_item_reads_its_own_postings(numbers, spark, tmp_path):
+    vectors, model, ids, plain = numbers
+    terms = model.item_terms(vectors)
+    path = str(tmp_path / "postings")
+    nb.term_postings(terms, 64).write.partitionBy("buckets", "bucket").parquet(path)
+    postings = spark.read.parquet(path)
+    for item in (0, 2, 1, 200, -1):
+        one = nb.recommend_one(terms, item, 5, postings=postings)
+        assert [(r.id, r.score) for r in one.orderBy("rank").collect()] == (top(ids, plain, 5)[item] if item >= 0 else [])
+    found = nb.shared_postings(postings, ["w1", "w2"])
+    text = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [" in text and "bucket" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "In(term, [w1,w2])" in text.split("PushedFilters")[1]
+    asked = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert 1 <= len(set(re.findall(r"\b\d+\b", asked.split("bucket#")[-1].split("IN")[-1]))) <= 2 < len(postings.inputFiles())
+    spread = spark.read.parquet(path).groupBy("term").agg(F.count_distinct("bucket").alias("n")).filter("n > 1")
+    assert spread.count() == 0
+
+
 def test_ranked_rows(numbers):
     vectors, model, _, _ = numbers
     rows = nb.ranked(nb.neighbour_lists(vectors, model, 5))

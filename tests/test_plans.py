@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,11 +25,17 @@ def test_weights_need_no_shuffle(spark, data_dir, ready):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
 
 
-def test_vocabulary_sums_before_its_one_shuffle(spark, data_dir):
+def test_vocabulary_sums_before_its_shuffles(spark, data_dir):
     docs = adapters.table(spark, data_dir, "documents").withColumnRenamed("doc_id", "id")
-    text = plan(tfidf.vocabulary(tfidf.with_terms(tfidf.with_words(docs.select("id", "text")))))
-    main = re.sub(r"Subquery subquery.*?FileScan[^\n]*", "", text, flags=re.S)
-    assert main.count("Exchange hashpartitioning") == 1 and "partial_sum" in main and "TakeOrderedAndProject" in main
+    terms = tfidf.with_terms(tfidf.with_words(docs.select("id", "text")))
+    cells = np.zeros(tfidf.CELLS, bool)
+    cells[::7] = True
+    text = plan(tfidf.term_totals(terms, cells))
+    assert text.count("Exchange hashpartitioning(term") == 1 and "partial_sum" in text and "Python" not in text
+    # The condition on cells stands below the sums that are shuffled.
+    assert text.rindex("partial_sum") < text.index("getbit")
+    text = plan(tfidf.cell_totals(terms))
+    assert text.count("Exchange") == 1 and "partial_count" in text and "Python" not in text
 
 
 def test_one_item_is_a_broadcast_join_and_a_top_k(ready):
@@ -79,3 +86,15 @@ def test_explanations_have_no_python_and_no_cross_join(ready):
         assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
         assert "Generate explode(met" not in text and "Generate explode(held" not in text
     assert "Exchange" not in plan(explain.top_features(ready.vectors, ready.model))
+
+
+def test_the_index_joins_no_term_with_a_group(ready):
+    """Postings meet the table of their terms by broadcast and their vectors by id: nothing else."""
+    vectors = ready.vectors.withColumn("key", neighbours._vector_key())
+    blocked = neighbours.materialise(neighbours._blocked(vectors, None, ready.model, 5, 64))
+    floors = blocked.filter("source").select("id", F.lit(0.5).alias("floor"))
+    asked, postings = neighbours._index_sides(blocked, floors, len(ready.model.terms))
+    cells = neighbours.materialise(neighbours._index_cells(asked, postings))
+    text = plan(neighbours._indexed(blocked, asked, postings, cells, 5, len(ready.model.terms), 64))
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
+    assert text.count("FlatMapCoGroupsInArrow") == 1

@@ -12,7 +12,7 @@ from checks.queries import ORACLE, QUERIES
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-NO_SQL = {"lime_pairs", "lime_term_weights"}
+NO_SQL = {"lime_pairs"}
 
 
 @pytest.fixture(scope="module")

@@ -33,6 +33,49 @@ def test_topk_equals_brute_force(spark, few, monkeypatch):
     assert {(r.query_id, r.id, r.relevance_score, r["rank"]) for r in got.collect()} == brute(q, c, 4)
 
 
+@pytest.mark.parametrize("pivots", [1, 7, 64])
+@pytest.mark.parametrize("spread", [0.02, 3.0])
+def test_cells_equal_brute_force(spark, pivots, spread, monkeypatch):
+    """Tight clusters, where most cells are ruled out, and none at all; a third of the corpus is one
+    vector, some vectors have no direction, and some have no neighbour."""
+    for name, value in (("QUERY_CELL", 20), ("CORPUS_CELL", 25), ("CELL_ROWS", 4), ("SLICE_ROWS", 16)):
+        monkeypatch.setattr(retrieve, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    points = centres[rng.integers(0, 6, 200)] + spread * rng.normal(size=(200, 8))
+    points[:60] = points[0]
+    points[60:64] = 0.0
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    corpus = spark.createDataFrame([*rows, (999, None)], "id bigint, embedding array<double>")
+    queries = spark.createDataFrame([*rows[::3], (-1, [-x for x in rows[100][1]]), (999, None)], "query_id bigint, embedding array<double>")
+    got = retrieve.semantic_topk(queries, corpus, 4, few=0, most_pivots=pivots).collect()
+    want = {}
+    unit = retrieve._unit_rows(retrieve.pa.chunked_array([retrieve.pa.array([r[1] for r in rows])]))
+    for q, v in [*rows[::3], (-1, [-x for x in rows[100][1]])]:
+        u = np.array(v) / (np.linalg.norm(v) or 1.0)
+        scored = sorted((-round(float(s), 6) + 0.0, i) for i, s in enumerate(unit @ u))[:4]
+        want[q] = [(i, -s + 0.0) for s, i in scored]
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((r.id, r.relevance_score + 0.0))
+    assert found == want
+
+
+def test_cells_that_cannot_hold_a_hit_are_not_met(spark, monkeypatch):
+    for name, value in (("CORPUS_CELL", 50), ("CELL_ROWS", 10)):
+        monkeypatch.setattr(retrieve, name, value)
+    rng = np.random.default_rng(9)
+    points = np.repeat(np.eye(16), 30, axis=0) + 0.01 * rng.normal(size=(480, 16))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    corpus = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    cells, held = retrieve._cells(corpus, 48)
+    bounds, chosen = cells.bounds(points / np.linalg.norm(points, axis=1)[:, None]), cells.first(points, 5)
+    assert chosen.sum(axis=1).min() >= 1 and held.count() == 480
+    assert ((bounds > 0.99) & ~chosen).mean() < 0.2
+    plan = retrieve.semantic_topk(corpus.withColumnRenamed("id", "query_id"), corpus, few=0)._jdf.queryExecution().toString()
+    assert "sequence(" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_search_over_many_slices(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "SLICE_ROWS", 16)
     monkeypatch.setattr(retrieve, "MERGE_AFTER", 2)

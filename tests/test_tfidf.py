@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,41 @@ def test_no_vocabulary(spark):
     model = tfidf.fit(df)
     assert model.terms == []
     assert tfidf.item_vectors(df, model).filter(F.size("idx") > 0).count() == 0
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 3, 7, 4096])
+def test_borders_of_an_item_with_half_of_all_segments(spark, bucket_rows):
+    """Words missing here and there, gaps in the numbers, and one item much larger than all others."""
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.5 else f"i{s % 20}", s, [rng.choice("abcdef") * 2 for _ in range(rng.randint(1, 3))]) for s in range(0, 900, 3)]
+    tokenised = spark.createDataFrame(rows, "id string, seq bigint, words array<string>").repartition(5)
+    want, last = Counter(), {}
+    for i, _, w in rows:
+        if i in last:
+            want[i, f"{last[i]} {w[0]}"] += 1
+        last[i] = w[-1]
+    found = tfidf.border_bigrams(tokenised, bucket_rows)
+    assert Counter((r.id, r.term) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("first", [1, 5, 40, 10_000])
+@pytest.mark.parametrize("max_features", [3, 20, 500])
+def test_cells_leave_the_vocabulary_as_it_is(spark, monkeypatch, first, max_features):
+    """Few cells, so light terms hide heavy ones, and first guesses that are too narrow; ties in the
+    counts at the border."""
+    monkeypatch.setattr(tfidf, "CELLS", 64)
+    rng = random.Random(8)
+    texts = [(i, [f"t{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(rng.randint(0, 40))]) for i in range(150)]
+    terms = spark.createDataFrame(texts, "id bigint, terms array<string>")
+    cf = Counter(t for _, w in texts for t in w)
+    df = Counter(t for _, w in texts for t in set(w))
+    want = sorted((t for t in cf if df[t] >= 2), key=lambda t: (-cf[t], t))[:max_features]
+    got = {r.term: (r.cf, r.df) for r in tfidf.vocabulary(terms, max_features, first=first).collect()}
+    assert got == {t: (cf[t], df[t]) for t in want}
+
+
+def test_empty_vocabulary(spark):
+    none = spark.createDataFrame([], "id bigint, terms array<string>")
+    assert tfidf.vocabulary(none).count() == 0
+    alone = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "id bigint, terms array<string>")
+    assert tfidf.vocabulary(alone).count() == 0
