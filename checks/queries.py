@@ -518,11 +518,13 @@ def lime_residuals(spark, sf):
     round(coalesce(t.weight, 0), 6) target_weight from (
       select source_id, target_id, unnest(list_distinct(string_split({clean('text')}, ' '))) feature
       from pairs join items on items.id = target_id where {clean('text')} <> '') p
-    left join weights s on s.id = source_id and s.term = feature left join weights t on t.id = target_id and t.term = feature""")
+    left join weights s on s.id = source_id and s.term = feature left join weights t on t.id = target_id and t.term = feature
+    where s.weight is not null or t.weight is not null""")
 def lime_term_weights(spark, sf):
-    """All words of every pair's target with the weights attached to them."""
+    """All words of every pair's target with the weights attached to them, less the words that are
+    terms of neither side."""
     every = lime.lime_pairs(*_lime_inputs(spark, sf), n_features=None)
-    out = lime.lime_term_weights(every, a.prepared_text(spark, sf).item_terms)
+    out = lime.lime_term_weights(every, a.prepared_text(spark, sf).item_terms).filter("source_weight > 0 or target_weight > 0")
     return out.select("source_id", "target_id", "feature", r6("source_weight"), r6("target_weight"))
 
 
