@@ -11,9 +11,10 @@ The walk drifts apart as edits add up, so items of ``2 * PIECE`` words or more a
 pieces of ``PIECE`` words and somewhat more, each looked up by itself. One of them has no more
 than its share of the edits, wherever these are, so long items are found as surely as short ones.
 
-The sent tables are two bitmaps of a set size (``bits``), the window sizes and the bounds of item
-lengths (powers of two), whatever the number of items. Windows get one of few sizes (steps of a
-quarter); a piece is looked up by its leading words of that number.
+The sent tables are two bitmaps that grow with the benchmark (``bitmap_bits``: at most 128 MB, a
+chance hit has one in 32 up to 33 million entries), the window sizes and the bounds of item lengths
+(powers of two). Windows get one of few sizes (steps of a quarter); a piece is looked up by its
+leading words of that number.
 
 Defined results: null or empty texts match nothing, and so do items of fewer than three words.
 Repeated rows of either side give one result per pair of ids; null ids are ids like others.
@@ -33,7 +34,9 @@ from shelfkin.lineage import materialise
 from shelfkin.llm.arrow import ALNUM, flat, mix, slices, window_hashes, word_hashes, words
 from shelfkin.shipping import ship
 
-SHARE, RECALL, BITS = 0.2, 0.95, 22
+SHARE, RECALL = 0.2, 0.95
+#: Bits of a bitmap per entry, so a chance hit has one in 32; least and most bits as powers of two.
+BITS_PER_ENTRY, LEAST_BITS, MOST_BITS = 32, 22, 30
 PLACES = 4  # sampled places of the walk in one key
 AGREE = 0.6  # assumed share of equal places at the largest distance of an item that is not cut
 PIECE = 12  # least words of a piece
@@ -214,14 +217,15 @@ def _window_rows(sizes: dict[int, list[int]], triple_map: np.ndarray, key_map: n
                 for c in range(0, len(left), 1_000):
                     some = range(c, min(c + 1_000, len(left)))
                     per = [slice(edge[i], edge[i + 1]) for i in some]
+                    of = pa.array(a + row[left[some]])
                     yield pa.RecordBatch.from_arrays([
-                        batch.column("doc_id").take(pa.array(a + row[left[some]])),
+                        batch.column("doc_id").take(of), batch.column("text_hash").take(of),
                         pa.array(left[some] - lo[left[some]], pa.int64()),
                         pa.array([data[start[left[i]] : end[right[i] - 1]].tobytes().decode("utf-8") for i in some], pa.string()),
                         pa.array([key[x].view(np.int64) for x in per], pa.list_(pa.int64())),
                         pa.array([at[x] - left[i] for i, x in zip(some, per, strict=True)], pa.list_(pa.int64())),
                         pa.array([last[x] - left[i] for i, x in zip(some, per, strict=True)], pa.list_(pa.int64())),
-                    ], names=["doc_id", "first_word", "passage", "keys", "from", "to"])
+                    ], names=["doc_id", "text_hash", "first_word", "passage", "keys", "from", "to"])
 
     return run
 
@@ -300,22 +304,25 @@ def _best_runs(share: float):
     return F.arrow_udf(run, "struct<distance: long, at: long>").asNondeterministic()
 
 
+def bitmap_bits(entries: int) -> int:
+    """How many leading bits of a hash number the bits of a bitmap of so many entries."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_PER_ENTRY * entries - 1).bit_length()))
+
+
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of the hashes' leading bits: at most ``2^bits / 32`` rows come to the driver."""
     place = F.shiftrightunsigned("h", 64 - bits)
     word = hashes.groupBy(F.shiftright(place, 5).alias("w")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 31 as int))")).alias("v")
     )
+    rows = word.toArrow()
     out = np.zeros(1 << bits - 5, np.uint32)
-    for w, v in word.collect():
-        out[w] = v
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL, bits: int = BITS) -> DataFrame:
-    """``(doc_id, item_id, distance, n_words, first_word)``: for every document and benchmark
-    item found in it the least edit distance in words, the item's words and where a passage of
-    that distance starts."""
+def _found(docs: DataFrame, benchmark: DataFrame, share: float, recall: float, bits: int | None) -> DataFrame:
+    """``(doc_id, text_hash, item_id, n_words, distance, first_word)`` of every verified passage."""
     spark = docs.sparkSession
     ship(spark)
     times = repeats(recall)
@@ -325,15 +332,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: f
         f"item_id {kind[0]}, item_text string, n_words long, words long, sizes array<long>, keys array<long>,"
         " places array<long>, triples array<long>",
     ).withColumn("item", F.xxhash64("item_id", "item_text")).dropDuplicates(["item"]))
+    entries = items.agg(F.sum(F.size("triples")).alias("triples"), F.sum(F.size("keys")).alias("keys")).first()
+    bits = bits or bitmap_bits(max(entries.triples or 0, entries.keys or 0))
     triple_map = _bitmap(items.select(F.explode("triples").alias("h")), bits)
     key_map = _bitmap(items.select(F.explode("keys").alias("h")), bits)
     sizes: dict[int, list[int]] = {}
     for size, words_ in sorted(items.select(F.explode("sizes"), "words").distinct().collect()):
         sizes.setdefault(size, []).append(words_)
-    passages = materialise(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("text"))
+    passages = materialise(texts.mapInArrow(
         _window_rows(sizes, triple_map, key_map, share, times, bits),
-        f"doc_id {kind[1]}, first_word long, passage string, keys array<long>, `from` array<long>, `to` array<long>",
-    ).withColumn("id", F.xxhash64("doc_id", "first_word", "passage")))
+        f"doc_id {kind[1]}, text_hash long, first_word long, passage string, keys array<long>, `from` array<long>, `to` array<long>",
+    ).withColumn("id", F.xxhash64("doc_id", "text_hash", "first_word")))
     by_key = items.select("item", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
     met = (
         passages.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), "from", "to")))
@@ -341,13 +351,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: f
         .groupBy("id", "item")
         .agg(F.min(F.col("from") - F.col("place")).alias("lo"), F.max(F.col("to") - F.col("place")).alias("hi"))
     )
-    near = (
-        met.join(passages.select("id", "doc_id", F.col("first_word").alias("start"), "passage"), "id")
+    return (
+        met.join(passages.select("id", "doc_id", "text_hash", F.col("first_word").alias("start"), "passage"), "id")
         .join(items.select("item", "item_id", "item_text", "n_words"), "item")
         .withColumn("run", _best_runs(share)("passage", "item_text", "lo", "hi"))
-        .select("doc_id", "item_id", "n_words", "run.distance", (F.col("start") + F.col("run.at")).alias("first_word"))
+        .select("doc_id", "text_hash", "item_id", "n_words", "run.distance", (F.col("start") + F.col("run.at")).alias("first_word"))
         .filter(F.col("distance") <= F.floor(F.col("n_words") * share + 1e-9))
     )
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL, bits: int | None = None) -> DataFrame:
+    """``(doc_id, item_id, distance, n_words, first_word)``: for every document and benchmark
+    item found in it the least edit distance in words, the item's words and where a passage of
+    that distance starts."""
+    near = _found(docs, benchmark, share, recall, bits)
     best = F.min_by(F.struct("distance", "n_words", "first_word"), F.struct("distance", "first_word")).alias("best")
     return near.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.distance", "best.n_words", "best.first_word"
@@ -355,6 +372,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: f
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    found = leaks(docs, benchmark, share).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(found, F.col("__leaked").eqNullSafe(F.col("doc_id")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item. Rows that share an id (or a null id) are
+    told apart by their texts."""
+    found = _found(docs, benchmark, share, RECALL, None)
+    found = found.select(F.col("doc_id").alias("__leaked"), F.col("text_hash").alias("__text")).distinct()
+    same = F.col("__leaked").eqNullSafe(docs["doc_id"]) & (F.col("__text") == F.xxhash64(docs["text"]))
+    return docs.join(found, same, "left_anti")

@@ -270,16 +270,16 @@ def _candidates(cold: DataFrame, share: int) -> DataFrame:
     return shared.filter("shared >= least").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, share: int = SHARE, size: int = WORDS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row of ``docs``, by shingles of ``size`` words
-    of which ``share`` percent are common."""
+def _grouped(docs: DataFrame, share: int, size: int) -> DataFrame:
+    """``(doc_id, text_hash, n, root, component_id)`` of every row of ``docs``: the size of its set,
+    and the name and smallest id of its component (null for an empty set)."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = materialise(texts.mapInArrow(
         _classes_and_counts(size), f"doc_id {kind}, text_hash long, n long, class long, block int, counts binary"))
-    each = rows.filter("block is null").select("doc_id", "n", "class")
+    each = rows.filter("block is null").select("doc_id", "text_hash", "n", "class")
     counts = sketch(rows.filter("block is not null"))
     # The smallest id names the class; its text is that of the row with the largest.
     row = F.max(F.struct("doc_id", "text_hash")).alias("row")
@@ -300,15 +300,42 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, size: int = WORDS) -> D
     root = components(edges).withColumnRenamed("node", "class")
     named = reps.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    member = named.join(smallest, "root").select("class", "component_id")
-    return each.join(member, "class", "left").select(
+    member = named.join(smallest, "root").select("class", "root", "component_id")
+    return each.join(member, "class", "left").drop("class")
+
+
+def near_duplicates(docs: DataFrame, share: int = SHARE, size: int = WORDS) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row of ``docs``, by shingles of ``size`` words
+    of which ``share`` percent are common."""
+    return _grouped(docs, share, size).select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame, share: int = SHARE, size: int = WORDS) -> DataFrame:
-    """One row of every group: that with the group's smallest id. Rows without words stay."""
-    group = near_duplicates(docs, share, size).filter("n_shingles > 0 and doc_id != component_id")
-    gone = group.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of every group: that with the group's smallest id, a null one last. Rows without
+    words stay.
+
+    Rows are told apart by id and text, so rows that share an id or have none are judged each by
+    its own text. Of rows that agree on both, one stays; which, where other columns differ, is open.
+    """
+    rows = _grouped(docs, share, size).filter("n > 0").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    rows = materialise(rows)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = first.select("root", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_text"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_text"))
+    marks = rows.join(first, "root").filter(~is_first | (F.col("copies") > 1)).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), is_first.alias("__first")
+    )
+    marks = materialise(marks)
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text"))
+    kept = docs.join(marks.filter("not __first"), same, "left_anti")
+    again = marks.filter("__first")
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(kept["text"]) == F.col("__text"))
+    marked = kept.join(again, same, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = marked.filter("__first is null").select(*columns)
+    return alone.unionByName(marked.filter("__first").dropDuplicates(["__id", "__text"]).select(*columns))

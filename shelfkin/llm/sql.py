@@ -6,13 +6,15 @@ LINE_DEDUP = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+), cut AS (
+  SELECT doc_id, pos, line, list_filter(regexp_split_to_array(line, '[\t-\r ]+'), lambda w: w <> '') AS bare FROM lines
 ), words AS (
   SELECT doc_id, pos, line,
-    list_filter(regexp_split_to_array(regexp_replace(line, '[^\t-\r ]*[0-9][^\t-\r ]*', '<*>', 'g'), '[\t-\r ]+'),
-                lambda w: w <> '') AS w
-  FROM lines
+    CASE WHEN len(bare) < 5 THEN bare
+    ELSE list_transform(bare, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) END AS w
+  FROM cut
 ), branches AS (
-  SELECT doc_id, pos, w, len(w) AS n, unnest(range(-1, 8)) AS k FROM words WHERE len(w) >= 5
+  SELECT doc_id, pos, w, len(w) AS n, unnest(range(-1, 8)) AS k FROM words WHERE len(w) >= 1
 ), cuts AS (
   SELECT *, 3 + (n - 3) * k // 8 AS a, 3 + (n - 3) * (k + 1) // 8 AS b FROM branches WHERE k = -1 OR n >= 8
 ), templates AS (
@@ -25,7 +27,7 @@ WITH lines AS (
   SELECT w, min(first) AS first FROM templates JOIN recurring USING (n, k, t) GROUP BY w
 ), marked AS (
   SELECT words.doc_id, words.pos, line, coalesce(words.doc_id > first, false) AS dropped
-  FROM words LEFT JOIN starts ON starts.w = words.w AND len(words.w) >= 5
+  FROM words LEFT JOIN starts ON starts.w = words.w AND len(words.w) >= 1
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '') AS text

@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from shelfkin.shipping import ship
 
-#: Keys looked at to draw range borders.
+#: Keys looked at, about, to draw range borders.
 SAMPLE = 20_000
-_LAST = "￿"
 _NO_PATH = -1
 _RULE = "struct<host: string, path: string, verdict: string>"
 
@@ -45,10 +44,14 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _borders(keys: DataFrame, ranges: int) -> list[str]:
-    """At most ``ranges - 1`` borders from a sample of rows in hash order; borders may repeat."""
-    some = sorted(r.key for r in keys.orderBy(F.xxhash64("key", "tie")).limit(SAMPLE).collect())
-    return [some[len(some) * k // ranges] for k in range(1, ranges)] if some else []
+def _borders(keys: DataFrame, rows: int, ranges: int, sample: int = SAMPLE) -> list[str]:
+    """At most ``ranges - 1`` borders from about ``sample`` of ``rows`` keys; borders may repeat.
+
+    Each task picks its share by itself, so the driver gets about ``sample`` keys at every size.
+    """
+    some = keys.select("key") if rows <= sample else keys.select("key").sample(sample / rows, 7)
+    found = sorted(r.key for r in some.collect())
+    return [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
 
 
 def _range_of(borders: list[str]):
@@ -64,7 +67,8 @@ def _range_of(borders: list[str]):
 
 def _ranges_of(borders: list[str]):
     def places(key: pa.Array) -> pa.Array:
-        spans = [(bisect.bisect_left(borders, k), bisect.bisect_right(borders, k + _LAST)) for k in key.to_pylist()]
+        # Keys end with a dot; the first string beyond all that begin with a key ends with a slash.
+        spans = [(bisect.bisect_left(borders, k), bisect.bisect_left(borders, k[:-1] + "/")) for k in key.to_pylist()]
         return pa.array([list(range(a, b + 1)) for a, b in spans], pa.list_(pa.int32()))
 
     return F.arrow_udf(places, "array<int>")
@@ -118,8 +122,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = urls.select("*", host_key(F.col("host")).alias("key"), F.abs(F.hash("page_id", "path")).alias("tie"))
-    borders = _borders(urls.select("key", "tie"), ranges)
+    urls = urls.select("*", host_key(F.col("host")).alias("key"), F.pmod(F.hash("page_id", "path"), F.lit(1 << 30)).alias("tie"))
+    borders = _borders(urls, pages.count(), ranges)
     dealt_urls = urls.select(
         _range_of(borders)("key", "tie").alias("range"), "key", F.lit(None).cast("string").alias("rule_path"),
         F.lit(None).cast("string").alias("verdict"), "page_id", "host", "path",

@@ -130,3 +130,21 @@ def test_query(spark, data_dir):
     want = {(n, i) for n, body in docs.items() for i, item in items.items()
             if set(item) & set(body) and d.distance_within(item, body) <= d.edits(len(item), d.SHARE)}
     assert {(r.doc_id, r.item_id) for r in queries.op1_decontaminate(spark, data_dir).collect()} == want
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    item = " ".join(f"word{k}" for k in range(20))
+    clean = " ".join(f"other{k}" for k in range(60))
+    rows = [(1, f"x {item} y", "i"), (1, clean, "i"), (None, f"{clean} {item}", "i"), (None, clean, "i"), (None, None, "i"), (2, item, "i"), (2, item, "i"), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string").repartition(3)
+    benchmark = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    kept = d.clean(docs, benchmark)
+    assert kept.columns == docs.columns
+    want = [rows[1], rows[3], rows[4], rows[7]]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
+def test_bitmaps_grow_with_the_benchmark():
+    assert d.bitmap_bits(0) == d.bitmap_bits(100_000) == 22
+    assert d.bitmap_bits(4_200_000) == 28
+    assert d.bitmap_bits(10**12) == 30

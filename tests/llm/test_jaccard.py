@@ -183,3 +183,22 @@ def test_query(spark, data_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_jaccard(spark, data_dir).collect()}
     assert got == plain_components(texts)
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    """Repeated rows, ids shared by different texts, null ids and clashing columns."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [
+        (5, a, "s", 1, "x"), (5, a, "s", 1, "x"),           # repeated: one stays
+        (None, b, "s", 1, "x"), (None, b, "s", 1, "x"), (7, b, "t", 2, "y"),  # the row with an id stays
+        (8, a + " z", "s", 1, "x"), (8, c, "u", 3, "z"),    # same id: one is a copy of 5, the other its own text
+        (None, d, "s", 1, "x"), (None, d, "s", 1, "x"),     # no id at all: one stays
+        (9, None, "s", 1, "x"), (9, None, "s", 1, "x"), (10, "", "s", 1, "x"), (10, "...", "s", 1, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string, n long, component_id string").repartition(3)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [rows[0], rows[4], rows[6], rows[7], *rows[9:11], rows[11]]
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(map(repr, (g for g in got if g[0] != 10))) == sorted(map(repr, (w for w in want if w[0] != 10)))
+    assert len([g for g in got if g[0] == 10]) == 2

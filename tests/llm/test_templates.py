@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from shelfkin.llm import templates
 
 SCHEMA = "doc_id long, text string, lines string"
@@ -17,12 +19,14 @@ def test_variable_fields(spark):
         (3, "the report of the week was read by alice in the room"),
         (4, "the report of the week was read by bobby in the room"),
         (5, "the report of the week was seen by bobby in the hall"),
-        (6, "a b c d"), (7, "a b c d"),
+        (6, "a b c d"), (7, "a b c d"), (8, "page 3"), (9, "page 4\n\n 3 "), (10, "page\t3\n3"),
     ])
     assert got[1, 0].startswith("user 17") and got[2, 1] == "another line that is new here"
     assert got[3, 0] and got[4, 1] == "" and got[5, 0]
-    assert got[6, 0] == got[7, 0] == "a b c d"
-    assert [r.doc_id for r in templates.keep_first(docs).orderBy("doc_id").collect()] == [1, 2, 3, 5, 6, 7]
+    # Short lines recur as they stand, blanks aside: no digit is a variable field there.
+    assert got[6, 0] == "a b c d" and got[7, 1] == ""
+    assert got[8, 0] == "page 3" and got[9, 0] == "page 4\n\n 3 " and got[10, 2] == ""
+    assert [r.doc_id for r in templates.keep_first(docs).orderBy("doc_id").collect()] == [1, 2, 3, 5, 6, 8, 9]
     assert templates.keep_first(docs).columns == docs.columns
 
 
@@ -44,7 +48,7 @@ def test_odd_rows(spark):
 def test_equals_plain_tree(spark):
     rng = random.Random(5)
     words = [f"v{c}" for c in "abcdefgh"]
-    base = [[rng.choice(words) for _ in range(rng.randint(4, 14))] for _ in range(12)]
+    base = [[rng.choice(words) for _ in range(rng.randint(1, 14))] for _ in range(16)]
     rows = {}
     for i in range(60):
         lines = []
@@ -56,10 +60,10 @@ def test_equals_plain_tree(spark):
         rows[i] = lines
 
     def of(line):
+        if len(line) < templates.LEAST:
+            return [(len(line), -1, tuple(line))]
         line = ["<*>" if any(c.isdigit() for c in w) else w for w in line]
-        n, out = len(line), []
-        if n >= templates.LEAST:
-            out.append((n, -1, tuple(line)))
+        n, out = len(line), [(len(line), -1, tuple(line))]
         if n >= templates.WILD_FROM:
             for k in range(8):
                 a, b = 3 + (n - 3) * k // 8, 3 + (n - 3) * (k + 1) // 8
@@ -78,3 +82,21 @@ def test_equals_plain_tree(spark):
         want[i] = "\n".join(" ".join(x) for x, f in zip(lines, first, strict=True) if f >= i)
     _, got = run(spark, [(i, "\n".join(" ".join(x) for x in lines)) for i, lines in rows.items()])
     assert {i: t for (i, _), t in got.items()} == want
+
+
+@pytest.mark.parametrize("share", [1, 1024])
+def test_hot_lines_are_met_apart(spark, monkeypatch, share):
+    """A line of a third of all places, by the broadcast and by the join."""
+    monkeypatch.setattr(templates, "HOT_SHARE", share)
+    rows = [(i, f"the one line that all of them hold\nown line number w{i} x{i} y{chr(97 + i % 26)}{i}a") for i in range(300)]
+    rows += [(i, f"z{chr(97 + i % 5)} z") for i in range(300, 400)]
+    _, got = run(spark, rows)
+    assert sum("all of them" in t for t in got.values()) == 1
+    assert sum(t != "" for (i, _), t in got.items() if i >= 300) == 5
+    plan = templates.dropped_lines(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_ids_of_other_kinds(spark):
+    docs = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), (None, "four five"), ("c", "four five")], "doc_id string, text string")
+    assert {r.doc_id: r.text for r in templates.deduplicate(docs).collect()} == {"a": "one two three", "b": "", None: "four five", "c": ""}
