@@ -39,21 +39,43 @@ ALLOWED = [
     r"(?i)example|placeholder|x{6}",
 ]
 _SCALE = 1_000_000
-_SPANS = "array<struct<start: int, kind: int, stop: int>>"
+#: Matches whose places are summed up at a time, so that copies grow with the matches.
+BLOCK = 128
 
 
-def _placed(kind: Column, matches: str, pieces: str) -> Column:
-    """The spans of matches, from the pieces of text between them."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+def _sums(numbers: Column) -> Column:
+    """Running sums of a short array; every step copies those before it."""
+    empty = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, i))
-        stop = start + F.length(F.get(matches, i))
-        span = F.struct(start.alias("start"), F.get(kind, i).alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["sum"] + x
+        return F.struct(total.alias("sum"), F.concat(acc["sums"], F.array(total)).alias("sums"))
+
+    return F.aggregate(numbers, empty, step)["sums"]
+
+
+def _blocks(numbers: str) -> Column:
+    """An array in blocks of ``BLOCK`` numbers."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(BLOCK))
+    return F.transform(starts, lambda k: F.slice(numbers, k, BLOCK))
+
+
+def _lengths(words: Column) -> Column:
+    return F.transform(words, lambda w: F.length(w))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), empty, step)["spans"]
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPANS))
+
+def _steps(matches: str, pieces: str) -> Column:
+    """From each match's start to the next one's: the match before it and the piece between them.
+    Arrays are zipped, never looked up from inside a lambda: there the optimiser may put the
+    expression that makes them, to be worked out for every match."""
+    before = F.concat(F.array(F.lit(0)), _lengths(F.col(matches)))
+    steps = F.zip_with(_lengths(F.col(pieces)), before, lambda a, b: a + b)
+    return F.when(F.size(matches) > 0, F.slice(steps, F.lit(1), F.size(matches))).otherwise(F.array().cast("array<int>"))
+
+
+def _placed(kind: int, starts: str, matches: str) -> Column:
+    """The spans of matches from where they start."""
+    return F.zip_with(starts, matches, lambda a, m: F.struct(a.alias("start"), F.lit(kind).alias("kind"), (a + F.length(m)).alias("stop")))
 
 
 def _entropy_range(codes: Column, most: Column) -> Column:
@@ -138,14 +160,30 @@ def spans(docs: DataFrame) -> DataFrame:
         *[F.when(F.size(name) > 0, F.split("text", p, -1)).alias(f"{name}_pieces") for name, p in patterns.items()],
         F.when(F.size("assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("values"),
     )
-    placed = found.select(
+    # One step after the other, by names: steps, blocks of them, running sums inside the blocks and of
+    # the blocks, and both added up.
+    names = list(patterns)
+    held = found.select("doc_id", "values", *names, *[_steps(x, f"{x}_pieces").alias(f"{x}_steps") for x in names])
+    held = held.select("*", *[_blocks(f"{x}_steps").alias(f"{x}_blocks") for x in names])
+    held = held.select("*", *[F.transform(f"{x}_blocks", _sums).alias(f"{x}_sums") for x in names])
+    held = held.select("*", *[
+        F.concat(F.array(F.lit(0)), _sums(F.transform(f"{x}_sums", lambda s: F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0))))).alias(f"{x}_before")
+        for x in names
+    ])
+    held = held.select("*", *[
+        F.flatten(F.zip_with(
+            f"{x}_sums", F.slice(f"{x}_before", F.lit(1), F.size(f"{x}_sums")), lambda s, b: F.transform(s, lambda v: v + b)
+        )).alias(f"{x}_starts") for x in names
+    ])
+    placed = held.select(
         "doc_id", "values", "random", _codes("random").alias("codes"),
-        *[
-            _placed(F.array_repeat(F.lit(KINDS.index(name) if name in KINDS else -1), F.size(name)), name, f"{name}_pieces").alias(name + "_spans")
-            for name in patterns
-        ],
+        *[_placed(KINDS.index(x) if x in KINDS else -1, f"{x}_starts", x).alias(f"{x}_spans") for x in names],
+    )
+    long = F.transform(
+        F.filter(F.arrays_zip(F.col("assign_spans").alias("span"), F.coalesce("values", F.array().cast("array<string>")).alias("value")),
+                 lambda z: F.length(z["value"]) >= LEAST_VALUE),
+        lambda z: z["span"],
     )
-    long = F.filter("assign_spans", lambda s, i: F.length(F.get("values", i)) >= LEAST_VALUE)
     base = F.array_sort(F.concat(long, F.col("access_spans"), F.col("hex_spans")))
     ranged = placed.select("doc_id", base.alias("base"), "random_spans", _random_ranges("random", "codes").alias("ranges"))
     return ranged.select("doc_id", "base", _cut("random_spans", "ranges").alias("added"))

@@ -2,8 +2,11 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import pytest
+
 from shelfkin.llm import queries, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -70,6 +73,23 @@ def test_long_and_repeated_rows(spark):
     assert secrets.report(docs.limit(0)).count() == 0
 
 
+def test_very_many_matches_in_one_text(spark):
+    """Places are summed up in blocks: the time grows with the matches, not with their square."""
+    text = " ".join(f"{i * 2654435761 % (1 << 64):016x}" for i in range(1, 40_001)) + " é token=abcdefghijkl"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    row = secrets.report(docs).first()
+    took = time.perf_counter() - start
+    assert tuple(row)[1:] == plain(text) and row.n_hex == 40_000
+    assert took < 40
+
+
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_blocks_of_matches(spark, monkeypatch, block):
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    check(spark, {n: "é ".join(f"{i:016x} " for i in range(n)) + "token=" + "x" * 12 for n in range(8)})
+
+
 def test_query(spark, data_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
     got = {r.doc_id: tuple(r)[1:] for r in queries.op8_secrets(spark, data_dir).collect()}
