@@ -136,9 +136,10 @@ def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -
         .unionByName(corpus.sparkSession.range(buckets).selectExpr("id AS bucket", "0L AS s", "0L AS t"))
         .groupBy("bucket").agg(F.sum("s").cast("double").alias("s"), F.sum("t").cast("double").alias("t"))
     )
-    every = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    share = (F.col("t") + 1) * (F.col("all_s") + buckets) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
-    return both.join(F.broadcast(every)).select("bucket", F.floor(1000 * F.ln(share)).alias("gain"))
+    both = materialise(both)  # a row per bucket
+    every = both.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
+    share = (F.col("t") + 1) * (every.s + buckets) / ((F.col("s") + 1) * (every.t + buckets))
+    return both.select("bucket", F.floor(1000 * F.ln(share)).alias("gain"))
 
 
 def gain_table(corpus: DataFrame, target: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> np.ndarray:
