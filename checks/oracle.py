@@ -112,6 +112,16 @@ def _evaluation_ctes(p: str, cat: str) -> dict[str, str]:
     }
 
 
+def _context(hits: str) -> str:
+    """``(query_id, context)`` of the first three rows of ``hits`` per query."""
+    return f"""select query_id, string_agg('Product ' || rank || ':' || chr(10) || '  Name: ' || name || chr(10) || '  Brand: '
+          || brand || chr(10) || '  Price: ' || {money('price')} || chr(10) || '  Rating: ' ||
+          format('{{:.1f}}', avg_rating) || '/5 (' || review_count || ' reviews)' || chr(10) || '  Relevance: ' ||
+          format('{{:.1f}}', relevance_score * 100) || '%' || chr(10) || case when reviews_snippet <> '' then
+          '  Customer feedback: ' || substr(reviews_snippet, 1, 150) || '...' || chr(10) else '' end,
+          chr(10) order by rank) context from {hits} where rank <= 3 group by 1"""
+
+
 def _unit_vectors(source: str, key: str) -> str:
     """``(key, place, v)`` of hashed words of ``source(key, text)``."""
     return f"""select {key}, place::int place, n / sqrt(sum(n * n) over (partition by {key})) v from (
@@ -202,13 +212,19 @@ CTES: dict[str, str] = {
         review_count, substr(reviews_head, 1, 300) reviews_snippet from cat""",
     "hits": """select query_id, id, name, brand, price, avg_rating, review_count, reviews_snippet, relevance_score, rank
         from topk join cards using (id)""",
-    "context": f"""select q.vec_id query_id, coalesce(context, {lit(P.NO_HITS)}) context from embeddings q left join (
-        select query_id, string_agg('Product ' || rank || ':' || chr(10) || '  Name: ' || name || chr(10) || '  Brand: '
-          || brand || chr(10) || '  Price: ' || {money('price')} || chr(10) || '  Rating: ' ||
-          format('{{:.1f}}', avg_rating) || '/5 (' || review_count || ' reviews)' || chr(10) || '  Relevance: ' ||
-          format('{{:.1f}}', relevance_score * 100) || '%' || chr(10) || case when reviews_snippet <> '' then
-          '  Customer feedback: ' || substr(reviews_snippet, 1, 150) || '...' || chr(10) else '' end,
-          chr(10) order by rank) context from hits where rank <= 3 group by 1) h on h.query_id = q.vec_id""",
+    "context": f"""select q.vec_id query_id, coalesce(context, {lit(P.NO_HITS)}) context from embeddings q
+        left join ({_context('hits')}) h on h.query_id = q.vec_id""",
+    "message_topk": """select query_id, id, relevance_score, rank from (select *, row_number() over (partition by query_id
+        order by relevance_score desc, id)::int rank from (select m.request_id query_id, i.id,
+        round(coalesce(s, 0), 6) + 0.0 relevance_score from messages m cross join retail i left join
+        (select a.request_id, b.id, sum(a.v * b.v) s from asked a join unit b using (place) group by 1, 2) d
+        on d.request_id = m.request_id and d.id = i.id)) where rank <= 5""",
+    "message_hits": """select query_id, id, name, brand, coalesce(price, 0) price, avg_rating, review_count,
+        substr(reviews_head, 1, 300) reviews_snippet, relevance_score, rank from message_topk join retail using (id)""",
+    "message_context": f"""select request_id query_id, coalesce(context, {lit(P.NO_HITS)}) context from messages
+        left join ({_context('message_hits')}) h on h.query_id = request_id""",
+    "message_requests": """select request_id, request_id query_id, message, name product_name, brand product_brand,
+        price product_price, avg_rating product_rating from messages left join retail on retail.id = product_id""",
     "retail_texts": """select id, name || '. Brand: ' || brand || '. ' || content || '. ' || substr(reviews_head, 1, 500) as text
         from retail""",
     "unit": _unit_vectors("retail_texts", "id"),

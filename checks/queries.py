@@ -595,12 +595,15 @@ def review_prompts(spark, sf):
     return prompts.review_prompts(cat.select("id"), cat)
 
 
-@query("chat_prompts", f"""select request_id, {lit(prompts.CHAT_HITS)} || context || chr(10) || chr(10) ||
+CHAT_SQL = f"""select request_id, {lit(prompts.CHAT_HITS)} || context || chr(10) || chr(10) ||
     case when product_name is not null then {lit(prompts.CHAT_CURRENT)} || '- Product: ' || product_name || chr(10) ||
     '- Brand: ' || product_brand || chr(10) || '- Price: ' || coalesce('$' || format('{{:.2f}}', product_price), 'N/A') ||
     chr(10) || '- Rating: ' || format('{{:.1f}}', product_rating) || '/5' || chr(10) || chr(10) else '' end ||
     'User question: ' || message || {lit(prompts.CHAT_CLOSING)} prompt, 'ok' status
-    from requests join context using (query_id)""")
+    from REQUESTS join CONTEXT using (query_id)"""
+
+
+@query("chat_prompts", CHAT_SQL.replace("REQUESTS", "requests").replace("CONTEXT", "context"))
 def chat_prompts(spark, sf):
     queries = a.message_queries(spark, sf)
     contexts = prompts.retrieval_context(queries, _hits(spark, sf, queries))
@@ -608,6 +611,40 @@ def chat_prompts(spark, sf):
     return prompts.chat_prompts(requests, contexts)
 
 
+@query("chat_by_message", CHAT_SQL.replace("REQUESTS", "message_requests").replace("CONTEXT", "message_context"))
+def chat_by_message(spark, sf):
+    """Products with prices, found by what the message says; some current products do not exist."""
+    return prompts.chat_by_message(a.message_table(spark, sf), materialise(a.retail_catalog(spark, sf)))
+
+
+@query("review_prompts_any", f"""select o_orderkey::varchar request_id, case when r.id is null then {lit(prompts.NO_PRODUCT)}
+    when trim(substr(reviews_head, 1, 2000)) = '' then {lit(prompts.NO_REVIEWS)} else
+    'Summarize the following customer reviews for "' || name || '" in 3-4 bullet points:' || chr(10) || chr(10) ||
+    'Reviews:' || chr(10) || substr(reviews_head, 1, 2000) || {lit(prompts.REVIEW_CLOSING)} end prompt,
+    case when r.id is null then 'not found' when trim(substr(reviews_head, 1, 2000)) = '' then 'no reviews' else 'ok' end status
+    from orders left join retail r on r.id = o_orderkey""")
+def review_prompts_any(spark, sf):
+    """Asked for the number of every order, of which only some are products."""
+    asked = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return prompts.review_prompts(asked, a.retail_catalog(spark, sf))
+
+
+@query("explanation_prompts_any", f"""select o_orderkey || '-' || o_custkey request_id, case when s.id is null or t.id is null
+    then {lit(prompts.NO_PRODUCT_PAIR)} else {lit(prompts.EXPLAIN_OPENING)} ||
+    'User was viewing: ' || s.name || chr(10) || '- Brand: ' || s.brand || chr(10) || '- Rating: ' ||
+    format('{{:.1f}}', s.avg_rating) || '/5' || chr(10) || chr(10) || 'Recommended product: ' || t.name || chr(10) ||
+    '- Brand: ' || t.brand || chr(10) || '- Rating: ' || format('{{:.1f}}', t.avg_rating) || '/5' || chr(10) || chr(10) ||
+    'Key matching features: Similar category' || chr(10) || 'Similarity score: 0.00' || {lit(prompts.EXPLAIN_CLOSING)} end prompt,
+    case when s.id is null or t.id is null then 'not found' else 'ok' end status
+    from orders left join retail s on s.id = o_orderkey left join retail t on t.id = o_custkey""")
+def explanation_prompts_any(spark, sf):
+    """Pairs of an order's and its customer's number: one, both or none of them a product, none explained."""
+    pairs = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id"))
+    none = pairs.select("source_id", "target_id", F.lit(None).cast("double").alias("similarity_score"),
+                        F.lit(None).cast("array<struct<feature:string>>").alias("common_features")).limit(0)
+    return prompts.explanation_prompts(pairs, a.retail_catalog(spark, sf), none)
+
+
 # ---------------------------------------------------------------- evaluation
 
 

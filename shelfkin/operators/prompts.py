@@ -6,10 +6,13 @@ The wording is fixed: it must equal what users of the recommender have in place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfkin.functions.parsing import fixed, money
+from shelfkin.operators.retrieve import Encoder, embedding_corpus, search_hits, search_records, text_search
 
 # Every text below is given wording.
 NO_HITS = "No matching products found in our catalog."
@@ -169,3 +172,14 @@ def chat_prompts(requests: DataFrame, contexts: DataFrame | None = None) -> Data
         F.lit("User question: "), F.col("message"), F.lit(CHAT_CLOSING),
     )
     return requests.select("request_id", prompt.alias("prompt"), F.lit("ok").alias("status"))
+
+
+def chat_by_message(messages: DataFrame, catalog: DataFrame, load: Callable[[], Encoder] | None = None,
+                    max_products: int = 3) -> DataFrame:
+    """One prompt per ``messages(request_id, message, product_id)``: the products closest to the
+    message itself, encoded like the products' texts, the current product, the question."""
+    asked = messages.withColumn("query_id", F.col("request_id"))
+    questions = asked.select("query_id", F.col("message").alias("text"))
+    top = text_search(questions, embedding_corpus(catalog), max_products, load)
+    contexts = retrieval_context(questions, search_hits(top, search_records(catalog)), max_products)
+    return chat_prompts(chat_requests(asked, catalog), contexts)

@@ -98,3 +98,13 @@ def test_the_index_joins_no_term_with_a_group(ready):
     text = plan(neighbours._indexed(blocked, asked, postings, cells, 5, len(ready.model.terms), 64))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
     assert text.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_large_samples_are_many_tasks(spark):
+    catalog = spark.range(5000).withColumn("total", F.lit(1))
+    found = sampling.sample_products(catalog, 4000)
+    text = plan(found)
+    assert "TakeOrdered" not in text and "rangepartitioning" not in text and found.columns == ["id", "total"]
+    want = [r.id for r in catalog.orderBy(F.md5(F.concat(F.lit("42"), F.col("id").cast("string"))), "id").limit(4000).collect()]
+    assert sorted(r.id for r in found.collect()) == sorted(want)
+    assert sampling.sample_products(catalog, 10_000).count() == 5000 and sampling.sample_products(catalog, 0).count() == 0
