@@ -47,16 +47,36 @@ TEMPLATES = [
      "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by", "cc by", "licensed under cc by 4 0"),
     ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
-    ("gpl-3", "gnu general public license", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "gnu general public license",
+    ("gpl-2", "gnu general public license version 2", "this work is licensed under the gnu general public license version 2"),
+    ("gpl-3", "gnu general public license version 3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-2", "the gnu general public license as published by the free software foundation either version 2 of the license",
      "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+     "free software foundation either version 2 of the license"),
+    ("gpl-3", "the gnu general public license as published by the free software foundation either version 3 of the license",
+     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+     "free software foundation either version 3 of the license"),
+    ("lgpl-3", "gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl-2.1", "the gnu lesser general public license as published by the free software foundation either version 2 1 of the license",
+     "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the "
+     "free software foundation either version 2 1 of the license"),
+    ("lgpl-3", "the gnu lesser general public license as published by the free software foundation either version 3 of the license",
+     "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the "
+     "free software foundation either version 3 of the license"),
+    ("agpl-3", "the gnu affero general public license as published by the free software foundation either version 3 of the license",
+     "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the "
      "free software foundation either version 3 of the license"),
-    ("lgpl-3", "gnu lesser general public license", "licensed under the gnu lesser general public license version 3"),
-    ("mpl-2", "mozilla public license",
+    ("mpl-2", "mozilla public license v 2 0",
      "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("bsd", "redistribution and use in source and binary forms",
      "redistribution and use in source and binary forms with or without modification are permitted provided that the "
      "following conditions are met"),
+    ("bsd-3", "endorse or promote products derived from this software",
+     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+     "products derived from this software without specific prior written permission"),
+    ("epl-2", "eclipse public license v 2 0",
+     "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0"),
+    ("epl-2", "eclipse public license 2 0",
+     "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
     ("isc", "permission to use copy modify and or distribute this software",
      "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain"),

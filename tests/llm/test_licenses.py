@@ -58,6 +58,19 @@ def test_literal_cases(spark):
     assert got[5][4:] == ("", "gpl-3", 1.0) and got[4][1:4] == (2, 0, 4)
 
 
+def test_headers_of_versions(spark):
+    """Headers that differ in a version or in one word of the name."""
+    def header(name, version):
+        return (f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+                f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+
+    names = {("General Public License", "2"): "gpl-2", ("General Public License", "3"): "gpl-3",
+             ("Lesser General Public License", "2.1"): "lgpl-2.1", ("Lesser General Public License", "3"): "lgpl-3",
+             ("Affero General Public License", "3"): "agpl-3", ("General Public License", "4"): ""}
+    got = check(spark, {i: header(*k) for i, k in enumerate(names)})
+    assert [got[i][5] for i in range(len(names))] == list(names.values())
+
+
 def test_random_mixtures(spark):
     rng = random.Random(9)
     pool = [*licenses.PHRASES, *(t[2] for t in licenses.TEMPLATES)]
@@ -85,5 +98,5 @@ def test_long_and_repeated_rows(spark):
 def test_query(spark, data_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
     got = {r.doc_id: tuple(r)[1:] for r in queries.op9_licenses(spark, data_dir).collect()}
-    assert np.all([got[i] == plain(texts[i]) for i in sorted(texts)[:60]]) and len(got) == len(texts)
+    assert np.all([got[i] == plain(texts[i]) for i in sorted(texts)]) and len(got) == len(texts)
     assert all(("mit" in g[4].split(",")) == ("under the mit license" in " ".join(cut(texts[i]))) for i, g in got.items())
