@@ -28,8 +28,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document holds; ``n_chars`` follows the text."""
+    """Texts without the lines that an earlier document holds; ``n_chars``, if there, follows the text."""
     left = templates.keep_first(docs)
+    if "n_chars" not in docs.columns:
+        return left
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
