@@ -5,7 +5,8 @@ word is cut there and its fragments are merged on their own; the ids of the frag
 each other. A task keeps the fragments and words it has met.
 
 Defined results: a null or empty text has no ids and decodes to an empty text. The strings of
-added tokens are single ids wherever they stand. Repeated rows and other columns are kept.
+added tokens are single ids wherever they stand. Repeated rows are kept; of the columns only
+``doc_id`` is.
 """
 
 from __future__ import annotations

@@ -81,3 +81,19 @@ def test_empty_documents(spark, data_dir, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{data_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, data_dir):
+    """Repeated rows, ids shared or missing, null texts and columns whose names operators use."""
+    some = [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows = [(i, t, "en", 0.5, "x", 7) for i, t in enumerate(some)]
+    rows += [rows[3], rows[3], (None, some[5], "en", 0.1, "y", 1), (None, None, None, None, None, None), (8, some[9] + " more", "en", 0.2, "z", 2), (99, "", "", 0.3, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, root string, n long").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = materialise(stage(spark, docs, data_dir))
+        assert left.columns == docs.columns, name
+        assert left.count() <= docs.count()
+        docs = left
+    assert docs.filter("text is null").count() == 0 and docs.count() > 20
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, data_dir)
+    assert last.count() == docs.count()
