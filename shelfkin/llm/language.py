@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfkin.llm.arrow import flat, slices
+from shelfkin.llm.arrow import flat, give_back, slices
 from shelfkin.shipping import ship
 
 UNKNOWN = "und"
@@ -248,11 +248,14 @@ def _answers(column: pa.Array, model: Crf) -> pd.DataFrame:
     return pd.DataFrame({"lang_pred": names[best], "score": score, "n_words": n_words, "n_switches": switches})
 
 
-def label(model: Crf, text: Column) -> Column:
-    """The struct ``RESULT`` for every text. Its words are labelled inside the task."""
+def label(model: Crf, text: Column, tidy: bool = False) -> Column:
+    """The struct ``RESULT`` for every text. Its words are labelled inside the task, ``tidy`` after
+    giving back the memory that the worker holds from other stages."""
 
     @F.arrow_udf(RESULT)
     def answer(column: pa.Array) -> pa.Array:
+        if tidy:
+            give_back()
         found = _answers(column, model)
         kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
         return pa.StructArray.from_arrays([pa.array(found[c], k) for c, k in zip(found, kinds, strict=True)], names=list(found))
@@ -277,16 +280,16 @@ def fit(docs: DataFrame, texts_per_language: int = 120, most_chars: int = 20_000
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
-def identify(docs: DataFrame, model: Crf, into: str = "language") -> DataFrame:
+def identify(docs: DataFrame, model: Crf, into: str = "language", tidy: bool = False) -> DataFrame:
     """``docs`` with a column ``into`` of kind ``RESULT``; no shuffle."""
     ship(docs.sparkSession)
-    return docs.withColumn(into, label(model, F.col("text")))
+    return docs.withColumn(into, label(model, F.col("text"), tidy))
 
 
 def accepted(docs: DataFrame, model: Crf, least: float = 0.35) -> DataFrame:
     """The rows of ``docs`` whose words agree on a language: ``und`` and those with a score
     below ``least`` go."""
     into = "__language"
-    named = identify(docs, model, into)
+    named = identify(docs, model, into, tidy=True)
     keep = (F.col(f"{into}.lang_pred") != UNKNOWN) & (F.col(f"{into}.score") >= least)
     return named.filter(keep).select(*[F.col(f"`{c}`") for c in docs.columns])
