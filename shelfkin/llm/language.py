@@ -25,7 +25,7 @@ from shelfkin.shipping import ship
 UNKNOWN = "und"
 RESULT = "struct<lang_pred: string, score: double, n_words: long, n_switches: long>"
 BUCKETS = 1 << 16
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 _TABLES: dict[str, np.ndarray] = {}
 
 
