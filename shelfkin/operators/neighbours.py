@@ -195,22 +195,25 @@ def _home(blocked: DataFrame, k: int, n_terms: int) -> DataFrame:
     return rows.groupBy("block").applyInArrow(scan, _pair_schema(blocked))
 
 
-def _with_rests(rows: DataFrame, counts: Column) -> DataFrame:
-    """``rows(idx, weights, ..)`` with ``e``: their entries rarest term first, each with its place
-    and ``rest``, the norm of the entries from there on. ``counts`` is an array of the items per term."""
-    entries = F.sort_array(F.transform(
-        F.arrays_zip("idx", "weights"), lambda e: F.struct(F.get(counts, e.idx).alias("n"), e.idx.alias("term"), e.weights.alias("w"))
-    ))
-    zero = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("rests"))
+def _rests(number: np.ndarray):
+    """Rows ``(id, idx, weights, floor)`` as entries ``(id, term, rest, floor)``, each vector's rarest
+    term first: ``rest`` is the norm of its entries from there on. ``number`` counts the items per term."""
 
-    def step(acc: Column, e: Column) -> Column:
-        total = acc["sum"] + e["w"] * e["w"]
-        return F.struct(total.alias("sum"), F.concat(acc["rests"], F.array(F.sqrt(total))).alias("rests"))
+    def run(batches):
+        for batch in batches:
+            rows = Rows.of(pa.Table.from_batches([batch]))
+            order = np.lexsort((rows.idx, number[rows.idx], rows.line))
+            line, squares = rows.line[order], rows.weights[order] ** 2
+            upto = np.concatenate(([0.0], np.cumsum(squares)))
+            end = np.searchsorted(line, line, "right")
+            rest = np.sqrt(np.maximum(upto[end] - upto[np.arange(len(line))], squares))
+            at = pa.array(line)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(at), pa.array(rows.idx[order], pa.int32()), pa.array(rest), batch.column("floor").take(at)],
+                names=["id", "term", "rest", "floor"],
+            )
 
-    # A vector holds no more entries than its text has words and bigrams in the vocabulary.
-    rows = rows.withColumn("e", entries)
-    rests = F.reverse(F.aggregate(F.reverse("e"), zero, step)["rests"])
-    return rows.withColumn("e", F.zip_with("e", rests, lambda e, r: F.struct(e["term"].alias("term"), r.alias("rest"))))
+    return run
 
 
 def _index_sides(blocked: DataFrame, floors: DataFrame, n_terms: int) -> tuple[DataFrame, DataFrame]:
@@ -221,20 +224,19 @@ def _index_sides(blocked: DataFrame, floors: DataFrame, n_terms: int) -> tuple[D
     least that any source asks of its term is left out.
     """
     # One number per vocabulary term.
-    held = blocked.select(F.explode("idx").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    number = [0] * n_terms
-    for r in held.collect():
-        number[r.term] = r.n
-    counts = F.split(F.lit(",".join(map(str, number))), ",").cast("array<bigint>")
-    entries = _with_rests(blocked.select("id", "source", "idx", "weights"), counts).drop("idx", "weights")
+    held = blocked.select(F.explode("idx").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
+    number = np.zeros(n_terms, np.int64)
+    number[held["term"].to_numpy()] = held["n"].to_numpy()
     least = F.greatest(F.coalesce("floor", F.lit(0.0)) - SLACK, F.lit(0.0))
-    asked = entries.filter("source").join(floors, "id", "left").withColumn("floor", least)
-    asked = materialise(
-        asked.select("id", "floor", F.inline(F.filter("e", lambda e: e["rest"] >= F.col("floor"))))
+    rows = blocked.select("id", "idx", "weights", "source").join(floors, "id", "left").select(
+        "id", "idx", "weights", F.when(F.col("source"), least).alias("floor")
     )
+    kind = blocked.schema["id"].dataType.simpleString()
+    entries = materialise(rows.mapInArrow(_rests(number), f"id {kind}, term int, rest double, floor double"))
+    asked = entries.filter("rest >= floor")
     need = asked.groupBy("term").agg(F.min(F.col("floor") / F.col("rest")).alias("need"))
-    postings = entries.select("id", F.inline("e")).join(F.broadcast(need), "term")
-    return asked, materialise(postings.filter(F.col("rest") >= F.col("need") - SLACK).select("id", "term", "rest"))
+    postings = entries.select("id", "term", "rest").join(F.broadcast(need), "term")
+    return asked, postings.filter(F.col("rest") >= F.col("need") - SLACK).select("id", "term", "rest")
 
 
 def _index_cells(asked: DataFrame, postings: DataFrame) -> DataFrame:
