@@ -1,11 +1,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plain import fit, top, vector
 from shelfkin.operators import neighbours as nb
+from shelfkin.operators import sparse
 from shelfkin.operators import tfidf
 
 WORDS = [f"w{i}" for i in range(120)]
@@ -153,3 +156,45 @@ def test_ranked_rows(numbers):
     rows = nb.ranked(nb.neighbour_lists(vectors, model, 5))
     assert rows.filter((F.col("score") <= 0) | (F.col("score") > 1) | (F.col("id") == F.col("rec_id"))).count() == 0
     assert rows.groupBy("id", "rank").count().filter("count > 1").count() == 0
+
+
+def test_blocks_meet_once_and_move_once_per_group(numbers):
+    """A row goes to as many cells as there are groups, and few sources leave the catalog in few places."""
+    vectors, model, _, _ = numbers
+    blocked = nb.materialise(nb._blocked(vectors.filter(F.size("idx") > 0).withColumn("key", nb._vector_key()), None, model, 5, 16))
+    floors = blocked.filter("source").select("id", F.lit(0.4).alias("floor"))
+    blocks = sorted(r.block for r in blocked.select("block").distinct().collect())
+    rows = blocked.count()
+    cells, n = nb._cells(blocked, floors, blocks, 3, None)
+    assert n == 6 and cells.count() == 3 * rows
+    assert {r.cell for r in cells.collect()} <= set(range(6))
+    few = blocked.withColumn("source", F.col("source") & (F.col("id") < 40))
+    cells, n = nb._cells(few, floors, blocks, 5, 1)
+    assert n == 5 and cells.filter("side = 1").count() == rows
+    assert cells.filter("side = 0").count() == 5 * few.filter("source").count()
+
+
+def test_single_precision_only_rules_out():
+    """Pairs that meet in single precision, ties and equal rows among them, give the double-precision lists."""
+    rng = np.random.default_rng(4)
+    table = []
+    for i in range(90):
+        idx = np.sort(rng.choice(40, rng.integers(1, 12), replace=False)) if i % 7 else np.array([1, 2, 3])
+        weights = rng.integers(1, 4, len(idx)).astype(float)
+        table.append({"id": i, "idx": idx.astype(np.int32), "weights": weights / np.linalg.norm(weights)})
+    schema = pa.schema({"id": pa.int64(), "idx": pa.list_(pa.int32()), "weights": pa.list_(pa.float64())})
+    rows = pa.Table.from_pylist(table, schema).combine_chunks()
+    a, b = sparse.Rows.of(rows.slice(0, 40).combine_chunks()), sparse.Rows.of(rows.slice(40).combine_chunks())
+    left, right = sparse.Block(a, 40), sparse.Block(b, 40)
+    lists, others = sparse.Lists(np.zeros(40), 6), sparse.Lists(np.zeros(50), 6)
+    row, col, value = sparse.meet(left, right, 6, lists.floor, others.floor)
+    lists.add(row, col, value)
+    others.add(col, row, value)
+
+    def plain(found):
+        return [(r["id"], r["rec_id"], r["score"]) for r in found.to_pylist()]
+
+    row, col, value = lists.result()
+    assert list(zip(row, col + 40, value)) == plain(sparse.best_targets(a, b, 40, 6))
+    row, col, value = others.result()
+    assert list(zip(row + 40, col, value)) == plain(sparse.best_targets(b, a, 40, 6))
