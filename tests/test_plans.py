@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from checks import adapters
+from checks import adapters, queries
 from shelfkin.operators import analytics, catalog, explain, neighbours, sampling, tfidf
 
 
@@ -108,3 +108,15 @@ def test_large_samples_are_many_tasks(spark):
     want = [r.id for r in catalog.orderBy(F.md5(F.concat(F.lit("42"), F.col("id").cast("string"))), "id").limit(4000).collect()]
     assert sorted(r.id for r in found.collect()) == sorted(want)
     assert sampling.sample_products(catalog, 10_000).count() == 5000 and sampling.sample_products(catalog, 0).count() == 0
+
+
+def test_more_rows_are_more_files(spark, data_dir, monkeypatch):
+    """A file is read by one task, so its size must not follow the table's; the rows stay in order."""
+    def rows():
+        out = queries.scan_reviews(spark, data_dir)
+        return len(out.inputFiles()), sorted(map(tuple, out.collect()), key=repr)
+
+    few, want = rows()
+    monkeypatch.setattr(queries, "FILE_ROWS", 400)
+    many, got = rows()
+    assert few + 5 < many and got == want
