@@ -198,3 +198,11 @@ def test_single_precision_only_rules_out():
     assert list(zip(row, col + 40, value)) == plain(sparse.best_targets(a, b, 40, 6))
     row, col, value = others.result()
     assert list(zip(row + 40, col, value)) == plain(sparse.best_targets(b, a, 40, 6))
+
+
+def test_partners_that_repeat_take_one_place():
+    """An id that is there twice is one partner, and its score does not lift the floor twice."""
+    lists = sparse.Lists(np.zeros(1), 2, unique=False)
+    lists.add(np.array([0, 0]), np.array([3, 3]), np.array([0.9, 0.9]))
+    lists.add(np.array([0]), np.array([1]), np.array([0.5]))
+    assert [v.tolist() for v in lists.result()] == [[0, 0], [3, 1], [0.9, 0.5]]
