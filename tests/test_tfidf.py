@@ -103,3 +103,16 @@ def test_empty_vocabulary(spark):
     assert tfidf.vocabulary(none).count() == 0
     alone = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "id bigint, terms array<string>")
     assert tfidf.vocabulary(alone).count() == 0
+
+
+def test_terms_are_counted_without_a_shuffle_of_terms(spark):
+    rows = [(1, "aa bb aa bb aa"), (2, ""), (3, "aa"), (3, "aa bb"), (None, "cc cc"), (None, "cc"), (4, "x")]
+    items = spark.createDataFrame(rows, "id bigint, text string")
+    counts = tfidf.term_counts(tfidf.with_terms(tfidf.with_words(items)))
+    assert sorted((r.id or 0, r.term, r.n) for r in counts.collect()) == [
+        (0, "cc", 3), (0, "cc cc", 1), (1, "aa", 3), (1, "aa bb", 2), (1, "bb", 2), (1, "bb aa", 2),
+        (3, "aa", 2), (3, "aa bb", 1), (3, "bb", 1),
+    ]
+    alone = tfidf.term_counts(tfidf.with_terms(tfidf.with_words(items.filter("id in (1, 2, 4)"))))
+    text = alone._sc._jvm.PythonSQLUtils.explainString(alone._jdf.queryExecution(), "simple")
+    assert alone.count() == 4 and "HashAggregate" not in text
