@@ -216,3 +216,13 @@ def test_figures(spark):
     same = df.withColumn("price", F.lit(7.0))
     assert sorted((r.bin, r.n) for r in analytics.price_histogram(same).collect()) == [(0, 4), *((b, 0) for b in range(1, 30))]
     assert analytics.price_histogram(df.limit(0)).count() == 0
+
+
+def test_catalog_reads_written_parts(spark, review_csv):
+    """Review text is gathered once, into written parts, which the product table starts from."""
+    reviews = readers.scan_reviews(spark, review_csv)
+    own = catalog.catalog_build(reviews)
+    text = own._sc._jvm.PythonSQLUtils.explainString(own._jdf.queryExecution(), "simple")
+    assert "review_text" not in text
+    given = catalog.catalog_build(reviews, catalog.review_parts(reviews))
+    assert sorted(given.collect()) == sorted(own.collect())
