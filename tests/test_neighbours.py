@@ -99,6 +99,16 @@ def test_tasks_do_not_grow_with_the_blocks(numbers, spark):
     assert max(sizes) <= 2 and len(sizes) > 10 * nb.task_count(spark)
 
 
+def test_more_sources_than_one_round_takes(numbers, monkeypatch):
+    """They meet the catalog where it lies too, round by round, and no vector is shuffled."""
+    vectors, model, ids, plain = numbers
+    sources = vectors.filter("id % 2 = 0").select("id")
+    monkeypatch.delattr(nb, "_many")
+    monkeypatch.setattr(nb, "GROUP_ROWS", 32)
+    want = {i: recs for i, recs in top(ids, plain, 5).items() if i % 2 == 0}
+    assert lists(nb.neighbour_lists(vectors, model, 5, sources=sources, few=100)) == want
+
+
 @pytest.mark.parametrize("few", [0, 100_000])
 def test_some_sources(numbers, few, monkeypatch):
     vectors, model, ids, plain = numbers
