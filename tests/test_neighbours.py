@@ -161,6 +161,16 @@ def test_one_item_reads_its_own_postings(numbers, spark, tmp_path):
     assert spread.count() == 0
 
 
+def test_many_terms_are_one_lookup(numbers, spark, tmp_path):
+    """The rows of an item's many terms are checked by a hash, not term by term."""
+    vectors, model, _, _ = numbers
+    path = str(tmp_path / "postings")
+    nb.term_postings(model.item_terms(vectors), 8).write.partitionBy("buckets", "bucket").parquet(path)
+    found = nb.shared_postings(spark.read.parquet(path), WORDS)
+    assert re.search(r"term#\d+ INSET ", found._jdf.queryExecution().optimizedPlan().toString())
+    assert found.count() == model.item_terms(vectors).filter(F.col("term").isin(WORDS)).count()
+
+
 def test_ranked_rows(numbers):
     vectors, model, _, _ = numbers
     rows = nb.ranked(nb.neighbour_lists(vectors, model, 5))
