@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +170,34 @@ def test_chat_prompt(spark):
     assert "\n\nNo matching products found in our catalog.\n\nUser question: and?" in got["b"]
     plain = {r.request_id: r.prompt for r in prompts.chat_prompts(requests).collect()}
     assert plain["b"].startswith("User question: and?")
+
+
+def test_corpus_is_encoded_once(spark, tmp_path):
+    """The rows of a costly encoder are not worked out again for their number, sample and places."""
+    path = tmp_path / "calls"
+    path.mkdir()
+
+    def load():
+        def encode(texts):
+            with open(path / uuid.uuid4().hex, "w") as f:
+                f.write(str(len(texts)))
+            return np.array([[len(t), 1.0, t.count("a")] for t in texts])
+
+        return encode
+
+    texts = spark.createDataFrame([(i, "ab" * (i % 7 + 1)) for i in range(40)], "id bigint, text string")
+    corpus = retrieve.encode_texts(texts, load)
+    assert retrieve.semantic_topk(corpus.withColumnRenamed("id", "query_id").limit(3), corpus, 2, few=0).count() == 6
+    # Once as the corpus, and the three queries for their number and their rows.
+    assert sum(int(f.read_text()) for f in path.iterdir()) <= 40 * 3
+
+
+def test_floors_keep_ties_and_rows_above():
+    rng = np.random.default_rng(3)
+    points = np.repeat(rng.normal(size=(60, 8)), 3, axis=0)
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    want = np.round(points[:40] @ points.T, 6) + 0.0
+    row, col, value = retrieve.nearest_rows(points[:40], points, 4, np.sort(want, axis=1)[:, -4])
+    best = [sorted(zip(-w, range(180)))[:4] for w in want]
+    assert list(zip(row, col, value)) == [(i, c, -v) for i, b in enumerate(best) for v, c in b]
+    assert not len(retrieve.nearest_rows(points[:40], points, 4, np.full(40, 1.1))[0])
