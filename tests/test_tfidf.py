@@ -116,3 +116,13 @@ def test_terms_are_counted_without_a_shuffle_of_terms(spark):
     alone = tfidf.term_counts(tfidf.with_terms(tfidf.with_words(items.filter("id in (1, 2, 4)"))))
     text = alone._sc._jvm.PythonSQLUtils.explainString(alone._jdf.queryExecution(), "simple")
     assert alone.count() == 4 and "HashAggregate" not in text
+
+
+def test_segments_are_cut_into_words_once(spark):
+    """Their terms are counted inside the row, over written words."""
+    rows = [(1, 0, "red apple red apple"), (1, 1, "apple pie"), (2, 0, "")]
+    counts = tfidf.segment_term_counts(spark.createDataFrame(rows, "id bigint, seq bigint, text string"))
+    got = {(r.id, r.term): r.n for r in counts.collect()}
+    assert got == {(1, "red"): 2, (1, "apple"): 3, (1, "pie"): 1, (1, "red apple"): 2, (1, "apple red"): 1, (1, "apple apple"): 1, (1, "apple pie"): 1}
+    plan = counts._jdf.queryExecution().toString()
+    assert "regexp" not in plan and "parquet" in plan
