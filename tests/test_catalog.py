@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plain import clean
-from shelfkin.operators import analytics, catalog
+from shelfkin.operators import analytics, catalog, tfidf
 from shelfkin.plans.prepare import process_reviews, process_sales
 from shelfkin.sources import artifacts, readers
 
@@ -154,6 +154,32 @@ def test_a_write_that_stops_leaves_readers_on_the_set_before(spark, tmp_path, mo
     assert artifacts.load_artifacts(spark, folder)["products"].count() == 8
 
 
+def test_weights_written_from_the_model_lie_by_id_and_are_not_shuffled(spark, tmp_path, monkeypatch):
+    model = tfidf.TfidfModel(["a", "b", "c"], [1.0, 1.0, 1.0])
+    rows = [(i % 200 if i < 230 else None, [0, 2] if i % 3 else [], [0.5, 0.25] if i % 3 else []) for i in range(240)]
+    vectors = spark.createDataFrame(rows, "id bigint, idx array<int>, weights array<double>").repartition(5)
+    products, parts, vocabulary, _, _ = small_set(spark, 5)
+    plans, item_terms = [], tfidf.TfidfModel.item_terms
+
+    def seen(self, read):
+        out = item_terms(self, read)
+        plans.append(out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple"))
+        return out
+
+    monkeypatch.setattr(tfidf.TfidfModel, "item_terms", seen)
+    artifacts.write_artifacts(str(tmp_path), products, parts, vocabulary, vectors, model)
+    tables = artifacts.load_artifacts(spark, str(tmp_path))
+    key = lambda r: (r.id is None, r.id or 0, r.term, r.weight)
+    want = sorted(item_terms(model, vectors).collect(), key=key)
+    for name in ("item_terms", "term_postings"):
+        assert sorted(tables[name].select("id", "term", "weight").collect(), key=key) == want
+    assert "partitioning" not in plans[0] and "ReadSchema: struct<id:bigint,idx" in plans[0]
+    files = {}
+    for r in tables["item_terms"].select("id", F.input_file_name().alias("file")).collect():
+        files.setdefault(r.file, []).append(-1 if r.id is None else r.id)
+    assert all(ids == sorted(ids) for ids in files.values())
+
+
 def test_process_writes_tables_that_load_back(spark, review_csv, tmp_path):
     tables = process_reviews(spark, review_csv, str(tmp_path / "out"))
     assert set(tables) == set(artifacts.TABLES)

@@ -1,3 +1,7 @@
+import itertools
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +79,15 @@ def test_unicode_blanks_end_a_word(spark):
     blanks = [chr(c) for c in (0x1C, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000)]
     assert run(spark, [f"Acme{b}Widget" for b in blanks], parsing.brand_from_name) == ["Acme"] * len(blanks)
     assert run(spark, [f"{b}4.0{b}out of 5" for b in blanks], parsing.parse_rating) == [4.0] * len(blanks)
+
+
+def test_clean_text_of_all_short_runs(spark):
+    """Every run of up to four characters before, between and after words, and tags cut open."""
+    chars = ["a", " ", ".", "\n", "<", ">", "\u0301", "\U0001f600", "É"]
+    texts = ["".join(t) for n in range(5) for t in itertools.product(chars, repeat=n)]
+    texts += [f"x{t}y <b>z</b>" for t in texts if len(t) < 4]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.clean_text(F.col("t")).alias("c")).collect()
+    for r in got:
+        bare = re.sub("<[^>]+>", "", r.t)
+        kept = "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in bare)
+        assert r.c == " ".join(kept.split()).lower(), repr(r.t)

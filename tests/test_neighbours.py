@@ -161,6 +161,24 @@ def test_one_item_reads_its_own_postings(numbers, spark, tmp_path):
     assert spread.count() == 0
 
 
+def test_postings_are_sorted_by_numbers(numbers, spark, tmp_path):
+    """Rows of a file stand bucket by bucket and term by term, without comparing their terms."""
+    vectors, model, _, _ = numbers
+    terms = model.item_terms(vectors)
+    rows = nb.term_postings(terms, 3)
+    assert re.search(r"Sort \[bucket#\d+ ASC NULLS FIRST, place#\d+L ASC NULLS FIRST\], false", rows._jdf.queryExecution().toString())
+    path = str(tmp_path / "postings")
+    rows.write.partitionBy("buckets", "bucket").parquet(path)
+    read = spark.read.parquet(path)
+    assert sorted(read.select("id", "term", "weight").collect()) == sorted(terms.collect())
+    files = {}
+    for r in read.select("term", F.input_file_name().alias("file")).collect():
+        runs = files.setdefault(r.file, [])
+        if runs[-1:] != [r.term]:
+            runs.append(r.term)
+    assert files and all(len(runs) == len(set(runs)) for runs in files.values())
+
+
 def test_many_terms_are_one_lookup(numbers, spark, tmp_path):
     """The rows of an item's many terms are checked by a hash, not term by term."""
     vectors, model, _, _ = numbers
