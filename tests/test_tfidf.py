@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -126,3 +127,34 @@ def test_segments_are_cut_into_words_once(spark):
     assert got == {(1, "red"): 2, (1, "apple"): 3, (1, "pie"): 1, (1, "red apple"): 2, (1, "apple red"): 1, (1, "apple apple"): 1, (1, "apple pie"): 1}
     plan = counts._jdf.queryExecution().toString()
     assert "regexp" not in plan and "parquet" in plan
+
+
+@pytest.mark.parametrize("most", [0, 9, 30, 10_000])
+def test_short_items_are_put_together_before_their_terms_are_counted(spark, monkeypatch, most):
+    """Long items go by segments and borders, short ones by their words; null ids are an item too."""
+    monkeypatch.setattr(tfidf, "ROW_WORDS", most)
+    rng = random.Random(4)
+    rows = [(i, s, " ".join(rng.choices(["red", "blue", "green"], k=rng.randint(0, 4)))) for i in [None, *range(12)] for s in range(rng.randint(1, 9) * 2)]
+    want = Counter()
+    for i in [None, *range(12)]:
+        words = " ".join(t for j, _, t in rows if j == i).split()
+        want.update((i, t) for t in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))])
+    counts = tfidf.segment_term_counts(spark.createDataFrame(rows, "id bigint, seq bigint, text string").repartition(3))
+    assert {(r.id, r.term): r.n for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().toString()
+    assert ("Aggregate [id#" in plan) and ("term#" in "".join(re.findall(r"Aggregate \[(.*?)\]", plan))) == (most < 10_000)
+
+
+def test_segment_vocabulary_shuffles_terms_of_heavy_cells_only(spark):
+    rows = [(i, t, n) for i in range(6) for t, n in (("aa", 2), ("bb", 1), (f"c{i}", 9))]
+    counts = spark.createDataFrame(rows, "id bigint, term string, n bigint")
+    asked = []
+
+    def marked(rows, cells, old=tfidf._marked):
+        asked.append(int(cells.sum()))
+        return old(rows, cells)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tfidf, "_marked", marked)
+        got = {(r.term, r.cf, r.df) for r in tfidf.segment_vocabulary(counts, spark.range(6), max_features=1).collect()}
+    assert got == {("aa", 12, 6)} and asked and max(asked) <= 8
