@@ -78,6 +78,26 @@ def test_cells_that_cannot_hold_a_hit_are_not_met(spark, monkeypatch):
     assert "sequence(" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize(("numbers", "rounds"), [(1 << 22, 16), (64, 100), (64, 2)])
+def test_rounds_bring_no_copies_of_vectors(spark, monkeypatch, numbers, rounds):
+    """One round, many of them, and more queries than the rounds may hold, which are copied to their cells; ids
+    that come twice count twice."""
+    for name, value in (("ROUND_NUMBERS", numbers), ("MOST_ROUNDS", rounds), ("CORPUS_CELL", 30), ("CELL_ROWS", 10), ("SLICE_ROWS", 16)):
+        monkeypatch.setattr(retrieve, name, value)
+    queries, q = vectors(spark, 40, "query_id", 6)
+    corpus, c = vectors(spark, 90, "id", 7)
+    got = retrieve.semantic_topk(queries, corpus, 4, few=0)
+    assert ("FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()) == (rounds == 2)
+    assert {(r.query_id, r.id, r.relevance_score, r["rank"]) for r in got.collect()} == brute(q, c, 4)
+    twice = retrieve.semantic_topk(queries.unionByName(queries), corpus, 4, few=0).collect()
+    want = {}
+    for query, i, score, _ in sorted(brute(q, c, 4), key=lambda r: (r[0], r[3])):
+        want.setdefault(query, []).extend([(i, score)] * 2)
+    assert sorted((r.query_id, r["rank"], r.id, r.relevance_score) for r in twice) == [
+        (query, n + 1, *hit) for query, hits in sorted(want.items()) for n, hit in enumerate(hits[:4])
+    ]
+
+
 def test_search_over_many_slices(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "SLICE_ROWS", 16)
     monkeypatch.setattr(retrieve, "MERGE_AFTER", 2)
